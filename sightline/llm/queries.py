@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .packing import op2_packing
+from .quality_rules import op8_quality_rules
 from .token_counts import op9_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op8_quality_rules": op8_quality_rules,
     "op9_token_counts": op9_token_counts,
 }
 ORACLE_SQL: dict[str, str] = {}
