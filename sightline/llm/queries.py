@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .language_id import op6_language_id
 from .packing import op2_packing
+from .quality_crf import op5_quality_crf
 from .quality_rules import op8_quality_rules
 from .token_counts import op9_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op5_quality_crf": op5_quality_crf,
+    "op6_language_id": op6_language_id,
     "op8_quality_rules": op8_quality_rules,
     "op9_token_counts": op9_token_counts,
 }
