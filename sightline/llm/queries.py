@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .additive_search import op10_additive_search
 from .language_id import op6_language_id
 from .packing import op2_packing
 from .quality_crf import op5_quality_crf
@@ -18,5 +19,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_id": op6_language_id,
     "op8_quality_rules": op8_quality_rules,
     "op9_token_counts": op9_token_counts,
+    "op10_additive_search": op10_additive_search,
 }
 ORACLE_SQL: dict[str, str] = {}
