@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .additive_search import op10_additive_search
 from .language_id import op6_language_id
+from .license_scan import OP4_SQL, op4_license_scan
 from .packing import op2_packing
 from .quality_crf import op5_quality_crf
 from .quality_rules import op8_quality_rules
@@ -15,10 +16,11 @@ from .token_counts import op9_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op4_license_scan": op4_license_scan,
     "op5_quality_crf": op5_quality_crf,
     "op6_language_id": op6_language_id,
     "op8_quality_rules": op8_quality_rules,
     "op9_token_counts": op9_token_counts,
     "op10_additive_search": op10_additive_search,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_license_scan": OP4_SQL}
