@@ -13,9 +13,11 @@ from .packing import op2_packing
 from .quality_crf import op5_quality_crf
 from .quality_rules import op8_quality_rules
 from .token_counts import op9_token_counts
+from .training_order import op3_training_order
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op3_training_order": op3_training_order,
     "op4_license_scan": op4_license_scan,
     "op5_quality_crf": op5_quality_crf,
     "op6_language_id": op6_language_id,
