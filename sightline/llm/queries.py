@@ -12,6 +12,7 @@ from .license_scan import OP4_SQL, op4_license_scan
 from .packing import op2_packing
 from .quality_crf import op5_quality_crf
 from .quality_rules import op8_quality_rules
+from .sentence_pieces import op7_sentence_pieces
 from .token_counts import op9_token_counts
 from .training_order import op3_training_order
 
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_license_scan": op4_license_scan,
     "op5_quality_crf": op5_quality_crf,
     "op6_language_id": op6_language_id,
+    "op7_sentence_pieces": op7_sentence_pieces,
     "op8_quality_rules": op8_quality_rules,
     "op9_token_counts": op9_token_counts,
     "op10_additive_search": op10_additive_search,
