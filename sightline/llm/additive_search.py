@@ -34,6 +34,8 @@ ROUNDS = 8
 SHORTLIST = 256
 QUERY_BLOCK, CODE_BLOCK = 512, 16384
 TOP_K = 5
+#: Each block keeps at least so many rows of the shortlist.
+MIN_PER_BLOCK = 16
 
 
 @dataclass
@@ -124,10 +126,14 @@ def _blocks(df: DataFrame, rows: int, n: int) -> DataFrame:
 
 
 def shortlist(spark: SparkSession, queries: DataFrame, books: Codebooks, index: DataFrame, size: int = SHORTLIST) -> DataFrame:
-    """(query_id, vec_id): the ``size`` best rows of the index for each query, by
-    lookup tables. Blocks of queries meet blocks of codes; ties go to smaller ids,
+    """(query_id, vec_id): about the ``size`` best rows of the index for each query,
+    by lookup tables. Blocks of queries meet blocks of codes; ties go to smaller ids,
     so that equal vectors, whose codes are equal, are taken in the order of ids."""
     shared = spark.sparkContext.broadcast(books)
+    n_rows = index.count()
+    share = size / max(1, -(-n_rows // CODE_BLOCK))
+    # Rows are dealt to blocks by a hash, so a block has its share of the shortlist, give or take.
+    per_block = min(size, int(share + 4 * share**0.5) + 1 + MIN_PER_BLOCK)
 
     def pack_queries(batches):
         for b in batches:
@@ -136,7 +142,7 @@ def shortlist(spark: SparkSession, queries: DataFrame, books: Codebooks, index:
 
     q = _blocks(queries, QUERY_BLOCK, queries.count()).mapInArrow(pack_queries, "vec_id long, _block int, v binary")
     q = q.groupBy("_block").agg(F.sort_array(F.collect_list(F.struct("vec_id", "v"))).alias("queries"))
-    c = _blocks(index, CODE_BLOCK, index.count()).groupBy("_block").agg(F.sort_array(F.collect_list(F.struct("vec_id", "codes", "norm"))).alias("rows"))
+    c = _blocks(index, CODE_BLOCK, n_rows).groupBy("_block").agg(F.sort_array(F.collect_list(F.struct("vec_id", "codes", "norm"))).alias("rows"))
 
     def score_pairs(batches):
         books = shared.value
@@ -148,7 +154,7 @@ def shortlist(spark: SparkSession, queries: DataFrame, books: Codebooks, index:
                 codes = np.frombuffer(b"".join(rows.field(1).to_pylist()), dtype=np.uint8).reshape(len(rows), -1)
                 norm = np.asarray(rows.field(2))
                 tables = np.einsum("qd,mwd->qmw", v, books.words)
-                keep = min(size, len(ids))
+                keep = min(per_block, len(ids))
                 for j in range(len(q_ids)):
                     s = tables[j, 0][codes[:, 0]]
                     for m in range(1, codes.shape[1]):
