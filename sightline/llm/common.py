@@ -63,9 +63,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 @functools.lru_cache(maxsize=4)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    with np.errstate(over="ignore"):
-        up = np.cumprod(np.concatenate([[1], np.full(n, _MULTIPLIER)]).astype(np.uint64))
-        down = np.cumprod(np.concatenate([[1], np.full(n, pow(_MULTIPLIER, -1, _MASK + 1))]).astype(np.uint64))
+    up, down = (np.full(n + 1, f, dtype=np.uint64) for f in (_MULTIPLIER, pow(_MULTIPLIER, -1, _MASK + 1)))
+    up[0] = down[0] = 1
+    up, down = np.cumprod(up), np.cumprod(down)
     return up, down
 
 
