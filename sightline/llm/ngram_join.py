@@ -11,16 +11,14 @@ of it can hold a link.
    classes of a task's batch share are counted there; of each shingle one posting
    a batch goes to the shuffle, whatever the number of documents that have it.
 2. The classes left are tested on their whole sets in the same way.
-3. Linked sets share one of their first ``n - ceil(0.8 n) + 1`` shingles. Every
-   class meets the smallest class of the posting list that it shares most often;
-   the verified links join classes into components.
-4. Within the posting lists only pairs of different components are left, and only
-   those whose sizes allow the overlap; they are all verified. Links inside a
-   component change nothing, so the components are those of all links.
-
-Verification is a product of incidence rows in blocks: the pairs of a block are
-merged shingle by shingle, the overlaps accumulated, and pairs below the bound
-``100 * overlap >= 80 * union`` discarded.
+3. Linked sets share one of their first ``n - ceil(0.8 n) + 1`` shingles. The
+   posting lists of these put classes into blocks. Each block's incidence rows are
+   multiplied with its own and with those of its group's first block, overlaps
+   accumulated over slices of shingles, and pairs below the bound
+   ``100 * overlap >= 80 * union`` discarded; links join classes to components.
+4. Pairs of blocks that still share a posting list with two components are
+   multiplied too. Links inside a component change nothing, so the components are
+   those of all links.
 
 Shingles and classes are told apart by 64-bit hashes (classes by 128).
 
@@ -34,7 +32,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, mix, row_groups, text_buffers, word_hashes, word_spans
@@ -43,7 +41,8 @@ from .components import components
 WORDS = 5
 #: Postings that one task of a shuffle by shingle handles.
 TASK_POSTINGS = 1_500_000
-PAIR_BLOCK = 2048
+#: Classes in a block, and shingles in a slice of the product.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 256, 1_000_000, 8192
 _FACTORS = np.array([0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
 
@@ -243,47 +242,98 @@ def _lists(sets: DataFrame) -> DataFrame:
     return sets.select("id", "n", "hashes").mapInArrow(kernel, "h long, id long, n long")
 
 
-def _sizes_allow(a: Column, b: Column) -> Column:
-    return 100 * F.least(a, b) >= 80 * F.greatest(a, b)
-
-
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
-    left = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
+def _blocks(lists: DataFrame) -> DataFrame:
+    """(id, group, part): classes whose posting lists have the same smallest id lie
+    in one group, dealt by a hash into parts of about BLOCK classes, fewer if large."""
+    heads = lists.groupBy("h").agg(F.min("id").alias("head"), F.count("*").alias("size")).where("size > 1").select("h", "head")
+    group = lists.join(heads, "h").groupBy("id").agg(F.min("head").alias("group"), F.max("n").alias("n"))
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+    sizes = group.groupBy("group").agg(parts.alias("parts"))
+    return group.join(sizes, "group").select("id", "group", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"))
+
+
+def _spanning(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that join what the symmetric matrix ``linked`` joins."""
+    out, todo = [], np.ones(len(linked), dtype=bool)
+    for root in range(len(linked)):
+        if todo[root]:
+            todo[root] = False
+            front = [root]
+            while front:
+                i = front.pop()
+                new = np.flatnonzero(linked[i] & todo)
+                todo[new] = False
+                out += [(i, int(j)) for j in new]
+                front += new.tolist()
+    return out
+
+
+def overlaps(hashes: np.ndarray, row: np.ndarray, n_rows: int) -> np.ndarray:
+    """Incidence times its transpose: overlap counts of all pairs of a block, added
+    up over slices of the shingles that two of its rows have."""
+    _, column, df = np.unique(hashes, return_inverse=True, return_counts=True)
+    shared = df[column] > 1
+    number = np.cumsum(df > 1) - 1
+    row, column = row[shared], number[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((n_rows, n_rows), dtype=np.float32)
+    for at in range(0, int((df > 1).sum()), COLUMNS):
+        lo, hi = np.searchsorted(column, [at, at + COLUMNS])
+        part = np.zeros((n_rows, COLUMNS), dtype=np.float32)
+        part[row[lo:hi], column[lo:hi] - at] = 1
+        out += part @ part.T
+    return out
+
+
+def block_links(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Links (a, b) between different components in pairs of blocks (g1, p1, g2,
+    p2), enough to join all that the pair's links join. ``members``: id, group,
+    part, component, hashes."""
+    held = members.groupBy("group", "part").agg(F.collect_list(F.struct("id", "component", "hashes")).alias("rows"))
+    left = held.select(F.col("group").alias("g1"), F.col("part").alias("p1"), F.col("rows").alias("x"))
+    right = held.select(F.col("group").alias("g2"), F.col("part").alias("p2"), F.col("rows").alias("y"))
+    same = (F.col("g1") == F.col("g2")) & (F.col("p1") == F.col("p2"))
+    rows = pairs.join(left, ["g1", "p1"]).join(right, ["g2", "p2"]).select("x", F.when(~same, F.col("y")).alias("y"))
 
     def kernel(batches):
         for batch in batches:
-            for at in range(0, len(batch), PAIR_BLOCK):
-                part = batch.slice(at, PAIR_BLOCK)
-                keep = []
-                for x, y in zip(part.column(2), part.column(3), strict=True):
-                    x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                    both = np.concatenate([x, y])
-                    both.sort(kind="stable")  # merges two sorted runs
-                    overlap = int((both[1:] == both[:-1]).sum())
-                    keep.append(100 * overlap >= 80 * (len(both) - overlap))
-                yield pa.RecordBatch.from_arrays([part.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], names=["a", "b"])
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(kernel, "a long, b long")
-
-
-def _first_pairs(lists: DataFrame) -> DataFrame:
-    """Each id with the smallest id of the list that it shares most often."""
-    heads = lists.groupBy("h").agg(F.min(F.struct("id", "n")).alias("head"), F.count("*").alias("size")).where("size > 1").select("h", "head")
-    met = lists.join(heads, "h").where((F.col("id") > F.col("head.id")) & _sizes_allow(F.col("n"), F.col("head.n")))
-    votes = met.groupBy("id", F.col("head.id").alias("head")).count()
-    return votes.groupBy("id").agg(F.max_by("head", F.struct(F.col("count"), -F.col("head"))).alias("a")).select("a", F.col("id").alias("b"))
-
-
-def _other_pairs(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of different components that share a list and whose sizes allow it."""
-    labelled = lists.join(labels, "id", "left").select("h", "id", "n", F.coalesce("component", "id").alias("component"))
-    mixed = labelled.groupBy("h").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select("h")
-    rows = labelled.join(mixed, "h")
-    other = rows.select("h", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
-    pairs = rows.join(other, "h").where((F.col("id") < F.col("b")) & (F.col("component") != F.col("other")) & _sizes_allow(F.col("n"), F.col("m")))
-    return pairs.select(F.col("id").alias("a"), "b").distinct()
+            for x, y in zip(batch.column(0), batch.column(1), strict=True):
+                parts = [v.values for v in (x, y) if v.is_valid]
+                ids = np.concatenate([p.field(0).to_numpy(zero_copy_only=False) for p in parts])
+                component = np.concatenate([p.field(1).to_numpy(zero_copy_only=False) for p in parts])
+                sets = [np.frombuffer(h.as_buffer(), dtype=np.uint64) for p in parts for h in p.field(2)]
+                size = np.array([len(v) for v in sets])
+                both = overlaps(np.concatenate(sets), np.repeat(np.arange(len(sets)), size), len(sets))
+                # Below the bound from the sizes a pair is no link, whatever the two have in common.
+                linked = 100 * both >= 80 * (size[:, None] + size[None, :] - both)
+                linked &= component[:, None] != component[None, :]
+                found = _spanning(linked)
+                yield pa.RecordBatch.from_arrays([pa.array([ids[k[side]] for k in found], pa.int64()) for side in (0, 1)], names=["a", "b"])
+
+    return rows.mapInArrow(kernel, "a long, b long")
+
+
+def _star(blocks: DataFrame) -> DataFrame:
+    """Every block with itself and with the first block of its group."""
+    each = blocks.select("group", "part").distinct()
+    return each.select(F.col("group").alias("g1"), F.col("part").alias("p1"), F.col("group").alias("g2"), F.explode(F.array_distinct(F.array("part", F.lit(0).cast("long")))).alias("p2"))
+
+
+def _mixed(lists: DataFrame, labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs of blocks that share a posting list with two components, and the ids
+    in such lists."""
+    rows = lists.select("h", "id").join(labelled.select("id", "group", "part", "component"), "id")
+    lists_ = rows.groupBy("h").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select("h")
+    rows = rows.join(lists_, "h")
+    per_list = rows.groupBy("h", "group", "part").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    one = per_list.select("h", *[F.col(c).alias(f"{c}_1") for c in ("group", "part", "lo", "hi")])
+    two = per_list.select("h", *[F.col(c).alias(f"{c}_2") for c in ("group", "part", "lo", "hi")])
+    first, second = F.struct("group_1", "part_1"), F.struct("group_2", "part_2")
+    differ = F.least("lo_1", "lo_2") != F.greatest("hi_1", "hi_2")
+    pairs = one.join(two, "h").where((first <= second) & differ)
+    pairs = pairs.select(F.col("group_1").alias("g1"), F.col("part_1").alias("p1"), F.col("group_2").alias("g2"), F.col("part_2").alias("p2")).distinct()
+    return pairs, rows.select("id").distinct()
 
 
 def link_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -302,10 +352,16 @@ def link_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     whole = _whole_counts(sets, n_tasks).where("n_shared > 0")
     sets = materialize(spark, sets.join(whole, "c").where(F.col("n_shared") >= need).select("id", "n", "hashes"), "sets")
     lists = materialize(spark, _lists(sets), "lists")
-    links = materialize(spark, verify(_first_pairs(lists), sets), "links")
+    blocks = materialize(spark, _blocks(lists), "blocks")
+    alone = sets.join(blocks, "id").withColumn("component", F.col("id"))
+    links = materialize(spark, block_links(_star(blocks), alone), "links")
     labels = components(spark, links)
-    more = verify(_other_pairs(lists, labels), sets)
-    labels = components(spark, materialize(spark, links.unionByName(more), "links"))
+    labelled = materialize(spark, blocks.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")), "labelled")
+    pairs, ids = _mixed(lists, labelled)
+    members = sets.join(labelled, "id").join(ids, "id", "left_semi")
+    more = materialize(spark, block_links(pairs, members), "links")
+    if more.head(1):
+        labels = components(spark, links.unionByName(more))
     classes = reps.join(labels, "id", "left").select("c", "d", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component"))
     out = filled.join(classes, ["c", "d"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
     return out.unionByName(prints.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id")))
