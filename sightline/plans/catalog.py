@@ -1,6 +1,6 @@
 """All queries of the reference's own operators; importing a module registers its."""
 
-from ..operators import archive, quality  # noqa: F401
+from ..operators import archive, curation, joins, quality, telemetry  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
