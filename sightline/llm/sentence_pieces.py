@@ -33,6 +33,8 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 SPACE = "▁"
 CHUNK = 1 << 15
+#: Rows whose ids are Python integers at a time.
+DIGEST_ROWS = 128
 PRIME = (1 << 31) - 1
 BASE = 1_000_003
 Span = tuple[int, int]
@@ -291,8 +293,8 @@ def encode_short(docs: DataFrame, model_path: str, chunk: int) -> DataFrame:
     def whole(batches):
         m = load(model_path)
         for b in batches:
-            for at in range(0, len(b), 512):
-                part = b.slice(at, 512)
+            for at in range(0, len(b), DIGEST_ROWS):
+                part = b.slice(at, DIGEST_ROWS)
                 ids = m.library.encode(part.column(1).to_pylist(), num_threads=1)
                 ids = [x if t.as_py() else [] for x, t in zip(ids, part.column(1), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
@@ -366,15 +368,16 @@ def digest(encoded: DataFrame, model_path: str, key: str) -> DataFrame:
 
     def kernel(batches):
         m = load(model_path)
-        for b in batches:
-            at, flat = b.column(2).offsets.to_numpy(), b.column(2).values.to_numpy()
-            parts = [flat[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
-            n = [len(x) for x in parts]
-            # The library drops the first space, which encoding put before the text; a later chunk's first space stays.
-            size = [len(t.encode()) for t in m.library.decode([x.tolist() for x in parts])] if parts else []
-            size = [k + bool(c and len(x) and m.text.get(int(x[0]), "").startswith(SPACE)) for k, c, x in zip(size, b.column(1).to_pylist(), parts, strict=True)]
-            columns = [pa.array(x, pa.int64()) for x in (n, [fold(x) for x in parts], [pow(BASE, k, PRIME) for k in n], size)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=[key, "chunk", "n", "h", "p", "n_bytes"])
+        for whole in batches:
+            for start in range(0, len(whole), DIGEST_ROWS):  # decoding takes ids as Python integers
+                b = whole.slice(start, DIGEST_ROWS)
+                parts = [x.values.to_numpy() for x in b.column(2)]
+                n = [len(x) for x in parts]
+                # The library drops the first space, which encoding put before the text; a later chunk's first space stays.
+                size = [len(t.encode()) for t in m.library.decode([x.tolist() for x in parts])] if parts else []
+                size = [k + bool(c and len(x) and m.text.get(int(x[0]), "").startswith(SPACE)) for k, c, x in zip(size, b.column(1).to_pylist(), parts, strict=True)]
+                columns = [pa.array(x, pa.int64()) for x in (n, [fold(x) for x in parts], [pow(BASE, k, PRIME) for k in n], size)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=[key, "chunk", "n", "h", "p", "n_bytes"])
 
     schema = encoded.select(key, "chunk").schema
     for name in ("n", "h", "p", "n_bytes"):
