@@ -1,6 +1,7 @@
 """All queries of the reference's own operators; importing a module registers its."""
 
-from ..operators import archive, consensus, curation, joins, quality, telemetry, upsert  # noqa: F401
+from ..operators import archive, consensus, curation, joins, matching, quality, telemetry, upsert  # noqa: F401
+from ..streaming import streams  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
