@@ -12,7 +12,7 @@ of it can hold a link.
    a batch goes to the shuffle, whatever the number of documents that have it.
 2. The classes left are tested on their whole sets in the same way.
 3. Linked sets share one of their first ``n - ceil(0.8 n) + 1`` shingles. The
-   posting lists of these put classes into blocks. Each block's incidence rows are
+   posting lists of these, rare shingles first, put classes into blocks. Each block's incidence rows are
    multiplied with its own and with those of its group's first block, overlaps
    accumulated over slices of shingles, and pairs below the bound
    ``100 * overlap >= 80 * union`` discarded; links join classes to components.
@@ -43,6 +43,8 @@ WORDS = 5
 TASK_POSTINGS = 1_500_000
 #: Classes in a block, and shingles in a slice of the product.
 BLOCK, BLOCK_SHINGLES, COLUMNS = 256, 1_000_000, 8192
+#: Buckets of the table of shingle counts, and of a part of it.
+SKETCH, SKETCH_PART = 1 << 22, 1 << 16
 _FACTORS = np.array([0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
 
@@ -230,13 +232,45 @@ def _sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     return text.join(chosen.select("id", "c", "d"), "id").mapInArrow(kernel, "id long, c long, n long, hashes binary").dropDuplicates(["id"])
 
 
-def _lists(sets: DataFrame) -> DataFrame:
-    """(h, id, n): postings of the first n - ceil(0.8 n) + 1 shingles of each set."""
+def _sketch(sets: DataFrame) -> np.ndarray:
+    """How many of the sets hold a shingle of each of SKETCH hash buckets, at most
+    255: a table of fixed size, whatever the number of sets."""
+    parts = SKETCH // SKETCH_PART
+
+    def count(batches):
+        total = np.zeros(SKETCH, dtype=np.uint8)
+        for b in batches:
+            if len(b):
+                h = np.concatenate([np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in b.column(0)])
+                n = np.bincount((h & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+                total = np.minimum(total + n, 255).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([total[k * SKETCH_PART : (k + 1) * SKETCH_PART].tobytes() for k in range(parts)])], names=["part", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(SKETCH_PART, dtype=np.int64)
+        for x in table.column("counts"):
+            total += np.frombuffer(x.as_buffer(), dtype=np.uint8)
+        return pa.table({"part": table.column("part").slice(0, 1).combine_chunks(), "counts": pa.array([np.minimum(total, 255).astype(np.uint8).tobytes()])})
+
+    rows = sets.select("hashes").mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
+    out = np.zeros(SKETCH, dtype=np.uint8)
+    for r in rows:
+        out[r["part"] * SKETCH_PART : (r["part"] + 1) * SKETCH_PART] = np.frombuffer(r["counts"], dtype=np.uint8)
+    return out
+
+
+def _lists(spark: SparkSession, sets: DataFrame) -> DataFrame:
+    """(h, id, n): postings of the first n - ceil(0.8 n) + 1 shingles of each set,
+    rare ones first. Any order that all sets share will do, so counts of buckets
+    are as right as counts of shingles."""
+    shared = spark.sparkContext.broadcast(_sketch(sets))
 
     def kernel(batches):
         for b in batches:
             for i, n, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                h = np.frombuffer(blob.as_buffer(), dtype=np.int64)[: n - _need(n) + 1]
+                h = np.frombuffer(blob.as_buffer(), dtype=np.uint64)
+                often = shared.value[(h & np.uint64(SKETCH - 1)).astype(np.int64)]
+                h = h[np.lexsort((h, often))][: n - _need(n) + 1].view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), i)), pa.array(np.full(len(h), n))], names=["h", "id", "n"])
 
     return sets.select("id", "n", "hashes").mapInArrow(kernel, "h long, id long, n long")
@@ -330,8 +364,10 @@ def _mixed(lists: DataFrame, labelled: DataFrame) -> tuple[DataFrame, DataFrame]
     one = per_list.select("h", *[F.col(c).alias(f"{c}_1") for c in ("group", "part", "lo", "hi")])
     two = per_list.select("h", *[F.col(c).alias(f"{c}_2") for c in ("group", "part", "lo", "hi")])
     first, second = F.struct("group_1", "part_1"), F.struct("group_2", "part_2")
+    # _star() has multiplied a block with itself and with its group's first one.
+    done = (F.col("group_1") == F.col("group_2")) & ((F.col("part_1") == F.col("part_2")) | (F.col("part_1") == 0) | (F.col("part_2") == 0))
     differ = F.least("lo_1", "lo_2") != F.greatest("hi_1", "hi_2")
-    pairs = one.join(two, "h").where((first <= second) & differ)
+    pairs = one.join(two, "h").where((first < second) & differ & ~done)
     pairs = pairs.select(F.col("group_1").alias("g1"), F.col("part_1").alias("p1"), F.col("group_2").alias("g2"), F.col("part_2").alias("p2")).distinct()
     return pairs, rows.select("id").distinct()
 
@@ -351,7 +387,7 @@ def link_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     n_tasks = max(8, (sets.agg(F.sum("n")).collect()[0][0] or 0) // TASK_POSTINGS + 1)
     whole = _whole_counts(sets, n_tasks).where("n_shared > 0")
     sets = materialize(spark, sets.join(whole, "c").where(F.col("n_shared") >= need).select("id", "n", "hashes"), "sets")
-    lists = materialize(spark, _lists(sets), "lists")
+    lists = materialize(spark, _lists(spark, sets), "lists")
     blocks = materialize(spark, _blocks(lists), "blocks")
     alone = sets.join(blocks, "id").withColumn("component", F.col("id"))
     links = materialize(spark, block_links(_star(blocks), alone), "links")
