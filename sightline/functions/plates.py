@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Digits, letter variants and words of Iranian plates.
 PERSIAN_DIGITS = "۰۱۲۳۴۵۶۷۸۹"
@@ -57,7 +58,7 @@ def format_plate(c: Column) -> Column:
     return F.regexp_replace(normalize_plate(c), PLATE, "$1-$2-$3-$4")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
 

@@ -8,6 +8,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 from ..functions import plates
 from ..plans import views as v
@@ -90,13 +91,13 @@ def visits(observations: DataFrame, by: str, **settings) -> DataFrame:
     return observations.groupBy(by).applyInPandas(one, observations.select(by, "ts").schema.add("plate", "string").add("visit", "long"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching blocks' share of two texts."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def ctc_text(rows: pd.Series) -> pd.Series:
     return rows.map(lambda r: kernels.ctc_greedy([list(x) for x in r], plates.ASCII_DIGITS + plates.LETTERS))
 
