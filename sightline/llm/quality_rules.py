@@ -57,9 +57,10 @@ def _symbols() -> Column:
 
 
 def trusted() -> Column:
-    """The default target: prose without symbols and with few repeated windows."""
-    n = F.size("_windows")
-    return (F.col("n_words") >= MIN_WORDS) & (200 * _symbols() <= F.col("n_words")) & (20 * (n - F.col("_n_kinds")) <= n)
+    """The default target: prose without symbols, with few capitals and few repeated
+    windows."""
+    n, capitals = F.size("_windows"), F.length("text") - F.length(F.regexp_replace("text", "[A-Z]+", ""))
+    return (F.col("n_words") >= MIN_WORDS) & (200 * _symbols() <= F.col("n_words")) & (20 * (n - F.col("_n_kinds")) <= n) & (10 * capitals <= 3 * F.length("text"))
 
 
 def fit(docs: DataFrame, target: Column | None = None) -> list[float]:
