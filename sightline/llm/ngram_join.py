@@ -31,9 +31,11 @@ are not read."""
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from .common import materialize, mix, row_groups, text_buffers, word_hashes, word_spans
 from .components import components
@@ -215,26 +217,33 @@ def _whole_counts(sets: DataFrame, n_tasks: int) -> DataFrame:
     return _shared_counts(sets.select("c", "hashes"), kernel, n_tasks)
 
 
-def _sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """id, c, n and sorted hashes of the rows chosen (id, c, d, n)."""
+def _sets(spark: SparkSession, docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """id, c, n and sorted hashes of the rows chosen (id, c, d). A table of fixed
+    size tells most ids that are not chosen, so few sets go to the join and no text
+    does; where the table is full, more sets go and the result is the same."""
+    # The hash as eight bytes, most significant first.
+    shared = spark.sparkContext.broadcast(_sketch(chosen.select(F.unhex(F.lpad(F.hex(F.xxhash64("id")), 16, "0")))))
 
     def kernel(batches):
         for b in batches:
+            bucket = b.column(2).to_numpy().view(np.uint64).byteswap() & np.uint64(SKETCH - 1)
+            b = b.filter(pa.array(shared.value[bucket.astype(np.int64)] > 0))
             for lo, n, h, c, d in _batches_of_sets(b, 1):
                 at = np.cumsum(n) - n
-                part = b.slice(lo, len(n))
-                # An id may have several texts; only the one of its class counts.
-                good = np.flatnonzero((c == part.column(2).to_numpy()) & (d == part.column(3).to_numpy()) & (n > 0))
+                good = np.flatnonzero(n > 0)
                 blobs = [h[at[i] : at[i] + n[i]].tobytes() for i in good]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(good)), pa.array(c[good]), pa.array(n[good]), pa.array(blobs, pa.binary())], names=["id", "c", "n", "hashes"])
+                columns = [b.column(0).slice(lo, len(n)).take(pa.array(good)), pa.array(c[good]), pa.array(d[good]), pa.array(n[good]), pa.array(blobs, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "c", "d", "n", "hashes"])
 
-    text = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    return text.join(chosen.select("id", "c", "d"), "id").mapInArrow(kernel, "id long, c long, n long, hashes binary").dropDuplicates(["id"])
+    text = docs.select(F.col("doc_id").cast("long").alias("id"), "text").withColumn("k", F.xxhash64("id"))
+    rows = text.mapInArrow(kernel, "id long, c long, d long, n long, hashes binary")
+    # An id may have several texts; only the one of its class counts.
+    return rows.join(chosen.select("id", "c", "d"), ["id", "c", "d"]).select("id", "c", "n", "hashes").dropDuplicates(["id"])
 
 
-def _sketch(sets: DataFrame) -> np.ndarray:
-    """How many of the sets hold a shingle of each of SKETCH hash buckets, at most
-    255: a table of fixed size, whatever the number of sets."""
+def _sketch(keys: DataFrame) -> np.ndarray:
+    """How many 64-bit keys (a column of binary rows of them) fall into each of
+    SKETCH buckets, at most 255: a table of fixed size, whatever their number."""
     parts = SKETCH // SKETCH_PART
 
     def count(batches):
@@ -252,7 +261,7 @@ def _sketch(sets: DataFrame) -> np.ndarray:
             total += np.frombuffer(x.as_buffer(), dtype=np.uint8)
         return pa.table({"part": table.column("part").slice(0, 1).combine_chunks(), "counts": pa.array([np.minimum(total, 255).astype(np.uint8).tobytes()])})
 
-    rows = sets.select("hashes").mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
+    rows = keys.mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
     out = np.zeros(SKETCH, dtype=np.uint8)
     for r in rows:
         out[r["part"] * SKETCH_PART : (r["part"] + 1) * SKETCH_PART] = np.frombuffer(r["counts"], dtype=np.uint8)
@@ -263,7 +272,7 @@ def _lists(spark: SparkSession, sets: DataFrame) -> DataFrame:
     """(h, id, n): postings of the first n - ceil(0.8 n) + 1 shingles of each set,
     rare ones first. Any order that all sets share will do, so counts of buckets
     are as right as counts of shingles."""
-    shared = spark.sparkContext.broadcast(_sketch(sets))
+    shared = spark.sparkContext.broadcast(_sketch(sets.select("hashes")))
 
     def kernel(batches):
         for b in batches:
@@ -382,8 +391,8 @@ def link_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     n_tasks = max(8, total * 2 // 5 // TASK_POSTINGS + 1)
     n = F.col("n")
     need = F.floor((4 * n + 4) / 5)
-    near = reps.join(_window_counts(docs, n_tasks), "c").where(F.col("n_shared") >= F.floor(need / 5))
-    sets = materialize(spark, _sets(docs, near), "sets")
+    near = materialize(spark, reps.join(_window_counts(docs, n_tasks), "c").where(F.col("n_shared") >= F.floor(need / 5)), "near")
+    sets = materialize(spark, _sets(spark, docs, near), "sets")
     n_tasks = max(8, (sets.agg(F.sum("n")).collect()[0][0] or 0) // TASK_POSTINGS + 1)
     whole = _whole_counts(sets, n_tasks).where("n_shared > 0")
     sets = materialize(spark, sets.join(whole, "c").where(F.col("n_shared") >= need).select("id", "n", "hashes"), "sets")
@@ -406,12 +415,24 @@ def link_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row of each group of linked documents, that with the smallest id, with
     the columns of ``docs``. Of rows that repeat an id the first of its texts in
-    the order of texts stays; rows with a null id stay, having no name to choose by."""
-    kept = link_components(spark, docs).where("doc_id = component_id").select("doc_id").distinct()
-    # first() combines before the shuffle; ids are unique in a sound table, so groups are of one row.
-    row = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").select(*docs.columns)
-    one = row.groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.coalesce("text", F.lit(""))).alias("_row")).select("_row.*")
-    return one.unionByName(docs.where("doc_id IS NULL"))
+    the order of texts stays; rows with a null id stay, having no name to choose by.
+
+    Only rows whose id may be dropped or repeated are shuffled: a table of fixed
+    size tells the others."""
+    by_id = link_components(spark, docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("keep"), F.count("*").alias("n"))
+    special = materialize(spark, by_id.where("NOT keep OR n > 1"), "special")
+    shared = spark.sparkContext.broadcast(_sketch(special.select(F.unhex(F.lpad(F.hex(F.xxhash64("doc_id")), 16, "0")))))
+
+    @F.pandas_udf(BooleanType())
+    def maybe(k: pd.Series) -> pd.Series:
+        bucket = k.to_numpy().view(np.uint64).byteswap() & np.uint64(SKETCH - 1)
+        return pd.Series(shared.value[bucket.astype(np.int64)] > 0)
+
+    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["doc_id"].cast("long").alias("_id"), docs["text"].alias("_text"))
+    row = row.withColumn("_maybe", F.col("_id").isNotNull() & maybe(F.xxhash64("_id")))
+    told = row.where("_maybe").join(special.where("NOT keep").select(F.col("doc_id").alias("_id")), "_id", "left_anti")
+    one = told.groupBy("_id").agg(F.min_by("_row", F.coalesce("_text", F.lit(""))).alias("_row"))
+    return row.where("NOT _maybe").select("_row.*").unionByName(one.select("_row.*"))
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
