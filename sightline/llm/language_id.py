@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import LOWER, row_groups, text_buffers
 
@@ -125,31 +126,30 @@ def fit(docs: DataFrame, learn: Column, per_lang: int = PER_LANG, max_langs: int
 
 
 def predict(spark: SparkSession, docs: DataFrame, model: Model | None) -> DataFrame:
-    """All columns of ``docs`` as struct ``_row``, ``lang_pred`` and ``score``."""
-    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["text"].alias("_text"))
+    """All columns of ``docs`` as struct ``_row``, ``lang_pred`` and ``score``. Only
+    the texts go to Python; the rows wait in the JVM."""
     shared = spark.sparkContext.broadcast(model)
-    schema = row.select("_row").schema.add("lang_pred", "string").add("score", "double")
 
-    def kernel(batches):
+    @F.arrow_udf(StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    def classify(texts: pa.Array) -> pa.Array:
         model = shared.value
-        for b in batches:
-            texts = b.column(1)
-            data, offsets = text_buffers(texts)
-            lang, score = [UNKNOWN] * len(b), np.zeros(len(b))
-            for lo, hi in row_groups(offsets):
-                for at in range(lo, hi, BLOCK_ROWS):
-                    upto = min(hi, at + BLOCK_ROWS)
-                    known = [i for i in range(at, upto) if model and _LETTER.search(texts[i].as_py() or "")]
-                    if not known:
-                        continue
-                    s = model.scores(presence(data, offsets[at : upto + 1]))[np.array(known) - at].astype(float)
-                    p = np.exp(SHARPNESS * (s - s.max(axis=1, keepdims=True)))
-                    p /= p.sum(axis=1, keepdims=True)
-                    for i, best, q in zip(known, p.argmax(axis=1), p.max(axis=1), strict=True):
-                        lang[i], score[i] = model.langs[best], min(1.0, q)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score)], names=["_row", "lang_pred", "score"])
-
-    return row.mapInArrow(kernel, schema)
+        data, offsets = text_buffers(texts)
+        lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+        for lo, hi in row_groups(offsets):
+            for at in range(lo, hi, BLOCK_ROWS):
+                upto = min(hi, at + BLOCK_ROWS)
+                known = [i for i in range(at, upto) if model and _LETTER.search(texts[i].as_py() or "")]
+                if not known:
+                    continue
+                s = model.scores(presence(data, offsets[at : upto + 1]))[np.array(known) - at].astype(float)
+                p = np.exp(SHARPNESS * (s - s.max(axis=1, keepdims=True)))
+                p /= p.sum(axis=1, keepdims=True)
+                for i, best, q in zip(known, p.argmax(axis=1), p.max(axis=1), strict=True):
+                    lang[i], score[i] = model.langs[best], min(1.0, q)
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score)], names=["lang_pred", "score"])
+
+    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), classify(docs["text"].cast("string")).alias("_found"))
+    return row.select("_row", "_found.lang_pred", "_found.score")
 
 
 def held_out() -> Column:

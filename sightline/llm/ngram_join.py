@@ -42,7 +42,9 @@ from .components import components
 
 WORDS = 5
 #: Postings that one task of a shuffle by shingle handles.
-TASK_POSTINGS = 1_500_000
+TASK_POSTINGS = 1_000_000
+#: Bytes of text and postings that a kernel holds at a time.
+GROUP_BYTES, HELD_POSTINGS = 1 << 21, 400_000
 #: Classes in a block, and shingles in a slice of the product.
 BLOCK, BLOCK_SHINGLES, COLUMNS = 256, 1_000_000, 8192
 #: Buckets of the table of shingle counts, and of a part of it.
@@ -80,7 +82,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 def _batches_of_sets(batch: pa.RecordBatch, column: int):
     """(first row, sizes, hashes, class, second digest) for groups of rows."""
     data, offsets = text_buffers(batch.column(column))
-    for lo, hi in row_groups(offsets):
+    for lo, hi in row_groups(offsets, GROUP_BYTES):
         part = offsets[lo : hi + 1]
         row, h = shingle_sets(data[part[0] : part[-1]], part - part[0])
         n = np.bincount(row, minlength=hi - lo)
@@ -190,8 +192,8 @@ def _window_counts(docs: DataFrame, n_tasks: int) -> DataFrame:
 
     def kernel(batches):
         seen: set[int] = set()  # copies within a task count once
+        hs, cs, held = [], [], 0
         for b in batches:
-            hs, cs = [], []
             for _, n, h, c, _ in _batches_of_sets(b, 0):
                 at = np.cumsum(n) - n
                 for i in np.flatnonzero(n):
@@ -200,8 +202,12 @@ def _window_counts(docs: DataFrame, n_tasks: int) -> DataFrame:
                         k = _prefix(int(n[i]))
                         hs.append(h[at[i] : at[i] + max(k, 1)])
                         cs.append(np.full(max(k, 1), c[i]))
-            if hs:
-                yield from _emit(np.concatenate(hs), np.concatenate(cs), n_tasks)
+                        held += max(k, 1)
+                if held > HELD_POSTINGS:
+                    yield from _emit(np.concatenate(hs), np.concatenate(cs), n_tasks)
+                    hs, cs, held = [], [], 0
+        if hs:
+            yield from _emit(np.concatenate(hs), np.concatenate(cs), n_tasks)
 
     return _shared_counts(docs.select("text"), kernel, n_tasks)
 
@@ -210,9 +216,12 @@ def _whole_counts(sets: DataFrame, n_tasks: int) -> DataFrame:
     def kernel(batches):
         for b in batches:
             parts = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in b.column(1)]
-            if parts:
-                ids = np.repeat(b.column(0).to_numpy(zero_copy_only=False), [len(p) for p in parts])
-                yield from _emit(np.concatenate(parts), ids, n_tasks)
+            c, ends = b.column(0).to_numpy(zero_copy_only=False), np.cumsum([len(p) for p in parts])
+            at = 0
+            while at < len(parts):
+                upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + HELD_POSTINGS, side="right")))
+                yield from _emit(np.concatenate(parts[at:upto]), np.repeat(c[at:upto], [len(p) for p in parts[at:upto]]), n_tasks)
+                at = upto
 
     return _shared_counts(sets.select("c", "hashes"), kernel, n_tasks)
 
@@ -249,10 +258,10 @@ def _sketch(keys: DataFrame) -> np.ndarray:
     def count(batches):
         total = np.zeros(SKETCH, dtype=np.uint8)
         for b in batches:
-            if len(b):
-                h = np.concatenate([np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in b.column(0)])
-                n = np.bincount((h & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-                total = np.minimum(total + n, 255).astype(np.uint8)
+            for at in range(0, len(b), 256):
+                h = np.concatenate([np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in b.column(0).slice(at, 256)])
+                bucket, n = np.unique((h & np.uint64(SKETCH - 1)).astype(np.int64), return_counts=True)
+                total[bucket] = np.minimum(total[bucket] + n, 255)
         yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([total[k * SKETCH_PART : (k + 1) * SKETCH_PART].tobytes() for k in range(parts)])], names=["part", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
