@@ -3,6 +3,7 @@ streams call the same code, and their state is plain data."""
 
 from __future__ import annotations
 
+import functools
 import heapq
 import math
 from dataclasses import dataclass, field
@@ -274,7 +275,8 @@ def ctc_beam(rows: list[list[float]], alphabet: str, slots: list[str], width: in
     return sorted(((t, b + c) for t, (b, c) in beam.items() if len(t) == len(slots)), key=lambda x: (-x[1], x[0]))
 
 
-def align_slots(text: str, allowed: list[str], match: float = 1.0, skip: float = -0.22, noise: float = -0.45) -> tuple[float, list[str]]:
+@functools.lru_cache(maxsize=1 << 16)
+def align_slots(text: str, allowed: tuple[str, ...], match: float = 1.0, skip: float = -0.22, noise: float = -0.45) -> tuple[float, list[str]]:
     """Best placing of a noisy text on a layout: a character taken by a slot scores
     ``match``, an empty slot ``skip``, a character left over ``noise``."""
     n, m = len(text), len(allowed)
@@ -291,3 +293,80 @@ def align_slots(text: str, allowed: list[str], match: float = 1.0, skip: float =
                 options.append((best[i - 1][j - 1][0] + match, [*best[i - 1][j - 1][1], text[i - 1]]))
             best[i][j] = max(options, key=lambda x: x[0])
     return best[n][m]
+
+
+@dataclass
+class Evidence:
+    """Readings of one track fused place by place. A reading counts in full if it
+    comes long enough after the last one that did, else at ``correlated``; readings
+    are placed on the layout by the characters each place allows."""
+
+    layout: list[str]
+    gap_seconds: float = 0.08
+    correlated: float = 0.35
+    min_confidence: float = 0.60
+    min_margin: float = 0.20
+    min_support: int = 2
+    slots: list[dict[str, list]] = field(default_factory=list)
+    last: float | None = None
+    frames: int = 0
+    independent: int = 0
+
+    def add(self, ts: float, text: str, confidence: float, quality: float) -> None:
+        self.slots = self.slots or [{} for _ in self.layout]
+        self.frames += 1
+        fresh = self.last is None or ts - self.last >= self.gap_seconds
+        if fresh:
+            self.last, self.independent = ts, self.independent + 1
+        weight = confidence * confidence * (0.55 + 0.45 * quality) * (1.0 if fresh else self.correlated)
+        for slot, char in zip(self.slots, align_slots(text, tuple(self.layout))[1], strict=True):
+            if char:
+                cell = slot.setdefault(char, [0.0, 0.0, 0])
+                cell[0] += weight
+                cell[1] += weight * confidence
+                cell[2] += fresh
+
+    def decide(self) -> tuple[str, float, str]:
+        """(text, confidence, phase): ``locked`` when every place is sure enough,
+        ``reading`` while not, ``empty`` without any reading."""
+        if not self.slots:
+            return "", 0.0, "empty"
+        text, worst, sure = "", 1.0, True
+        for slot in self.slots:
+            ranked = sorted(((w, c) for c, (w, _, _) in slot.items()), reverse=True)
+            if not ranked:
+                return "", 0.0, "reading"
+            total, (top, char) = sum(w for w, _ in ranked), ranked[0]
+            second = ranked[1][0] if len(ranked) > 1 else 0.0
+            support = slot[char][2]
+            confidence = slot[char][1] / max(top, 1e-9) * (0.70 + 0.30 * top / max(total, 1e-9)) + 0.04 * min(2, max(0, support - 1))
+            sure &= confidence >= self.min_confidence and (top - second) / max(total, 1e-9) >= self.min_margin and support >= self.min_support
+            text, worst = text + char, min(worst, confidence)
+        return text, min(1.0, worst), "locked" if sure else "reading"
+
+
+@dataclass
+class Agreement:
+    """Two engines' readings of one camera, each paired with the nearest one of the
+    other that still waits, within a window."""
+
+    window: float = 1.5
+    waiting: list[tuple[float, str, str]] = field(default_factory=list)
+
+    def add(self, ts: float, engine: str, text: str) -> list[tuple[float, str]]:
+        """(time, verdict) of what this reading settles: agree or disagree for a
+        pair, ``only-<engine>`` for a reading whose window has passed."""
+        out = [(t, f"only-{e}") for t, e, _ in self.waiting if ts - t > self.window]
+        self.waiting = [x for x in self.waiting if ts - x[0] <= self.window]
+        other = [x for x in self.waiting if x[1] != engine]
+        if other:
+            best = min(other, key=lambda x: (abs(ts - x[0]), x[0], x[2]))
+            self.waiting.remove(best)
+            return [*out, (ts, "agree" if best[2] == text else "disagree")]
+        if not any(e == engine and t == text for _, e, t in self.waiting):
+            self.waiting.append((ts, engine, text))
+        return out
+
+    def flush(self) -> list[tuple[float, str]]:
+        out, self.waiting = [(t, f"only-{e}") for t, e, _ in self.waiting], []
+        return out

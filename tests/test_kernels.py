@@ -83,10 +83,34 @@ def test_decoding():
     assert k.ctc_greedy(rows, "ab") == "aab"
     best = k.ctc_beam(rows, "ab", ["a", "a", "b"])
     assert best[0][0] == "aab" and 0 < best[0][1] <= 1
-    assert k.align_slots("1x2", ["12", "12", "12"])[1].count("") == 1
+    assert k.align_slots("1x2", ("12", "12", "12"))[1].count("") == 1
 
 
 @given(st.sets(st.text("abcdef", min_size=1, max_size=3), min_size=2), st.floats(0.05, 0.5), st.integers(0, 99))
 def test_group_split(groups, ratio, seed):
     held = group_split(list(groups), ratio, seed)
     assert held < groups and held and held == group_split(sorted(groups, reverse=True), ratio, seed)
+
+
+def test_evidence_locks_on_independent_readings():
+    layout = ["12", "ab", "12"]
+    e = k.Evidence(layout)
+    assert e.decide() == ("", 0.0, "empty")
+    for ts in (0.0, 0.01, 0.02):  # one independent reading
+        e.add(ts, "1a2", 0.9, 0.8)
+    assert (e.independent, e.decide()[2]) == (1, "reading")
+    e.add(0.2, "1a2", 0.9, 0.8)
+    text, confidence, phase = e.decide()
+    assert (text, phase) == ("1a2", "locked") and 0.9 < confidence <= 1
+    for ts in (0.4, 0.6, 0.8):
+        e.add(ts, "1b2", 0.9, 0.8)
+    assert e.decide()[2] == "reading"  # the second place is split
+
+
+def test_agreement():
+    a = k.Agreement(1.0)
+    assert a.add(0.0, "x", "p") == [] and a.add(0.1, "x", "p") == []  # the same text waits once
+    assert a.add(0.5, "y", "p") == [(0.5, "agree")]
+    assert a.add(0.6, "x", "p") == [] and a.add(0.7, "y", "q") == [(0.7, "disagree")]
+    a.add(1.0, "y", "r")
+    assert a.add(3.0, "x", "r") == [(1.0, "only-y")] and a.flush() == [(3.0, "only-x")]
