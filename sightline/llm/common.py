@@ -3,7 +3,9 @@ writing, and numpy kernels over Arrow text columns."""
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 import tempfile
 import uuid
 
@@ -42,6 +44,22 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def trimmed(kernel):
+    """``kernel`` over batches, after which the worker, which stays for later tasks,
+    gives freed memory back to the system."""
+
+    def run(batches):
+        yield from kernel(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return run
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets of a string column, without a copy of the bytes where
     no text is null; nulls become empty texts."""

@@ -37,14 +37,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from .common import materialize, mix, row_groups, text_buffers, word_hashes, word_spans
+from .common import materialize, mix, row_groups, text_buffers, trimmed, word_hashes, word_spans
 from .components import components
 
 WORDS = 5
 #: Postings that one task of a shuffle by shingle handles.
-TASK_POSTINGS = 1_000_000
+TASK_POSTINGS = 2_000_000
 #: Bytes of text and postings that a kernel holds at a time.
-GROUP_BYTES, HELD_POSTINGS = 1 << 21, 400_000
+GROUP_BYTES, HELD_POSTINGS = 1 << 21, 800_000
 #: Classes in a block, and shingles in a slice of the product.
 BLOCK, BLOCK_SHINGLES, COLUMNS = 256, 1_000_000, 8192
 #: Buckets of the table of shingle counts, and of a part of it.
@@ -104,7 +104,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             for lo, n, _, c, d in _batches_of_sets(b, 1):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(n)), pa.array(n), pa.array(c), pa.array(d)], names=["doc_id", "n_shingles", "c", "d"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(kernel, "doc_id long, n_shingles long, c long, d long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(kernel), "doc_id long, n_shingles long, c long, d long")
 
 
 def _need(n):
@@ -166,8 +166,8 @@ def _shared_counts(rows: DataFrame, kernel, n_tasks: int) -> DataFrame:
             at = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
             yield pa.RecordBatch.from_arrays([pa.array(c[at]), pa.array(np.add.reduceat(n, at))], names=["c", "n_shared"])
 
-    blobs = rows.mapInArrow(kernel, "bucket int, kind int, blob binary")
-    counts = blobs.repartitionById(n_tasks, F.col("bucket")).select("kind", "blob").mapInArrow(reduce, "c long, n_shared long")
+    blobs = rows.mapInArrow(trimmed(kernel), "bucket int, kind int, blob binary")
+    counts = blobs.repartitionById(n_tasks, F.col("bucket")).select("kind", "blob").mapInArrow(trimmed(reduce), "c long, n_shared long")
     return counts.groupBy("c").agg(F.sum("n_shared").alias("n_shared"))
 
 
@@ -245,7 +245,7 @@ def _sets(spark: SparkSession, docs: DataFrame, chosen: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "c", "d", "n", "hashes"])
 
     text = docs.select(F.col("doc_id").cast("long").alias("id"), "text").withColumn("k", F.xxhash64("id"))
-    rows = text.mapInArrow(kernel, "id long, c long, d long, n long, hashes binary")
+    rows = text.mapInArrow(trimmed(kernel), "id long, c long, d long, n long, hashes binary")
     # An id may have several texts; only the one of its class counts.
     return rows.join(chosen.select("id", "c", "d"), ["id", "c", "d"]).select("id", "c", "n", "hashes").dropDuplicates(["id"])
 
@@ -270,7 +270,7 @@ def _sketch(keys: DataFrame) -> np.ndarray:
             total += np.frombuffer(x.as_buffer(), dtype=np.uint8)
         return pa.table({"part": table.column("part").slice(0, 1).combine_chunks(), "counts": pa.array([np.minimum(total, 255).astype(np.uint8).tobytes()])})
 
-    rows = keys.mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
+    rows = keys.mapInArrow(trimmed(count), "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
     out = np.zeros(SKETCH, dtype=np.uint8)
     for r in rows:
         out[r["part"] * SKETCH_PART : (r["part"] + 1) * SKETCH_PART] = np.frombuffer(r["counts"], dtype=np.uint8)
@@ -291,7 +291,7 @@ def _lists(spark: SparkSession, sets: DataFrame) -> DataFrame:
                 h = h[np.lexsort((h, often))][: n - _need(n) + 1].view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), i)), pa.array(np.full(len(h), n))], names=["h", "id", "n"])
 
-    return sets.select("id", "n", "hashes").mapInArrow(kernel, "h long, id long, n long")
+    return sets.select("id", "n", "hashes").mapInArrow(trimmed(kernel), "h long, id long, n long")
 
 
 def _blocks(lists: DataFrame) -> DataFrame:
@@ -363,7 +363,7 @@ def block_links(pairs: DataFrame, members: DataFrame) -> DataFrame:
                 found = _spanning(linked)
                 yield pa.RecordBatch.from_arrays([pa.array([ids[k[side]] for k in found], pa.int64()) for side in (0, 1)], names=["a", "b"])
 
-    return rows.mapInArrow(kernel, "a long, b long")
+    return rows.mapInArrow(trimmed(kernel), "a long, b long")
 
 
 def _star(blocks: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import byte_bpe
-from .common import materialize
+from .common import materialize, trimmed
 
 WINDOW = 1024
 END_ID = 0
@@ -51,7 +51,7 @@ def cut(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, tokenizer_p
             kinds = [pa.int64()] * 5 + [pa.binary()] * with_ids
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(kernel, PIECES_SCHEMA + ", ids binary" * with_ids)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(kernel), PIECES_SCHEMA + ", ids binary" * with_ids)
 
 
 def combinations(window: int) -> np.ndarray:
