@@ -358,3 +358,48 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("learned_corrections", v.sql("l AS (SELECT observed_norm, arg_max(corrected_norm, id) AS c FROM feedback WHERE observed_norm <> '' GROUP BY 1); SELECT id, coalesce(c, plate_norm) AS learned FROM sightings LEFT JOIN l ON plate_norm = observed_norm", "sightings", "feedback"))
 def _(spark: SparkSession, d: str) -> DataFrame:
     return learned_corrections(v.sightings(spark, d), v.feedback(spark, d)).select("id", "learned")
+
+
+def golden_violations(rows: DataFrame) -> DataFrame:
+    """Every broken rule of a golden manifest (id, readable, expected_plate, slices,
+    media_kind, frame_index), one row each."""
+    day_night = F.size(F.array_intersect("slices", F.array(F.lit("day"), F.lit("night"))))
+    plate_ok = plates.plausible(F.col("expected_plate"))
+    bad = _reasons(
+        ("invalid-id", ~plates.is_identifier(F.col("id"))),
+        ("repeated-id", F.count("*").over(Window.partitionBy("id")) > 1),
+        ("readable-without-plate", F.col("readable") & ~plate_ok),
+        ("negative-with-plate", ~F.col("readable") & (F.trim("expected_plate") != "")),
+        ("one-of-day-night", day_night != 1),
+        ("frame-of-image", (F.col("media_kind") == "image") & F.col("frame_index").isNotNull()),
+        ("video-without-frame", (F.col("media_kind") == "video") & F.coalesce(F.col("frame_index") < 0, F.lit(True))),
+    )
+    return rows.select("id", bad.alias("violations")).select("id", F.explode("violations").alias("violation"))
+
+
+def margin_gate(slots: DataFrame, least: float = 0.56, margin: float = 0.12) -> DataFrame:
+    """Tracks whose every place is sure: columns track_id, place, p of each character."""
+    w = Window.partitionBy("track_id", "place").orderBy(F.desc("p"))
+    top = slots.withColumn("rank", F.row_number().over(w)).where("rank <= 2").groupBy("track_id", "place").agg(F.max("p").alias("p"), (F.max("p") - F.coalesce(F.max(F.when(F.col("rank") == 2, F.col("p"))), F.lit(0.0))).alias("margin"))
+    return top.groupBy("track_id").agg(F.bool_and((F.col("p") >= least) & (F.col("margin") >= margin)).alias("accepted"))
+
+
+@query("golden_violations", v.sql("""g AS (SELECT 'g' || (o_orderkey % 1400) AS id, readable, CASE WHEN o_orderkey % 41 = 0 THEN 'x' ELSE expected_plate END AS plate, CASE WHEN o_orderkey % 43 = 0 THEN ['w1'] ELSE slices END AS slices, CASE WHEN o_orderkey % 2 = 0 THEN 'image' ELSE 'video' END AS kind, CASE WHEN o_orderkey % 5 = 0 THEN 3 WHEN o_orderkey % 2 = 1 THEN o_orderkey % 9 - 1 END AS frame FROM passages),
+    r AS (SELECT id, unnest([CASE WHEN count(*) OVER (PARTITION BY id) > 1 THEN 'repeated-id' END, CASE WHEN readable AND plate = 'x' THEN 'readable-without-plate' END, CASE WHEN NOT readable AND plate <> '' THEN 'negative-with-plate' END, CASE WHEN len(list_intersect(slices, ['day', 'night'])) <> 1 THEN 'one-of-day-night' END,
+        CASE WHEN kind = 'image' AND frame IS NOT NULL THEN 'frame-of-image' END, CASE WHEN kind = 'video' AND coalesce(frame < 0, true) THEN 'video-without-frame' END]) AS violation FROM g); SELECT id, violation FROM r WHERE violation IS NOT NULL""", "passages"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    g = v.passages(spark, d).select(
+        F.concat(F.lit("g"), k % 1400).alias("id"),
+        "readable",
+        F.when(k % 41 == 0, "x").otherwise(F.col("expected_plate")).alias("expected_plate"),
+        F.when(k % 43 == 0, F.array(F.lit("w1"))).otherwise(F.col("slices")).alias("slices"),
+        F.when(k % 2 == 0, "image").otherwise("video").alias("media_kind"),
+        F.when(k % 5 == 0, 3).when(k % 2 == 1, k % 9 - 1).alias("frame_index"),
+    )
+    return golden_violations(g)
+
+
+@query("margin_gate", v.sql("r AS (SELECT track_id, seq, confidence_pct / 100 AS p, row_number() OVER (PARTITION BY track_id, seq ORDER BY confidence_pct DESC) AS rank FROM observations), t AS (SELECT track_id, seq, max(p) AS p, max(p) - coalesce(max(CASE WHEN rank = 2 THEN p END), 0) AS m FROM r WHERE rank <= 2 GROUP BY ALL); SELECT track_id, bool_and(p >= 0.9 AND m >= 0.5) AS accepted FROM t GROUP BY 1", "observations"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return margin_gate(v.observations(spark, d).select("track_id", F.col("seq").alias("place"), (F.col("confidence_pct") / 100).alias("p")), 0.9, 0.5)
