@@ -2,11 +2,14 @@
 
 Vectors are scaled to unit length and coded as a sum of full-dimensional
 codewords: codebooks are trained on residuals of a bounded sample, and a beam
-search picks the codes. The index stores the codes and the coded sum's norm of
-every vector. A query block scores every coded row by lookup tables (one inner
-product per codeword, added up and divided by the stored norm); the best rows of
-each block are merged per query, and the shortlist is ranked again by the exact
-cosine of the original vectors in double precision.
+search picks the codes. The index stores of every vector the codes, the coded
+sum's norm and the cosine between the two. A query block scores every coded row by
+lookup tables (one inner product per codeword, added up and divided by the stored
+norm). The rows of each block with the best scores give a k-th exact cosine in
+double precision; the angles from the query to the coded sum and from there to the
+vector bound every other row's cosine, and each row whose bound reaches the k-th is
+ranked by its exact cosine too. The k best of all blocks are the k nearest,
+whatever the number of rows and however alike they are.
 
 The codebooks' sample is bounded (``SAMPLE`` rows chosen by a hash of the id);
 every vector is indexed and every coded row is scored.
@@ -25,17 +28,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import materialize
 
 SAMPLE = 8192
 BOOKS, WORDS, BEAM = 16, 256, 8
 ROUNDS = 8
+#: So many rows of a block are ranked exactly before the bounds are looked at.
 SHORTLIST = 256
 QUERY_BLOCK, CODE_BLOCK = 512, 16384
+#: Bytes of vectors in a block of codes.
+BLOCK_BYTES = 1 << 24
 TOP_K = 5
-#: Each block keeps at least so many rows of the shortlist.
-MIN_PER_BLOCK = 16
+
+INDEX = StructType().add("vec_id", "long").add("deal", "long").add("codes", "binary").add("norm", "double").add("cosine", "double").add("slack", "double").add("v", "binary")
 
 
 @dataclass
@@ -66,8 +73,7 @@ class Codebooks:
 
 
 def train(x: np.ndarray, books: int = BOOKS, words: int = WORDS, seed: int = 7) -> Codebooks:
-    """Residual k-means, then one joint least-squares fit of all codewords to the
-    beam search's codes."""
+    """Residual k-means, book after book."""
     rng = np.random.default_rng(seed)
     rest, made = x.astype(np.float32).copy(), []
     for _ in range(books):
@@ -100,96 +106,109 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True)
-    return (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype(np.float32)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _binary(x: np.ndarray) -> pa.Array:
+    return pa.array([v.tobytes() for v in x], pa.binary())
+
+
+def _stacked(column: pa.Array, dtype, n: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=dtype).reshape(n, -1)
 
 
 def build_index(spark: SparkSession, vectors: DataFrame, sample: int = SAMPLE) -> tuple[Codebooks | None, DataFrame]:
-    """Codebooks, and (vec_id, codes, norm) of every usable vector as a table."""
+    """Codebooks, and of every usable vector vec_id, a number to deal it by, codes,
+    norm of the coded sum, its cosine with the vector, the most by which a score by
+    lookup tables may be wrong, and the unit vector, as a table."""
     drawn = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow()
     books = train(_unit(_matrix(drawn.column(0).combine_chunks()))) if len(drawn) else None
     shared = spark.sparkContext.broadcast(books)
 
     def kernel(batches):
+        books = shared.value
         for b in batches:
             for at in range(0, len(b), 1024):
                 part = b.slice(at, 1024)
-                codes = shared.value.encode(_unit(_matrix(part.column(1))))
-                norm = np.sqrt((shared.value.decode(codes).astype(np.float64) ** 2).sum(axis=1))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm)], names=["vec_id", "codes", "norm"])
+                x = _unit(_matrix(part.column(2)))
+                codes = books.encode(x)
+                coded = books.decode(codes).astype(np.float64)
+                norm = np.maximum(np.sqrt((coded**2).sum(axis=1)), 1e-12)
+                # Rounding of single-precision products and sums, twice over.
+                terms = sum(np.sqrt((book.astype(np.float64) ** 2).sum(axis=1))[codes[:, m]] for m, book in enumerate(books.words))
+                slack = 2.0**-22 * (x.shape[1] + len(books.words)) * terms / norm
+                columns = [part.column(0), part.column(1), _binary(codes), pa.array(norm), pa.array((x * coded).sum(axis=1) / norm), pa.array(slack), _binary(x)]
+                yield pa.RecordBatch.from_arrays(columns, names=INDEX.names)
+
+    # Rows are dealt by their number, so that repeats of one id do not meet in one block.
+    dealt = vectors.select("vec_id", F.xxhash64(F.monotonically_increasing_id()).alias("deal"), "embedding")
+    return books, materialize(spark, dealt.mapInArrow(kernel, INDEX), "additive-index")
+
 
-    schema = vectors.select("vec_id").schema.add("codes", "binary").add("norm", "double")
-    return books, materialize(spark, vectors.mapInArrow(kernel, schema), "additive-index")
+def _blocks(df: DataFrame, key: str, rows: int, n: int) -> DataFrame:
+    return df.withColumn("_block", F.pmod(F.xxhash64(key, F.lit("block")), F.lit(-(-n // rows) or 1)).cast("int"))
 
 
-def _blocks(df: DataFrame, rows: int, n: int) -> DataFrame:
-    return df.withColumn("_block", F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(-(-n // rows) or 1)).cast("int"))
+def _reach(s: np.ndarray, cosine: np.ndarray) -> np.ndarray:
+    """The largest cosine with a query of vectors whose coded sums have the cosine
+    ``s`` with it and ``cosine`` with the vector."""
+    s, cosine = np.clip(s, -1, 1), np.clip(cosine - 1e-12, -1, 1)
+    return np.where(s >= cosine, 1.0, s * cosine + np.sqrt((1 - s * s) * (1 - cosine * cosine)))
 
 
-def shortlist(spark: SparkSession, queries: DataFrame, books: Codebooks, index: DataFrame, size: int = SHORTLIST) -> DataFrame:
-    """(query_id, vec_id): about the ``size`` best rows of the index for each query,
-    by lookup tables. Blocks of queries meet blocks of codes; ties go to smaller ids,
-    so that equal vectors, whose codes are equal, are taken in the order of ids."""
+def nearest(spark: SparkSession, queries: DataFrame, books: Codebooks, index: DataFrame, k: int = TOP_K) -> DataFrame:
+    """query_id, rank, vec_id, score: the ``k`` rows of the index of largest cosine
+    for each query. Blocks of queries meet blocks of codes; ties go to smaller ids."""
     shared = spark.sparkContext.broadcast(books)
     n_rows = index.count()
-    share = size / max(1, -(-n_rows // CODE_BLOCK))
-    # Rows are dealt to blocks by a hash, so a block has its share of the shortlist, give or take.
-    per_block = min(size, int(share + 4 * share**0.5) + 1 + MIN_PER_BLOCK)
 
     def pack_queries(batches):
         for b in batches:
-            x = _unit(_matrix(b.column(1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([v.tobytes() for v in x], pa.binary())], names=["vec_id", "_block", "v"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), _binary(_unit(_matrix(b.column(1))))], names=["vec_id", "_block", "v"])
 
-    q = _blocks(queries, QUERY_BLOCK, queries.count()).mapInArrow(pack_queries, "vec_id long, _block int, v binary")
+    q = _blocks(queries, "vec_id", QUERY_BLOCK, queries.count()).mapInArrow(pack_queries, "vec_id long, _block int, v binary")
     q = q.groupBy("_block").agg(F.sort_array(F.collect_list(F.struct("vec_id", "v"))).alias("queries"))
-    c = _blocks(index, CODE_BLOCK, n_rows).groupBy("_block").agg(F.sort_array(F.collect_list(F.struct("vec_id", "codes", "norm"))).alias("rows"))
+    block = min(CODE_BLOCK, max(1, BLOCK_BYTES // (8 * books.words.shape[2])))
+    c = _blocks(index, "deal", block, n_rows).groupBy("_block").agg(F.collect_list(F.struct("vec_id", "codes", "norm", "cosine", "slack", "v")).alias("rows"))
 
     def score_pairs(batches):
         books = shared.value
         for b in batches:
             for i in range(len(b)):
                 qs, rows = b.column(0)[i].values, b.column(1)[i].values
-                v = np.frombuffer(b"".join(qs.field(1).to_pylist()), dtype=np.float32).reshape(len(qs), -1)
+                v, x = _stacked(qs.field(1), np.float64, len(qs)), _stacked(rows.field(5), np.float64, len(rows))
                 ids, q_ids = (np.asarray(a.field(0)) for a in (rows, qs))
-                codes = np.frombuffer(b"".join(rows.field(1).to_pylist()), dtype=np.uint8).reshape(len(rows), -1)
-                norm = np.asarray(rows.field(2))
-                tables = np.einsum("qd,mwd->qmw", v, books.words)
-                keep = min(per_block, len(ids))
+                codes = _stacked(rows.field(1), np.uint8, len(rows))
+                norm, cosine, slack = (np.asarray(rows.field(f)) for f in (2, 3, 4))
+                tables = np.einsum("qd,mwd->qmw", v.astype(np.float32), books.words)
+                keep = min(max(SHORTLIST, k + 1), len(ids))
                 for j in range(len(q_ids)):
                     s = tables[j, 0][codes[:, 0]]
                     for m in range(1, codes.shape[1]):
                         s = s + tables[j, m][codes[:, m]]
-                    s = np.where(ids == q_ids[j], -np.inf, s / np.maximum(norm, 1e-12))
-                    floor = np.partition(s, len(s) - keep)[len(s) - keep]
-                    over = np.flatnonzero(s >= floor)
-                    over = over[np.lexsort((ids[over], -s[over]))][:keep]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(over), q_ids[j])), pa.array(ids[over]), pa.array(s[over].astype(np.float64))], names=["query_id", "vec_id", "s"])
+                    s = s / norm
+                    other = ids != q_ids[j]
+                    first = np.argpartition(s, len(s) - keep)[len(s) - keep :]
+                    first = first[other[first]]
+                    over = np.flatnonzero(other)
+                    if len(first) >= k:
+                        least = np.partition(x[first] @ v[j], len(first) - k)[len(first) - k]
+                        over = np.flatnonzero(other & (_reach(s + slack, cosine) >= least - 1e-9))
+                    exact = x[over] @ v[j]
+                    if len(over) > k:
+                        near = exact >= np.partition(exact, len(exact) - k)[len(exact) - k] - 1e-9
+                        over = over[near]
+                    # Summed row by row, so that equal vectors get equal scores wherever they lie.
+                    exact = (x[over] * v[j]).sum(axis=1)
+                    best = np.lexsort((ids[over], -exact))[:k]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), q_ids[j])), pa.array(ids[over[best]]), pa.array(exact[best])], names=["query_id", "vec_id", "score"])
 
     # The stated query set meets all rows block by block; a code block is sent once for each query block.
     n_query_blocks = F.lit(q.agg(F.max("_block")).collect()[0][0])
     pairs = c.withColumn("_q", F.explode(F.sequence(F.lit(0), n_query_blocks))).join(q.withColumnRenamed("_block", "_q"), "_q").select("queries", "rows")
-    found = pairs.mapInArrow(score_pairs, "query_id long, vec_id long, s double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("s"), "vec_id")
-    return found.where("query_id <> vec_id").withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= size).select("query_id", "vec_id")
-
-
-def rerank(candidates: DataFrame, queries: DataFrame, vectors: DataFrame, k: int = TOP_K) -> DataFrame:
-    """query_id, rank, vec_id, score: the ``k`` candidates of largest cosine."""
-    left = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("a")).dropDuplicates(["query_id"])
-    right = vectors.select("vec_id", F.col("embedding").alias("b"))
-    both = candidates.join(right, "vec_id").join(left, "query_id")
-
-    def cosine(batches):
-        for x in batches:
-            a, b = _matrix(x.column(2)), _matrix(x.column(3))
-            # Row by row, so that equal vectors get equal scores wherever they lie.
-            dot = np.array([float((p * q).sum()) for p, q in zip(a, b, strict=True)])
-            size = np.sqrt([float((p * p).sum()) for p in a]) * np.sqrt([float((q * q).sum()) for q in b])
-            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(dot / size)], names=["query_id", "vec_id", "score"])
-
-    scored = both.select("query_id", "vec_id", "a", "b").mapInArrow(cosine, "query_id long, vec_id long, score double")
+    found = pairs.mapInArrow(score_pairs, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def search(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = TOP_K) -> DataFrame:
@@ -200,8 +219,7 @@ def search(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = T
     queries = v.where(is_query)
     if not queries.head(1):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    found = shortlist(spark, queries.dropDuplicates(["vec_id"]), books, index, max(SHORTLIST, k)).distinct()
-    return rerank(found, queries, v, k)
+    return nearest(spark, queries.dropDuplicates(["vec_id"]), books, index, k)
 
 
 def op10_additive_search(spark: SparkSession, sf_dir: str) -> DataFrame:

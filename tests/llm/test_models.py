@@ -137,6 +137,23 @@ def test_additive_search(spark):
     assert additive_search.search(spark, v, F.lit(False)).count() == 0
 
 
+def test_additive_search_is_whole_in_dense_groups(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 16))
+    x[1000:] = x[0] + rng.normal(size=(2000, 16)) * 1e-5  # more rows of close codes than a shortlist
+    ids = np.arange(3000)
+    ids[1500:2100] = 1500  # repeats of one id
+    v = spark.createDataFrame([(int(i), r.tolist()) for i, r in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in additive_search.search(spark, v, (F.col("vec_id") % 100 == 0) & (F.col("vec_id") != 1500)).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    assert len(got) == 24
+    for q, found in got.items():
+        cos = np.where(ids == q, -9, unit @ unit[q])
+        assert [i for _, i in sorted(found)] == ids[np.lexsort((ids, -cos))[:5]].tolist()
+
+
 def test_pipeline(spark, tmp_path):
     rng = random.Random(9)
     out = [prose(rng, 120) for _ in range(40)]
