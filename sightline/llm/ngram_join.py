@@ -16,9 +16,11 @@ of it can hold a link.
    multiplied with its own and with those of its group's first block, overlaps
    accumulated over slices of shingles, and pairs below the bound
    ``100 * overlap >= 80 * union`` discarded; links join classes to components.
-4. Pairs of blocks that still share a posting list with two components are
-   multiplied too. Links inside a component change nothing, so the components are
-   those of all links.
+4. All other pairs of blocks that share a posting list are multiplied too, so
+   every link between classes is found, in exactly one pair of blocks. A row's
+   number of links counts each linked class by its rows, and its own class's others.
+   Where only components are asked for, pairs of blocks whose shared lists hold one
+   component are left out: links inside a component do not change components.
 
 Shingles and classes are told apart by 64-bit hashes (classes by 128).
 
@@ -247,7 +249,7 @@ def _sets(spark: SparkSession, docs: DataFrame, chosen: DataFrame) -> DataFrame:
     text = docs.select(F.col("doc_id").cast("long").alias("id"), "text").withColumn("k", F.xxhash64("id"))
     rows = text.mapInArrow(trimmed(kernel), "id long, c long, d long, n long, hashes binary")
     # An id may have several texts; only the one of its class counts.
-    return rows.join(chosen.select("id", "c", "d"), ["id", "c", "d"]).select("id", "c", "n", "hashes").dropDuplicates(["id"])
+    return rows.join(chosen.select("id", "c", "d", "m"), ["id", "c", "d"]).select("id", "c", "n", "m", "hashes").dropDuplicates(["id"])
 
 
 def _sketch(keys: DataFrame) -> np.ndarray:
@@ -338,11 +340,13 @@ def overlaps(hashes: np.ndarray, row: np.ndarray, n_rows: int) -> np.ndarray:
     return out
 
 
-def block_links(pairs: DataFrame, members: DataFrame) -> DataFrame:
+def block_links(pairs: DataFrame, members: DataFrame, count: bool) -> DataFrame:
     """Links (a, b) between different components in pairs of blocks (g1, p1, g2,
-    p2), enough to join all that the pair's links join. ``members``: id, group,
-    part, component, hashes."""
-    held = members.groupBy("group", "part").agg(F.collect_list(F.struct("id", "component", "hashes")).alias("rows"))
+    p2), enough to join all that the pair's links join. With ``count`` also (a, null,
+    n): with how many rows the class ``a`` is linked in the other block, or in its own
+    where the pair is one block twice. ``members``: id, group, part, component, m,
+    hashes."""
+    held = members.groupBy("group", "part").agg(F.collect_list(F.struct("id", "component", "m", "hashes")).alias("rows"))
     left = held.select(F.col("group").alias("g1"), F.col("part").alias("p1"), F.col("rows").alias("x"))
     right = held.select(F.col("group").alias("g2"), F.col("part").alias("p2"), F.col("rows").alias("y"))
     same = (F.col("g1") == F.col("g2")) & (F.col("p1") == F.col("p2"))
@@ -354,16 +358,23 @@ def block_links(pairs: DataFrame, members: DataFrame) -> DataFrame:
                 parts = [v.values for v in (x, y) if v.is_valid]
                 ids = np.concatenate([p.field(0).to_numpy(zero_copy_only=False) for p in parts])
                 component = np.concatenate([p.field(1).to_numpy(zero_copy_only=False) for p in parts])
-                sets = [np.frombuffer(h.as_buffer(), dtype=np.uint64) for p in parts for h in p.field(2)]
+                sets = [np.frombuffer(h.as_buffer(), dtype=np.uint64) for p in parts for h in p.field(3)]
                 size = np.array([len(v) for v in sets])
                 both = overlaps(np.concatenate(sets), np.repeat(np.arange(len(sets)), size), len(sets))
                 # Below the bound from the sizes a pair is no link, whatever the two have in common.
                 linked = 100 * both >= 80 * (size[:, None] + size[None, :] - both)
+                if count:
+                    m = np.concatenate([p.field(2).to_numpy(zero_copy_only=False) for p in parts])
+                    side = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+                    counted = linked & (side[:, None] != side[None, :] if len(parts) > 1 else ~np.eye(len(ids), dtype=bool))
+                    n_links = counted @ m
+                    has = n_links > 0
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[has]), pa.nulls(int(has.sum()), pa.int64()), pa.array(n_links[has])], names=["a", "b", "n"])
                 linked &= component[:, None] != component[None, :]
                 found = _spanning(linked)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[k[side]] for k in found], pa.int64()) for side in (0, 1)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([*(pa.array([ids[k[side]] for k in found], pa.int64()) for side in (0, 1)), pa.nulls(len(found), pa.int64())], names=["a", "b", "n"])
 
-    return rows.mapInArrow(trimmed(kernel), "a long, b long")
+    return rows.mapInArrow(trimmed(kernel), "a long, b long, n long")
 
 
 def _star(blocks: DataFrame) -> DataFrame:
@@ -390,12 +401,25 @@ def _mixed(lists: DataFrame, labelled: DataFrame) -> tuple[DataFrame, DataFrame]
     return pairs, rows.select("id").distinct()
 
 
-def link_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def _touching(lists: DataFrame, labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs of blocks that share a posting list, but those of _star(), and the ids
+    in lists of more than one block."""
+    rows = lists.select("h", "id").join(labelled.select("id", "group", "part"), "id")
+    met = rows.groupBy("h").agg(F.array_sort(F.collect_set(F.struct("group", "part"))).alias("s")).where("size(s) > 1")
+    # Most lists of a group meet the same blocks.
+    pair = F.explode(F.expr("flatten(transform(s, (x, i) -> transform(slice(s, i + 2, size(s)), y -> struct(x, y))))"))
+    pairs = met.select("s").distinct().select(pair.alias("p")).select(F.col("p.x.group").alias("g1"), F.col("p.x.part").alias("p1"), F.col("p.y.group").alias("g2"), F.col("p.y.part").alias("p2"))
+    done = (F.col("g1") == F.col("g2")) & ((F.col("p1") == 0) | (F.col("p2") == 0))
+    return pairs.where(~done).distinct(), rows.join(met.select("h"), "h").select("id").distinct()
+
+
+def link_components(spark: SparkSession, docs: DataFrame, count: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id and class_id (the smallest id with the same
-    set) of every row of ``docs`` (doc_id, text)."""
+    set) of every row of ``docs`` (doc_id, text); with ``count`` also n_links, the
+    number of other rows that the row is linked with."""
     prints = materialize(spark, fingerprints(docs), "fingerprints")
     filled = prints.where("n_shingles > 0")
-    reps = filled.groupBy("c", "d").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n"))
+    reps = filled.groupBy("c", "d").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n"), F.count("*").alias("m"))
     total = reps.agg(F.sum("n")).collect()[0][0] or 0
     n_tasks = max(8, total * 2 // 5 // TASK_POSTINGS + 1)
     n = F.col("n")
@@ -404,21 +428,26 @@ def link_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     sets = materialize(spark, _sets(spark, docs, near), "sets")
     n_tasks = max(8, (sets.agg(F.sum("n")).collect()[0][0] or 0) // TASK_POSTINGS + 1)
     whole = _whole_counts(sets, n_tasks).where("n_shared > 0")
-    sets = materialize(spark, sets.join(whole, "c").where(F.col("n_shared") >= need).select("id", "n", "hashes"), "sets")
+    sets = materialize(spark, sets.join(whole, "c").where(F.col("n_shared") >= need).select("id", "n", "m", "hashes"), "sets")
     lists = materialize(spark, _lists(spark, sets), "lists")
     blocks = materialize(spark, _blocks(lists), "blocks")
     alone = sets.join(blocks, "id").withColumn("component", F.col("id"))
-    links = materialize(spark, block_links(_star(blocks), alone), "links")
-    labels = components(spark, links)
+    links = materialize(spark, block_links(_star(blocks), alone, count), "links")
+    labels = components(spark, links.where("b IS NOT NULL").select("a", "b"))
     labelled = materialize(spark, blocks.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")), "labelled")
-    pairs, ids = _mixed(lists, labelled)
+    pairs, ids = _touching(lists, labelled) if count else _mixed(lists, labelled)
     members = sets.join(labelled, "id").join(ids, "id", "left_semi")
-    more = materialize(spark, block_links(pairs, members), "links")
-    if more.head(1):
-        labels = components(spark, links.unionByName(more))
-    classes = reps.join(labels, "id", "left").select("c", "d", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component"))
-    out = filled.join(classes, ["c", "d"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
-    return out.unionByName(prints.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id")))
+    more = materialize(spark, block_links(pairs, members, count), "links")
+    if more.where("b IS NOT NULL").head(1):
+        labels = components(spark, links.unionByName(more).where("b IS NOT NULL").select("a", "b"))
+    classes = reps.join(labels, "id", "left").select("c", "d", "m", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component"))
+    columns, none = ["doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id")], []
+    if count:
+        counts = links.unionByName(more).where("n IS NOT NULL").groupBy(F.col("a").alias("class_id")).agg(F.sum("n").alias("others"))
+        classes = classes.join(counts, "class_id", "left")
+        columns, none = [*columns, (F.col("m") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")], [F.lit(0).cast("long").alias("n_links")]
+    out = filled.join(classes, ["c", "d"], "left").select(*columns)
+    return out.unionByName(prints.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), *none))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -445,4 +474,4 @@ def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_components(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return link_components(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), count=True)

@@ -137,6 +137,36 @@ def test_ngram_join_many_near_copies(spark):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(d.collect())
 
 
+def test_ngram_join_counts_all_links(spark, docs, rows):
+    import random
+
+    rng = random.Random(7)
+    base = prose(rng, 150).split(" ")
+    out = []
+    for _ in range(700):  # three blocks of one component, and a few exact copies
+        w = list(base)
+        for _ in range(rng.randint(1, 3)):
+            w[rng.randrange(len(w))] = f"z{rng.randrange(10**9)}"
+        out.append(" ".join(w))
+    many = frame(spark, out + out[:5])
+    for d, own in ((docs, rows), (many, many.collect())):
+        number = {}
+        sets = []
+        for r in own:
+            w = words(lower(r.text))
+            grams = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+            sets.append([number.setdefault(g, len(number)) for g in grams])
+        x = np.zeros((len(sets), len(number)), dtype=np.float32)
+        for i, s in enumerate(sets):
+            x[i, s] = 1
+        both, size = x @ x.T, x.sum(axis=1)
+        linked = (both > 0) & (100 * both >= 80 * (size[:, None] + size[None, :] - both))
+        np.fill_diagonal(linked, False)
+        got = ngram_join.link_components(spark, d, count=True).collect()
+        assert Counter((r.doc_id, r.n_links) for r in got) == Counter((r.doc_id, n) for r, n in zip(own, linked.sum(axis=1).tolist(), strict=True))
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link_components(spark, d).collect())
+
+
 def test_keep_one(spark, docs, rows):
     kept = ngram_join.keep_one(spark, docs)
     assert kept.columns == docs.columns
