@@ -7,8 +7,8 @@ labelled sample give Nyström features, on which one-versus-rest kernel ridge
 regression is solved in closed form. Texts are scored by batched matrix products
 with the landmarks.
 
-The fit takes a bounded sample: at most about ``PER_LANG`` documents of each of
-the ``MAX_LANGS`` most frequent languages, chosen by a hash of the id.
+The fit takes a bounded sample of every language: at most about ``PER_LANG`` of its
+documents, chosen by a hash of the id.
 
 Null texts and texts without a letter are ``und`` with score 0, and so is every
 text where nothing can be learned (no labelled row). Rows with a null id take no
@@ -30,10 +30,12 @@ from .common import LOWER, row_groups, text_buffers
 
 DIMS = 1 << 14
 NGRAMS = 3
-PER_LANG, MAX_LANGS, LANDMARKS = 300, 200, 128
+PER_LANG, LANDMARKS = 300, 128
 RIDGE = 1e-2
 SHARPNESS = 4.0
 BLOCK_ROWS = 256
+#: Rows of the sample that are worked on at once.
+SOLVE_ROWS = 1024
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -71,43 +73,44 @@ class Model:
         return (_unit(flags) @ self.landmarks.T) @ self.weights[:-1] + self.weights[-1]
 
 
-def solve(langs: list[str], flags: np.ndarray, labels: np.ndarray) -> Model:
-    """``labels``: index into ``langs`` of each row of ``flags``."""
+def solve(langs: list[str], packed: np.ndarray, labels: np.ndarray) -> Model:
+    """``labels``: index into ``langs`` of each row of ``packed``, whose bits are
+    presence. Sums run over blocks of rows, whatever the number of languages."""
     per = max(1, LANDMARKS // len(langs))
+    unpacked = lambda rows: _unit(np.unpackbits(rows, axis=1))
     chosen = np.concatenate([np.flatnonzero(labels == k)[:per] for k in range(len(langs))])
-    x = _unit(flags)
-    landmarks = x[chosen]
+    landmarks = unpacked(packed[chosen])
     values, vectors = np.linalg.eigh((landmarks @ landmarks.T).astype(float))
     good = values > 1e-6 * values.max()
     nystroem = vectors[:, good] / np.sqrt(values[good])
-    z = (x @ landmarks.T).astype(float) @ nystroem
-    mean = z.mean(axis=0)
-    y = np.where(labels[:, None] == np.arange(len(langs)), 1.0, -1.0)
+    blocks = [slice(at, at + SOLVE_ROWS) for at in range(0, len(labels), SOLVE_ROWS)]
+    features = lambda block: (unpacked(packed[block]) @ landmarks.T).astype(float) @ nystroem
+    mean = sum(features(block).sum(axis=0) for block in blocks) / len(labels)
     # Rare languages weigh as much as frequent ones.
-    w = (1.0 / np.bincount(labels, minlength=len(langs)))[labels][:, None] * len(labels) / len(langs)
-    zc = z - mean
-    centre = (w * y).sum(axis=0) / w.sum()
-    a = np.linalg.solve(zc.T @ (w * zc) + RIDGE * len(labels) * np.eye(zc.shape[1]) / zc.shape[1], zc.T @ (w * (y - centre)))
+    weight = 1.0 / np.bincount(labels, minlength=len(langs)) * len(labels) / len(langs)
+    centre = np.full(len(langs), 2.0 / len(langs) - 1)  # the weighted mean of 1 for a row's language and -1 for others
+    left, right = np.zeros((len(mean), len(mean))), np.zeros((len(mean), len(langs)))
+    for block in blocks:
+        zc, own = features(block) - mean, labels[block]
+        wz = weight[own][:, None] * zc
+        left += zc.T @ wz
+        right += wz.T @ (np.where(own[:, None] == np.arange(len(langs)), 1.0, -1.0) - centre)
+    a = np.linalg.solve(left + RIDGE * len(labels) * np.eye(len(mean)) / len(mean), right)
     weights = nystroem @ a
     return Model(langs, landmarks, np.vstack([weights, centre - mean @ a]).astype(np.float32))
 
 
-def _sample(labelled: DataFrame, per_lang: int, max_langs: int) -> DataFrame | None:
+def _sample(labelled: DataFrame, per_lang: int) -> DataFrame:
     """doc_id, text, lang of about ``per_lang`` rows of each language."""
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
-    if not counts:
-        return None
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, per_lang / r["n"]))])
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    return labelled.where(draw < F.try_element_at(share, F.col("lang")))
+    return labelled.join(F.broadcast(counts), "lang").where(draw * F.col("n") < per_lang).select("doc_id", "text", "lang")
 
 
-def fit(docs: DataFrame, learn: Column, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS) -> Model | None:
+def fit(docs: DataFrame, learn: Column, per_lang: int = PER_LANG) -> Model | None:
     """Learn from the rows of ``docs`` (doc_id, text, lang) where ``learn`` holds."""
     labelled = docs.select("doc_id", "text", "lang").where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sample = _sample(labelled, per_lang, max_langs)
-    if sample is None:
-        return None
+    sample = _sample(labelled, per_lang)
 
     def kernel(batches):
         for b in batches:
@@ -121,8 +124,9 @@ def fit(docs: DataFrame, learn: Column, per_lang: int = PER_LANG, max_langs: int
         return None
     rows.sort(key=lambda r: (r["lang"], r["doc_id"], r["flags"]))
     langs = sorted({r["lang"] for r in rows})
-    flags = np.unpackbits(np.frombuffer(b"".join(r["flags"] for r in rows), dtype=np.uint8).reshape(len(rows), -1), axis=1)
-    return solve(langs, flags, np.array([langs.index(r["lang"]) for r in rows]))
+    number = {x: k for k, x in enumerate(langs)}
+    packed = np.frombuffer(b"".join(r["flags"] for r in rows), dtype=np.uint8).reshape(len(rows), -1)
+    return solve(langs, packed, np.array([number[r["lang"]] for r in rows]))
 
 
 def predict(spark: SparkSession, docs: DataFrame, model: Model | None) -> DataFrame:

@@ -38,6 +38,18 @@ def test_language_id(spark):
     assert language_id.predict(spark, empty(spark), None).count() == 0
 
 
+def test_language_id_learns_rare_languages(spark):
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    data = [(3 * k + j, speak(rng, "aa", 20), f"l{k:03}") for k in range(230) for j in range(2)]
+    data += [(9000, speak(rng, "bb", 30), "zz")]
+    model = language_id.fit(spark.createDataFrame(data, "doc_id long, text string, lang string"), F.col("doc_id").isNotNull())
+    assert model.langs == [*(f"l{k:03}" for k in range(230)), "zz"]
+    flags = language_id.presence(*text_buffers(pa.array([speak(rng, "bb", 30)])))
+    assert model.langs[int(model.scores(flags).argmax())] == "zz"
+
+
 def test_presence_is_the_set_of_ngrams():
     import pyarrow as pa
 
