@@ -12,6 +12,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes hashed at once; bounds the kernels' memory whatever a text's length.
 SLICE_BYTES = 1 << 20
@@ -24,16 +25,36 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+#: Keys that hold at least one in so many rows are joined by broadcast (see join_counted).
+HOT_KEYS = 4096
+#: Bits of a key filter, at least and at most (8 MB).
+FILTER_BITS = 1 << 16, 1 << 26
+
+_made: list[str] = []
+
+
 @functools.lru_cache(maxsize=1)
 def _own_shared_dir() -> str:
     return tempfile.mkdtemp(prefix="sightline-shared-")
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which driver and executors share.
+    Where it is unset, a local session makes one up; on a cluster that would be a
+    folder of one machine, so there it is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = _own_shared_dir()
+    return f"{root.rstrip('/')}/sightline"
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``, which driver and executors
-    share. Only where that setting is absent (tests) is a folder made up."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or _own_shared_dir()
-    return f"{root.rstrip('/')}/sightline/{name}-{uuid.uuid4().hex}"
+    """A fresh folder under shared_root()."""
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -44,6 +65,51 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Delete the folders that shared_path() gave out, from the ``since``-th on, but
+    those in ``keep``; tables read from them are gone."""
+    for path in [p for p in _made[since:] if p not in keep]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _made.remove(path)
+
+
+def made() -> int:
+    """How many folders shared_path() has given out that are still there."""
+    return len(_made)
+
+
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], count: str, n_rows: int) -> DataFrame:
+    """``left`` inner joined with ``right``, a written table with one row a key whose
+    column ``count`` says how many of the ``n_rows`` left rows have it. Keys of more
+    than one in HOT_KEYS rows, of which there are fewer than HOT_KEYS, are broadcast,
+    so no task gets all rows of a frequent key; the others are shuffled."""
+    hot = F.col(count) * HOT_KEYS > n_rows
+    few = F.broadcast(right.where(hot))  # fewer than HOT_KEYS rows
+    rest = left.join(F.broadcast(right.where(hot).select(*keys)), keys, "left_anti").join(right.where(~hot), keys)
+    return left.join(few, keys).unionByName(rest)
+
+
+def key_filter(keys: DataFrame, n: int) -> np.ndarray:
+    """A bit table of the ``n`` 64-bit keys in the only column of ``keys``: a key
+    whose bit is not set is none of them. Its size follows ``n`` up to FILTER_BITS;
+    beyond, more keys that are none of them have their bit set."""
+    low, high = FILTER_BITS
+    bits = min(high, max(low, 1 << (16 * n).bit_length()))
+    bit = F.col(keys.columns[0]).bitwiseAND(F.lit(bits - 1))
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))
+    words = keys.select(F.shiftright(bit, 6).alias("w"), mask.alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
+    out = np.zeros(bits // 64, dtype=np.uint64)
+    out[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
+    return out
+
+
+def maybe_in(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Of every 64-bit key whether key_filter() may have had it."""
+    bit = keys.view(np.uint64) & np.uint64(len(table) * 64 - 1)
+    return (table[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def trimmed(kernel):
     """``kernel`` over batches, after which the worker, which stays for later tasks,
     gives freed memory back to the system."""

@@ -43,7 +43,7 @@ def cut(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, tokenizer_p
         for b in batches:
             rows: list[tuple] = []
             for doc, text in zip(b.column(0), b.column(1), strict=True):
-                ids = np.array([*bpe.encode(text.as_py()), end_id], dtype="<u4")
+                ids = np.append(bpe.array(text.as_py()), np.uint32(end_id)).astype("<u4", copy=False)
                 for at in range(0, len(ids), window):
                     part = ids[at : at + window].tobytes()
                     rows.append((doc.as_py(), at, len(part) // 4, zlib.crc32(part), len(ids), *([part] if with_ids else [])))
@@ -146,7 +146,7 @@ def ranked(pieces: DataFrame, n_rows: int) -> DataFrame:
     before = Window.partitionBy("length").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
     counts = dealt.groupBy("length", "_g").agg(F.count("*").alias("_n"))
     counts = counts.select("length", "_g", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("length", "_g").orderBy("doc_id", "start"))
+    own = F.row_number().over(Window.partitionBy("length", "_g").orderBy("doc_id", "start", "ids_crc32"))
     return dealt.withColumn("_own", own).join(counts, ["length", "_g"]).withColumn("rank", F.col("_before") + F.col("_own") - 1).drop("_g", "_own", "_before")
 
 

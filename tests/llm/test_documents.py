@@ -38,26 +38,40 @@ def library():
     return Tokenizer.from_file(byte_bpe.default_path())
 
 
-def test_byte_bpe_is_the_library(library):
-    bpe = byte_bpe.load(byte_bpe.default_path())
-    odd = [f"a{chr(c)}b {chr(c)} 1{chr(c)}" for c in [*range(1, 0x3000, 7), *range(0x1F300, 0x1F400, 5), 0xFEFF, 0xFFFD, 0x10FFFF]]
-    for text in [*texts(), *odd, "a<|endoftext|>b", "it's I'LL", "   \n\n x\t\t"]:
-        assert bpe.encode(text) == (library.encode(text, add_special_tokens=False).ids if text else [])
-    long = "word  and\n\nmore " * 200_000
-    assert bpe.encode(long) == library.encode(long, add_special_tokens=False).ids
-    assert len(bpe.encode(" " * 3_000_000 + "b")) > 0  # the fast encoder refuses this one
-
-
 def test_token_counts(spark, docs, rows, library):
     path = shared_path(spark, "cache")
     want = Counter((r.doc_id, len((r.text or "").encode()), len(library.encode(r.text or "", add_special_tokens=False).ids)) for r in rows)
-    for _ in range(2):  # the second run finds everything in the cache
+    half = docs.where("doc_id % 2 = 0")
+    token_counts.count_tokens(spark, half, path)
+    assert spark.read.parquet(path).count() == len({r.text or "" for r in rows if r.doc_id is not None and r.doc_id % 2 == 0})
+    for _ in range(2):  # a partly warm cache, then one that has everything
         got = token_counts.count_tokens(spark, docs, path).collect()
         assert Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in got) == want
         assert spark.read.parquet(path).count() == len({r.text or "" for r in rows})
     assert token_counts.count_tokens(spark, empty(spark), shared_path(spark, "cache")).count() == 0
 
 
+def test_token_counts_query_keeps_its_cache(spark, docs, rows, library, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_counts, "shared_root", lambda spark: str(tmp_path / "shared"))
+    want = Counter((r.doc_id, len((r.text or "").encode()), n := len(library.encode(r.text or "", add_special_tokens=False).ids), n > 512) for r in rows)
+    docs.where("doc_id > 60").write.parquet(str(tmp_path / "a/documents.parquet"))
+    docs.write.parquet(str(tmp_path / "b/documents.parquet"))
+    token_counts.op9_token_counts(spark, str(tmp_path / "a")).collect()
+    cold = spark.read.parquet(str(tmp_path / "shared/token-counts/*")).count()
+    for _ in range(2):
+        got = token_counts.op9_token_counts(spark, str(tmp_path / "b")).collect()
+        assert Counter((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in got) == want
+        assert cold < spark.read.parquet(str(tmp_path / "shared/token-counts/*")).count() == len({r.text or "" for r in rows})
+
+
+def test_token_counts_with_one_content_in_a_third_of_all_rows(spark, library):
+    d = spark.range(3000).selectExpr("id AS doc_id", "if(id % 3 = 0, 'the same text', concat('text ', id)) AS text").repartition(7)
+    got = token_counts.count_tokens(spark, d, shared_path(spark, "cache"))
+    assert got.count() == 3000 and got.where(F.col("doc_id") % 3 == 0).select("n_tokens").distinct().collect()[0][0] == len(library.encode("the same text").ids)
+    # The frequent content's counts come by broadcast, not through the shuffle of the others.
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_packing(spark, docs, rows, library):
     got = packing.pack(spark, docs).collect()
     ids = defaultdict(list)
