@@ -1,14 +1,17 @@
 """Nearest neighbours by additive quantisation.
 
 Vectors are scaled to unit length and coded as a sum of full-dimensional
-codewords: codebooks are trained on residuals of a bounded sample, and a beam
-search picks the codes. The index stores of every vector the codes, the coded
+codewords: codebooks are begun on residuals of a bounded sample, then all of them
+are fitted together by least squares to the codes that a beam search picks, in
+turns. The index stores of every vector the codes, the coded
 sum's norm and the cosine between the two. A query block scores every coded row by
 lookup tables (one inner product per codeword, added up and divided by the stored
 norm). The rows of each block with the best scores give a k-th exact cosine in
 double precision; the angles from the query to the coded sum and from there to the
 vector bound every other row's cosine, and each row whose bound reaches the k-th is
-ranked by its exact cosine too. The k best of all blocks are the k nearest,
+ranked by its exact cosine too. A task keeps the k best of each of its queries
+over the blocks of rows that it meets, which are a ``GROUPS``-th of all, so the rows
+that go on grow with the queries alone. The k best of all are the k nearest,
 whatever the number of rows and however alike they are.
 
 The codebooks' sample is bounded (``SAMPLE`` rows chosen by a hash of the id);
@@ -35,11 +38,15 @@ from .common import materialize
 SAMPLE = 8192
 BOOKS, WORDS, BEAM = 16, 256, 8
 ROUNDS = 8
+#: Turns of encoding and fitting, and passes over the books in a fit.
+FITS, PASSES = 2, 6
 #: So many rows of a block are ranked exactly before the bounds are looked at.
 SHORTLIST = 256
-QUERY_BLOCK, CODE_BLOCK = 512, 16384
-#: Bytes of vectors in a block of codes.
-BLOCK_BYTES = 1 << 24
+QUERY_BLOCK, CODE_BLOCK = 4096, 8192
+#: Bytes of vectors in a block of codes or of queries.
+BLOCK_BYTES = 1 << 23
+#: Groups of code blocks; a block of queries and such a group are worked on together.
+GROUPS = 64
 TOP_K = 5
 
 INDEX = StructType().add("vec_id", "long").add("deal", "long").add("codes", "binary").add("norm", "double").add("cosine", "double").add("slack", "double").add("v", "binary")
@@ -72,8 +79,26 @@ class Codebooks:
         return sum(book[codes[:, m]] for m, book in enumerate(self.words))
 
 
-def train(x: np.ndarray, books: int = BOOKS, words: int = WORDS, seed: int = 7) -> Codebooks:
-    """Residual k-means, book after book."""
+def fitted(x: np.ndarray, codes: np.ndarray, words: np.ndarray, passes: int = PASSES) -> np.ndarray:
+    """Codewords of all books that make the sum of |x - coded sum|^2 small together,
+    the codes being given: least squares, book by book against all others' share,
+    over and over, which never raises it. Words that no row uses stay."""
+    words = words.astype(np.float64)
+    rest = x - sum(book[codes[:, m]] for m, book in enumerate(words))
+    for _ in range(passes):
+        for m in range(len(words)):
+            own = codes[:, m].astype(np.int64)
+            rest += words[m][own]
+            total, n = np.zeros_like(words[m]), np.bincount(own, minlength=len(words[m]))
+            np.add.at(total, own, rest)
+            words[m][n > 0] = total[n > 0] / n[n > 0, None]
+            rest -= words[m][own]
+    return words.astype(np.float32)
+
+
+def train(x: np.ndarray, books: int = BOOKS, words: int = WORDS, seed: int = 7, fits: int = FITS) -> Codebooks:
+    """Residual k-means, book after book; then ``fits`` times codes by beam search
+    and one fit of all codewords to them."""
     rng = np.random.default_rng(seed)
     rest, made = x.astype(np.float32).copy(), []
     for _ in range(books):
@@ -87,7 +112,11 @@ def train(x: np.ndarray, books: int = BOOKS, words: int = WORDS, seed: int = 7)
             centres[n > 0] = total[n > 0] / n[n > 0, None]
         made.append(centres)
         rest = rest - centres[((centres**2).sum(-1) - 2 * rest @ centres.T).argmin(axis=1)]
-    return Codebooks(np.stack(made))
+    found = Codebooks(np.stack(made))
+    for _ in range(fits):
+        codes = np.concatenate([found.encode(x[at : at + 1024]) for at in range(0, len(x), 1024)])
+        found = Codebooks(fitted(x, codes, found.words))
+    return found
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -156,6 +185,13 @@ def _reach(s: np.ndarray, cosine: np.ndarray) -> np.ndarray:
     return np.where(s >= cosine, 1.0, s * cosine + np.sqrt((1 - s * s) * (1 - cosine * cosine)))
 
 
+def _merge(best: list, ids: np.ndarray, scores: np.ndarray, k: int) -> list:
+    """The ``k`` best of (ids, scores) so far and of those given."""
+    ids, scores = (np.concatenate([a, b]) for a, b in zip(best, (ids, scores), strict=True))
+    order = np.lexsort((ids, -scores))[:k]
+    return [ids[order], scores[order]]
+
+
 def nearest(spark: SparkSession, queries: DataFrame, books: Codebooks, index: DataFrame, k: int = TOP_K) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` rows of the index of largest cosine
     for each query. Blocks of queries meet blocks of codes; ties go to smaller ids."""
@@ -166,46 +202,61 @@ def nearest(spark: SparkSession, queries: DataFrame, books: Codebooks, index: Da
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), _binary(_unit(_matrix(b.column(1))))], names=["vec_id", "_block", "v"])
 
-    q = _blocks(queries, "vec_id", QUERY_BLOCK, queries.count()).mapInArrow(pack_queries, "vec_id long, _block int, v binary")
-    q = q.groupBy("_block").agg(F.sort_array(F.collect_list(F.struct("vec_id", "v"))).alias("queries"))
-    block = min(CODE_BLOCK, max(1, BLOCK_BYTES // (8 * books.words.shape[2])))
+    fit = max(1, BLOCK_BYTES // (8 * books.words.shape[2]))
+    q = _blocks(queries, "vec_id", min(QUERY_BLOCK, fit), queries.count()).mapInArrow(pack_queries, "vec_id long, _block int, v binary")
+    q = q.groupBy("_block").agg(F.sort_array(F.collect_list(F.struct("vec_id", "v"))).alias("queries")).withColumnRenamed("_block", "_q")
+    block = min(CODE_BLOCK, fit)
+    groups = min(GROUPS, -(-n_rows // block))
     c = _blocks(index, "deal", block, n_rows).groupBy("_block").agg(F.collect_list(F.struct("vec_id", "codes", "norm", "cosine", "slack", "v")).alias("rows"))
 
     def score_pairs(batches):
-        books = shared.value
+        books, now, best = shared.value, None, {}
+
+        def out():
+            found = [(np.full(len(ids), j), ids, scores) for j, (ids, scores) in best.items()]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["query_id", "vec_id", "score"])
+
         for b in batches:
             for i in range(len(b)):
+                if best and now != (b.column(2)[i].as_py(), b.column(3)[i].as_py()):
+                    yield out()
+                    best = {}
+                now = b.column(2)[i].as_py(), b.column(3)[i].as_py()
                 qs, rows = b.column(0)[i].values, b.column(1)[i].values
                 v, x = _stacked(qs.field(1), np.float64, len(qs)), _stacked(rows.field(5), np.float64, len(rows))
                 ids, q_ids = (np.asarray(a.field(0)) for a in (rows, qs))
                 codes = _stacked(rows.field(1), np.uint8, len(rows))
                 norm, cosine, slack = (np.asarray(rows.field(f)) for f in (2, 3, 4))
-                tables = np.einsum("qd,mwd->qmw", v.astype(np.float32), books.words)
                 keep = min(max(SHORTLIST, k + 1), len(ids))
                 for j in range(len(q_ids)):
-                    s = tables[j, 0][codes[:, 0]]
+                    table = np.einsum("d,mwd->mw", v[j].astype(np.float32), books.words)
+                    s = table[0][codes[:, 0]]
                     for m in range(1, codes.shape[1]):
-                        s = s + tables[j, m][codes[:, m]]
+                        s = s + table[m][codes[:, m]]
                     s = s / norm
+                    held = best.setdefault(int(q_ids[j]), [np.zeros(0, np.int64), np.zeros(0)])
                     other = ids != q_ids[j]
                     first = np.argpartition(s, len(s) - keep)[len(s) - keep :]
                     first = first[other[first]]
-                    over = np.flatnonzero(other)
-                    if len(first) >= k:
-                        least = np.partition(x[first] @ v[j], len(first) - k)[len(first) - k]
+                    over, known = np.flatnonzero(other), np.concatenate([x[first] @ v[j], held[1]])
+                    if len(known) >= k:
+                        least = np.partition(known, len(known) - k)[len(known) - k]
                         over = np.flatnonzero(other & (_reach(s + slack, cosine) >= least - 1e-9))
                     exact = x[over] @ v[j]
                     if len(over) > k:
                         near = exact >= np.partition(exact, len(exact) - k)[len(exact) - k] - 1e-9
                         over = over[near]
                     # Summed row by row, so that equal vectors get equal scores wherever they lie.
-                    exact = (x[over] * v[j]).sum(axis=1)
-                    best = np.lexsort((ids[over], -exact))[:k]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), q_ids[j])), pa.array(ids[over[best]]), pa.array(exact[best])], names=["query_id", "vec_id", "score"])
+                    best[int(q_ids[j])] = _merge(held, ids[over], (x[over] * v[j]).sum(axis=1), k)
+        if best:
+            yield out()
 
     # The stated query set meets all rows block by block; a code block is sent once for each query block.
-    n_query_blocks = F.lit(q.agg(F.max("_block")).collect()[0][0])
-    pairs = c.withColumn("_q", F.explode(F.sequence(F.lit(0), n_query_blocks))).join(q.withColumnRenamed("_block", "_q"), "_q").select("queries", "rows")
+    # The join's order brings one pair of query block and group together; where it does not, more rows go on.
+    n_query_blocks = F.lit(q.agg(F.max("_q")).collect()[0][0])
+    c = c.withColumn("_q", F.explode(F.sequence(F.lit(0), n_query_blocks))).withColumn("_group", F.col("_block") % groups)
+    q = q.withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    pairs = c.hint("merge").join(q, ["_q", "_group"]).select("queries", "rows", "_q", "_group")
     found = pairs.mapInArrow(score_pairs, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
@@ -219,7 +270,8 @@ def search(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = T
     queries = v.where(is_query)
     if not queries.head(1):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    return nearest(spark, queries.dropDuplicates(["vec_id"]), books, index, k)
+    # Of rows that repeat a query's id the smallest vector asks.
+    return nearest(spark, queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding")), books, index, k)
 
 
 def op10_additive_search(spark: SparkSession, sf_dir: str) -> DataFrame:

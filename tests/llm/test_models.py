@@ -166,6 +166,63 @@ def test_additive_search_is_whole_in_dense_groups(spark):
         assert [i for _, i in sorted(found)] == ids[np.lexsort((ids, -cos))[:5]].tolist()
 
 
+def test_joint_fit_lowers_the_error():
+    rng = np.random.default_rng(3)
+    x = additive_search._unit(rng.normal(size=(900, 12)) @ rng.normal(size=(12, 12)))
+    plain, joint = (additive_search.train(x, 4, 16, fits=f) for f in (0, 2))
+    error = lambda b: ((x - b.decode(b.encode(x))) ** 2).sum()
+    assert error(joint) < 0.97 * error(plain)
+    codes = plain.encode(x)
+    words = additive_search.fitted(x, codes, plain.words, 400)
+    # The fit is the least-squares solution of all codewords together.
+    a = np.zeros((len(x), 64))
+    for m in range(4):
+        a[np.arange(len(x)), 16 * m + codes[:, m]] = 1
+    best = x - a @ np.linalg.lstsq(a, x, rcond=None)[0]
+    assert ((x - additive_search.Codebooks(words).decode(codes)) ** 2).sum() < 1.001 * (best**2).sum()
+
+
+@pytest.mark.parametrize("n", [10_000, 40_000])
+def test_recall_at_sizes(spark, n, monkeypatch):
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n // 20, 24))[rng.integers(0, n // 20, n)] + 0.3 * rng.normal(size=(n, 24))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = additive_search.search(spark, v, F.col("vec_id") % 500 == 0).collect()
+    unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    found = {}
+    for r in got:
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, n, 500):
+        cos = unit @ unit[q]
+        cos[q] = -9
+        hits += len(found[q] & set(np.argpartition(-cos, 5)[:5].tolist()))
+    assert hits / (5 * len(range(0, n, 500))) >= 0.95
+
+
+def test_additive_search_in_many_blocks_and_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(additive_search, "CODE_BLOCK", 100)
+    monkeypatch.setattr(additive_search, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(additive_search, "GROUPS", 3)
+    v, x = vectors(spark)
+    v = v.select("*", F.lit(1).alias("rank"), F.lit("x").alias("score"), F.lit(2).alias("_block"), F.lit(3).alias("codes"))
+    got = {}
+    for r in additive_search.search(spark, v, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+    unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    for q, found in got.items():
+        cos = (unit * unit[q]).sum(axis=1)
+        cos[q] = -9
+        assert [found[k] for k in range(1, 6)] == np.lexsort((np.arange(len(x)), -cos))[:5].tolist()
+    assert len(got) == 30
+
+
+def test_cosine_of_huge_components(spark):
+    v = spark.createDataFrame([(0, [1e200, 2e200]), (1, [2e200, 4e200]), (2, [1e-200, 0.0])], "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r.vec_id, round(r.score, 12)) for r in additive_search.search(spark, v, F.col("vec_id") == 0).collect())
+    assert got == [(1, 1, 1.0), (2, 2, round(1 / 5**0.5, 12))]
+
+
 def test_pipeline(spark, tmp_path):
     rng = random.Random(9)
     out = [prose(rng, 120) for _ in range(40)]
