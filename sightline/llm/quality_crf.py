@@ -7,8 +7,8 @@ maximises the conditional likelihood of the chain; scoring runs forward-backward
 averages the marginals weighted by the lines' lengths, and calibrates that mean
 by a logistic curve fitted on the sample.
 
-The fit takes a bounded sample: ``MAX_DOCS`` labelled documents chosen by a hash
-of the id, of which at most ``MAX_LINES`` lines count.
+The fit takes a bounded sample: ``max_docs`` labelled documents chosen by a hash
+of the id, with all their lines.
 
 Null and empty texts, and texts without a word, have no line and score 0. Rows
 with a null id, and ids labelled both ways, take no part in learning. Without any
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import mix, text_buffers, word_hashes, word_spans
 
-MAX_DOCS, MAX_LINES = 3000, 200
+#: Labelled documents of a fit, unless its argument says otherwise.
+MAX_DOCS = 3000
 ROUNDS = 120
 L2 = 1e-4
 THRESHOLD = 0.7
@@ -210,8 +211,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, max_docs: int =
             data, offsets = text_buffers(b.column(1))
             row, size, x = lines(data, offsets)
             for i in range(len(b)):
-                own = np.flatnonzero(row == i)[:MAX_LINES]
-                if len(own):
+                own = slice(*np.searchsorted(row, [i, i + 1]))
+                if own.stop > own.start:
                     yield pa.RecordBatch.from_arrays(
                         [b.column(0).slice(i, 1).cast(pa.string()), b.column(2).slice(i, 1).cast(pa.int32()), pa.array([size[own].tobytes()]), pa.array([x[own].tobytes()])], names=["doc_id", "q", "size", "x"]
                     )

@@ -1,5 +1,6 @@
 """Operators over documents against brute force, edge cases included."""
 
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -222,6 +223,61 @@ def test_log_likelihood_ratio(spark):
     assert not any(k >= 180 for k in kept if k is not None and k != 39)
 
 
+def brute_llr(rows, trusted, hashes):
+    """The mean ratio of every row. ``hashes``: the engine's hash of a tuple of
+    words, or of hashes, as the plan takes it."""
+    grams = []
+    for r in rows:
+        h = [hashes(w) for w in words(r.text)]
+        grams.append([x & (quality_rules.BUCKETS - 1) for x in h] + [(hashes(a, b) & (quality_rules.BUCKETS - 1)) + quality_rules.BUCKETS for a, b in zip(h, h[1:])])
+    raw, target = Counter(), Counter()
+    for r, g in zip(rows, grams, strict=True):
+        raw.update(g)
+        if r.doc_id in trusted:
+            target.update(g)
+    share = sum(target.values()) / sum(raw.values())
+    ratio = {b: round(1000 * math.log((target[b] + 20 * share) / (raw[b] + 20) / share)) for b in raw}
+    return [sum(ratio[b] for b in g) / (1000 * max(1, len(g))) for g in grams]
+
+
+def test_ratio_is_brute_force(spark, docs, rows):
+    seen: dict = {}
+
+    def hashes(*parts):
+        return seen[parts]
+
+    vocabulary = sorted({w for r in rows for w in words(r.text)})
+    for r in spark.createDataFrame([(w,) for w in vocabulary], "w string").select("w", F.xxhash64("w").alias("h")).collect():
+        seen[(r.w,)] = r.h
+    pairs = sorted({(seen[(a,)], seen[(b,)]) for r in rows for a, b in zip(words(r.text), words(r.text)[1:])})
+    for r in spark.createDataFrame(pairs, "a long, b long").select("a", "b", F.xxhash64("a", "b").alias("h")).collect():
+        seen[(r.a, r.b)] = r.h
+    labels = spark.createDataFrame([(r.doc_id, int(r.doc_id < 60)) for r in rows if r.doc_id is not None] + [(3, 0), (None, 1), (6, None)], "doc_id long, quality int")
+    trusted = quality_rules.trusted_ids(labels)
+    ids = {r.doc_id for r in trusted.collect()}
+    assert ids == {r.doc_id for r in rows if r.doc_id is not None and r.doc_id < 60 and r.doc_id != 3 and zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    assert 0 < quality_rules.trusted_ids(labels, 4).count() < len(ids)
+    got = quality_rules.rules(docs, trusted).select("_row.doc_id", F.col("_row.text").alias("text"), "llr", "kept", "base_failed").collect()
+    want = Counter((r.doc_id, r.text, round(x, 9)) for r, x in zip(rows, brute_llr(rows, ids, hashes), strict=True))
+    assert Counter((r.doc_id, r.text, round(r.llr, 9)) for r in got) == want
+    assert all(r.kept == (not r.base_failed and r.llr >= quality_rules.MIN_LLR) for r in got)
+    nobody = spark.createDataFrame([(10**9,)], "doc_id long")  # then the rule says whom to trust
+    assert quality_rules.fit(docs, nobody) == quality_rules.fit(docs)
+
+
+def test_rules_on_labelled_documents(spark):
+    import random
+
+    rng = random.Random(14)
+    good = [prose(rng, 80) for _ in range(120)]
+    bad = [" ".join(w + rng.choice(["***", "$$$"]) for w in prose(rng, 80).split()) for _ in range(40)]
+    d = frame(spark, good + bad).where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    labels = spark.createDataFrame([(3 * i, int(i < 120)) for i in range(160)], "doc_id long, quality int")
+    held = lambda i: zlib.crc32(str(3 * i).encode()) % 4 == 2
+    kept = {r.doc_id for r in quality_rules.keep_good(d, quality_rules.trusted_ids(labels)).collect()}
+    assert all(3 * i in kept for i in range(120) if held(i)) and not any(3 * i in kept for i in range(120, 160))
+
+
 def test_license_scan(spark, docs):
     mit = license_scan.TEMPLATES["MIT"][1]
     changed = mit.replace("free of charge", "free of any charge")

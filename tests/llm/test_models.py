@@ -2,6 +2,8 @@
 
 import math
 import random
+import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -50,14 +52,56 @@ def test_language_id_learns_rare_languages(spark):
     assert model.langs[int(model.scores(flags).argmax())] == "zz"
 
 
-def test_presence_is_the_set_of_ngrams():
+def grams(text):
+    """The hashed n-grams of a text, one by one."""
+    data, out = text.encode(), set()
+    data = bytes(c + 32 if 65 <= c <= 90 else c for c in data)
+    for n in (1, 2, 3):
+        for i in range(len(data) - n + 1):
+            code = 0
+            for c in data[i : i + n]:
+                code = (code * 257 + c + 1) % 2**32
+            out.add(code * (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)[n - 1] % 2**32 >> 18)
+    return out
+
+
+def test_presence_is_the_set_of_ngrams(monkeypatch):
     import pyarrow as pa
 
-    data, offsets = text_buffers(pa.array(["abcab", "ABCAB", "", "cab"]))
-    x = language_id.presence(data, offsets)
-    assert (x[0] == x[1]).all() and x[2].sum() == 0
-    assert x[0].sum() <= len({"abcab"[i : i + n] for n in (1, 2, 3) for i in range(6 - n)})
-    assert (x[3] <= x[0]).all()
+    texts = ["abcab", "ABCAB", "", "cab", "é ü 漢字", "x", "long " * 500]
+    x = language_id.presence(*text_buffers(pa.array(texts)))
+    assert [set(np.flatnonzero(r).tolist()) for r in x] == [grams(t) for t in texts]
+
+
+def test_language_scores_are_kernel_ridge_regression(spark):
+    rng = random.Random(11)
+    data = [(i, speak(rng, x, rng.randint(2, 30)), x) for i, x in enumerate(rng.choices(list(SYLLABLES), [6, 3, 1], k=180))]
+    data = [*data, (900, "Ⅷ ² ½ ①", "aa"), (901, "日本 " * 20_000, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string").select("*", F.lit(1).alias("score"), F.lit("q").alias("lang_pred"), F.lit(0).alias("_row"))
+    model = language_id.fit(docs, language_id.learnable())
+    got = {r["_row"]["doc_id"]: (r.lang_pred, r.score) for r in language_id.predict(spark, docs, model).collect()}
+    kernel = lambda a, b: len(a & b) / np.sqrt(max(len(a), 1) * max(len(b), 1))
+    own = sorted((x, str(i), t) for i, t, x in data if x is not None and i < 900 and zlib.crc32(str(i).encode()) % 5 != 0)
+    own += [("aa", "900", data[-2][1])] if zlib.crc32(b"900") % 5 else []
+    own.sort()
+    sets, langs = [grams(t) for _, _, t in own], sorted({x for x, _, _ in own})
+    per = language_id.LANDMARKS // len(langs)
+    marks = [g for k in langs for g in [s for s, (x, _, _) in zip(sets, own, strict=True) if x == k][:per]]
+    kmm = np.array([[kernel(a, b) for b in marks] for a in marks])
+    values, vectors = np.linalg.eigh(kmm)
+    root = vectors[:, values > 1e-6 * values.max()] / np.sqrt(values[values > 1e-6 * values.max()])
+    z = np.array([[kernel(a, b) for b in marks] for a in sets]) @ root
+    label = np.array([langs.index(x) for x, _, _ in own])
+    weight = len(label) / len(langs) / np.bincount(label)[label]
+    y = np.where(label[:, None] == np.arange(len(langs)), 1.0, -1.0)
+    mean, centre = z.mean(axis=0), 2 / len(langs) - 1
+    zc = z - mean
+    a = np.linalg.solve(zc.T @ (weight[:, None] * zc) + language_id.RIDGE * len(label) * np.eye(z.shape[1]) / z.shape[1], zc.T @ (weight[:, None] * (y - centre)))
+    for i, t, _ in data[:-2]:
+        s = (np.array([kernel(grams(t), b) for b in marks]) @ root - mean) @ a + centre
+        p = np.exp(language_id.SHARPNESS * (s - s.max()))
+        assert got[i][0] == langs[int(s.argmax())] and abs(got[i][1] - p.max() / p.sum()) < 1e-2
+    assert got[900] == ("und", 0.0) and got[901][0] in langs
 
 
 def junk(rng):
@@ -94,6 +138,57 @@ def test_quality_crf(spark):
     assert quality_crf.score(spark, docs.limit(0), model).count() == 0
 
 
+def line_features(text):
+    """Own features of every line with a word, and its length, one by one."""
+    out, seen = [], set()
+    for line in re.findall(r"[^\n]*\n|[^\n]+", text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", line)
+        if w:
+            data = line.encode()
+            kinds = ["#*$%&<>@^~=\\/{}[]", "|", "!?", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", None, ".,;:"]
+            shares = [sum(c >= 128 if k is None else chr(c) in k and c < 128 for c in data) / len(data) for k in kinds]
+            same = sum(a == b for a, b in zip(w, w[1:])) / len(w)
+            size = sum(len(x.encode()) for x in w) / len(w)
+            own = [math.log1p(len(data)) / 8, math.log1p(len(w)) / 6, same, 1 - len(set(w)) / len(w), min(size / 16, 2), len(w) == 1, tuple(w) in seen, *[min(4 * s, 2) for s in shares]]
+            seen.add(tuple(w))
+            out.append((len(data), [float(v) for v in own]))
+    return out
+
+
+def test_features_and_document_scores(spark):
+    rng = random.Random(12)
+    texts = [prose(rng, 60), "One.\nOne.\n\nTWO two two | | x\n é ü!? 12\n", "", None, "x" * 30_000 + "\n" + "a b\n" * 3_000, junk(rng)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("*", F.lit(2).alias("score"), F.lit(3).alias("q"), F.lit("x").alias("quality"))
+    wide = np.random.default_rng(1)
+    model = quality_crf.Model(wide.normal(size=quality_crf.WIDTH) * 0.3, wide.normal(size=(2, 2)) * 0.5, 1.3, -0.2)
+    got = {r.doc_id: r.score for r in quality_crf.score(spark, docs, model).collect()}
+    for i, t in enumerate(texts):
+        rows = line_features(t or "")
+        if not rows:
+            assert got[i] == 0
+            continue
+        own = np.array([f for _, f in rows])
+        pad = np.zeros((1, own.shape[1]))
+        x = np.concatenate([np.ones((len(own), 1)), own, np.concatenate([pad, own[:-1]]), np.concatenate([own[1:], pad])], axis=1)
+        emit = x @ model.weights
+        # The chain's sums, state by state.
+        forward, back = np.zeros((len(x), 2)), np.zeros((len(x), 2))
+        for k in range(len(x)):
+            for s in (0, 1):
+                before = [forward[k - 1, r] + model.moves[r, s] for r in (0, 1)] if k else [0.0, -np.inf]
+                forward[k, s] = s * emit[k] + np.logaddexp(*before)
+        for k in range(len(x) - 2, -1, -1):
+            for s in (0, 1):
+                back[k, s] = np.logaddexp(*[model.moves[s, r] + r * emit[k + 1] + back[k + 1, r] for r in (0, 1)])
+        both = forward + back
+        good = np.exp(both[:, 1] - np.logaddexp(both[:, 0], both[:, 1]))
+        size = np.array([n for n, _ in rows])
+        mean = min(max((good * size).sum() / size.sum(), 1e-4), 1 - 1e-4)
+        assert abs(got[i] - 1 / (1 + math.exp(-(1.3 * math.log(mean / (1 - mean)) - 0.2)))) < 1e-4
+    labels = spark.createDataFrame([(0, 1), (4, 0), (5, 0)], "doc_id long, quality int")
+    assert quality_crf.fit(docs, labels, F.lit(True)) is not None  # with every line of the long one
+
+
 def test_forward_backward_is_enumeration():
     rng = np.random.default_rng(0)
     row = np.array([0, 0, 0, 1, 2, 2])
