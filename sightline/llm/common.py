@@ -79,6 +79,11 @@ def made() -> int:
     return len(_made)
 
 
+def last() -> tuple[str, ...]:
+    """The folder that shared_path() gave out last."""
+    return tuple(_made[-1:])
+
+
 def join_counted(left: DataFrame, right: DataFrame, keys: list[str], count: str, n_rows: int) -> DataFrame:
     """``left`` inner joined with ``right``, a written table with one row a key whose
     column ``count`` says how many of the ``n_rows`` left rows have it. Keys of more

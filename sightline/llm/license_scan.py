@@ -1,18 +1,23 @@
 """License scans: MinHash bands over windows of words, then exact containment.
 
-Words are lower-cased (A-Z) runs without white space; shingles are five words.
-Templates of fewer than ``WINDOW + STRIDE - 1`` shingles, which may fall between
-windows, are looked for in windows of one shingle, where the only MinHash is the shingle itself: any shared shingle
-collides. Longer templates contribute every window they have; a text's windows,
-one every ``STRIDE`` shingles, are as long, so a verbatim copy of at least
-``WINDOW + STRIDE - 1`` shingles holds a window with Jaccard 1, which collides
-for certain, and one of Jaccard 0.8 collides in one of the ``BANDS`` bands of one
-row with probability 1 - 0.2 ** BANDS > 0.998.
+Words are lower-cased (A-Z) runs without white space or punctuation, so comment marks
+and full stops do not matter; shingles are five words. A text's windows of shingles
+have keys, one for each band, made of the windows' MinHashes; so have the templates'.
+
+- Templates of fewer than ``SHORT`` shingles: windows of one shingle, one band. Any
+  shared shingle collides.
+- Longer templates contribute every window of ``WINDOW`` shingles that they have; a
+  text has one every ``STRIDE``. A run of ``WINDOW + STRIDE - 1`` shingles in common
+  holds a window with Jaccard 1, which collides for certain, and a window of
+  Jaccard 0.8 collides in one of the ``BANDS`` bands of one row with probability
+  1 - 0.2 ** BANDS > 0.998. Where single words were changed and 0.8 of the shingles
+  are left, the longest run has 0.8 n / (n / 25 + 1) shingles or more, which is
+  such a run from ``SHORT`` shingles on.
 
 A template retrieved by any collision is verified: it matches where the text has
-at least ``THRESHOLD`` of its distinct shingles. The templates are a bounded
-list that is part of the plan; each row is worked on alone, without a shuffle.
-Everything is DataFrame functions.
+at least ``THRESHOLD`` of its distinct shingles. Templates are a table that is
+broadcast, of at most ``MAX_BYTES``; their keys are one literal. Each row is worked
+on alone, without a shuffle. Everything is DataFrame functions.
 
 Null texts and texts of fewer than five words match nothing. Repeated rows each
 get their matches, a null ``doc_id`` is passed through, and an empty table gives
@@ -25,117 +30,102 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .license_texts import TEMPLATES
+
 WORDS = 5
 WINDOW, STRIDE, BANDS = 8, 4, 4
-#: So many shingles in a row hold a whole window.
-ALIGNED = WINDOW + STRIDE - 1
+#: From so many shingles on, a template is looked for in windows of WINDOW.
+SHORT = 31
 THRESHOLD = 0.8
+#: Of all templates' texts together, at most.
+MAX_BYTES = 4 << 20
 _SPACE = r"[\x20\x09-\x0D]+"
-#: Notices by which licenses are commonly declared.
-TEMPLATES: dict[str, list[str]] = {
-    "Apache-2.0": [
-        "Licensed under the Apache License, Version 2.0.",
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
-    ],
-    "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0."],
-    "GPL-3.0": [
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    ],
-    "MIT": [
-        "Released under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software,",
-    ],
-}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Characters that part words, as white space does.
+_MARKS = ".,;:!?()[]{}<>/\\|*#\"'`=-_"
 
 
 def shingles(text: str) -> list[str]:
-    words = re.findall(r"[^\x20\x09-\x0D]+", text.translate(str.maketrans(_UPPER, _LOWER)))
+    words = re.findall(r"[^\x20\x09-\x0D]+", text.translate(str.maketrans(_UPPER + _MARKS, _LOWER + " " * len(_MARKS))))
     return [" ".join(words[i : i + WORDS]) for i in range(len(words) - WORDS + 1)]
 
 
-def _permuted_min(window: Column, band: int) -> Column:
+def _key(window: Column, band: int) -> Column:
+    """The key of a window (an array of hashes) in a band."""
     seed = F.lit((band + 1) * 0x1F3D5B79A1C3E5F7 % (1 << 62))
     return F.xxhash64(F.lit(band), F.array_min(F.transform(window, lambda x: x.bitwiseXOR(seed))))
 
 
-def _mins(hashes: Column, at: Column) -> Column:
-    """One key for each band of the window that begins at ``at``."""
-    window = F.slice(hashes, at + 1, WINDOW)
-    return F.array(*[_permuted_min(window, b) for b in range(BANDS)])
-
-
-def _windows(hashes: Column, stride: int) -> Column:
-    """Keys of all windows; a text shorter than a window is one window."""
-    starts = F.sequence(F.lit(0), F.greatest(F.size(hashes) - WINDOW, F.lit(0)), F.lit(stride))
-    return F.flatten(F.transform(starts, lambda i: _mins(hashes, i)))
+def _windows(hashes: Column, size: int, stride: int, bands: int) -> Column:
+    """Keys of all windows of ``size`` hashes, one every ``stride``; fewer hashes
+    are one window."""
+    if size == 1:
+        return F.flatten(F.transform(hashes, lambda h: F.array(*[_key(F.array(h), b) for b in range(bands)])))
+    starts = F.sequence(F.lit(0), F.greatest(F.size(hashes) - size, F.lit(0)), F.lit(stride))
+    return F.flatten(F.transform(starts, lambda i: F.array(*[_key(F.slice(hashes, i + 1, size), b) for b in range(bands)])))
 
 
 def template_table(spark: SparkSession, templates: dict[str, list[str]]) -> list[dict]:
-    """Of each template its license, shingle hashes and keys (a bounded list)."""
-    rows = [(name, sorted(set(s))) for name, texts in sorted(templates.items()) for s in map(shingles, texts) if s]
-    order = [s for texts in (t for _, t in sorted(templates.items())) for s in map(shingles, texts) if s]
-    df = spark.createDataFrame([(i, n, s, o) for i, ((n, s), o) in enumerate(zip(rows, order, strict=True))], "i int, license_id string, s array<string>, o array<string>")
-    hashes = df.select("i", "license_id", F.transform("s", lambda x: F.xxhash64(x)).alias("s"), F.transform("o", lambda x: F.xxhash64(x)).alias("o"))
-    keyed = hashes.withColumn("keys", F.when(F.size("o") < ALIGNED, F.col("s")).otherwise(F.array_distinct(_windows(F.col("o"), 1))))
-    return [r.asDict() | {"short": len(r["o"]) < ALIGNED} for r in keyed.orderBy("i").collect()]
+    """Of each template its number, license, shingle hashes and keys."""
+    if sum(len(t.encode()) for texts in templates.values() for t in texts) > MAX_BYTES:
+        raise ValueError("the templates are too large to be broadcast")
+    rows = [(name, s) for name, texts in sorted(templates.items()) for s in map(shingles, texts) if s]
+    df = spark.createDataFrame([(i, n, s) for i, (n, s) in enumerate(rows)], "template int, license_id string, s array<string>")
+    df = df.withColumn("o", F.transform("s", lambda x: F.xxhash64(x)))
+    keys = F.when(F.size("o") < SHORT, _windows(F.col("o"), 1, 1, 1)).otherwise(_windows(F.col("o"), WINDOW, 1, BANDS))
+    return [r.asDict() for r in df.select("template", "license_id", F.array_distinct("o").alias("s"), F.array_distinct(keys).alias("keys"), (F.size("o") < SHORT).alias("short")).orderBy("template").collect()]
 
 
-def _longs(values) -> Column:
-    return F.array(*[F.lit(int(v)) for v in values]).cast("array<bigint>")
+def _held(keys: str, values: set[int]) -> Column:
+    """Those of the array column ``keys`` that are in ``values``."""
+    return F.expr(f"filter({keys}, k -> k IN ({', '.join(f'{v}L' for v in sorted(values))}))") if values else F.expr("CAST(array() AS array<bigint>)")
 
 
 def scan(spark: SparkSession, docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, license_id, template (its number), n_shingles, n_matched,
     containment and first_word of every template in every row of ``docs``."""
     table = template_table(spark, TEMPLATES if templates is None else templates)
-    out = docs.select("doc_id", F.array_remove(F.split(F.translate(F.coalesce("text", F.lit("")), _UPPER, _LOWER), _SPACE), "").alias("_w"))
+    leads: dict[int, list[int]] = {}
+    for r in table:
+        for k in r["keys"]:
+            leads.setdefault(k, []).append(r["template"])
+    if not table:
+        none = {"license_id": "string", "template": "int", "n_shingles": "long", "n_matched": "long", "containment": "double", "first_word": "long"}
+        return docs.where(F.lit(False)).select("doc_id", *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
+    words = F.split(F.translate(F.coalesce("text", F.lit("")), _UPPER + _MARKS, _LOWER + " " * len(_MARKS)), _SPACE)
+    out = docs.select("doc_id", F.array_remove(words, "").alias("_w"))
     joined = F.transform(F.sequence(F.lit(0), F.size("_w") - WORDS), lambda i: F.xxhash64(F.concat_ws(" ", F.slice("_w", i + 1, WORDS))))
     out = out.select("doc_id", F.when(F.size("_w") < WORDS, F.array().cast("array<bigint>")).otherwise(joined).alias("_s"))
-    short = [r for r in table if r["short"]]
-    long_ = [r for r in table if not r["short"]]
-    found_short = F.array_intersect("_s", _longs({k for r in short for k in r["keys"]}))
-    found_long = F.array_intersect(_windows(F.col("_s"), STRIDE), _longs({k for r in long_ for k in r["keys"]})) if long_ else _longs([])
-    out = out.select("doc_id", "_s", F.concat(found_short, found_long).alias("_hit"))
-
-    def verified(i: int, r: dict) -> Column:
-        have = F.size(F.array_intersect("_s", _longs(r["s"])))
-        first = F.array_min(F.transform(_longs(r["s"]), lambda h: F.nullif(F.array_position("_s", h), F.lit(0).cast("bigint"))))
-        match = F.arrays_overlap("_hit", _longs(r["keys"])) & (have >= F.lit(threshold) * len(r["s"]))
-        fields = F.struct(
-            F.lit(r["license_id"]).alias("license_id"),
-            F.lit(i).alias("template"),
-            F.lit(len(r["s"])).cast("long").alias("n_shingles"),
-            have.cast("long").alias("n_matched"),
-            (have / len(r["s"])).alias("containment"),
-            (first - 1).alias("first_word"),
-        )
-        return F.when(match, fields)
-
-    # Only rows with a collision are verified; the outer explode keeps the
-    # filter from being pushed below, where it would repeat the arrays.
-    matches = F.when(F.size("_hit") > 0, F.array(*[verified(i, r) for i, r in enumerate(table)])) if table else F.lit(None).cast("array<struct<license_id:string>>")
-    out = out.select("doc_id", matches.alias("_m")).select("doc_id", F.explode_outer("_m").alias("_m")).where("_m IS NOT NULL")
-    return out.select("doc_id", "_m.*")
+    out = out.select("doc_id", "_s", _windows(F.col("_s"), 1, 1, 1).alias("_one"), _windows(F.col("_s"), WINDOW, STRIDE, BANDS).alias("_many"))
+    short, long_ = ({k for r in table if r["short"] == kind for k in r["keys"]} for kind in (True, False))
+    hit = F.array_distinct(F.concat(_held("_one", short), _held("_many", long_)))
+    # The outer explodes keep what follows from being pushed below, where it would repeat the arrays.
+    out = out.select("doc_id", F.explode_outer(F.array(F.struct("_s", hit.alias("hit")))).alias("_x")).where("size(_x.hit) > 0")
+    numbers = F.split(F.lit(",".join(" ".join(map(str, v)) for v in leads.values())), ",")  # two foldable arrays, one literal map
+    lead = F.map_from_arrays(F.split(F.lit(",".join(map(str, leads))), ",").cast("array<bigint>"), numbers)
+    found = F.array_distinct(F.flatten(F.transform("_x.hit", lambda k: F.split(F.element_at(lead, k), " ").cast("array<int>"))))
+    out = out.select("doc_id", F.col("_x._s").alias("_s"), F.explode_outer(found).alias("template"))
+    known = spark.createDataFrame([(r["template"], r["license_id"], r["s"]) for r in table], "template int, license_id string, _t array<bigint>")
+    out = out.join(F.broadcast(known), "template")  # at most MAX_BYTES of texts
+    have = F.size(F.array_intersect("_s", "_t"))
+    first = F.array_min(F.transform("_t", lambda h: F.nullif(F.array_position("_s", h), F.lit(0).cast("bigint"))))
+    n = F.size("_t")
+    out = out.select("doc_id", "license_id", "template", n.cast("long").alias("n_shingles"), have.cast("long").alias("n_matched"), (have / n).alias("containment"), (first - 1).alias("first_word"))
+    return out.where(F.col("n_matched") >= F.lit(threshold) * F.col("n_shingles"))
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", "license_id", "template", "n_shingles", "n_matched", "containment", "first_word")
+    return scan(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def _oracle() -> str:
-    rows, i = [], 0
-    for name, texts in sorted(TEMPLATES.items()):
-        for text in texts:
-            rows += ["({}, '{}', '{}')".format(i, name, s.replace("'", "''")) for s in sorted(set(shingles(text)))]
-            i += 1
+    quoted = lambda s: s.replace("'", "''")
+    every = [(name, own) for name, texts in sorted(TEMPLATES.items()) for own in map(shingles, texts) if own]
+    rows = [f"({i}, '{name}', '{quoted(s)}')" for i, (name, own) in enumerate(every) for s in sorted(set(own))]
     return f"""
     WITH t(template, license_id, s) AS (VALUES {", ".join(rows)}),
     size AS (SELECT template, license_id, count(*) AS n_shingles FROM t GROUP BY ALL),
-    w AS (SELECT rn, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+    w AS (SELECT rn, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{quoted(_UPPER + _MARKS)}', '{_LOWER + " " * len(_MARKS)}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
           FROM (SELECT row_number() OVER () AS rn, doc_id, text FROM documents)),
     s AS (SELECT rn, doc_id, i - 1 AS pos, array_to_string(w[i:i + {WORDS - 1}], ' ') AS s
           FROM (SELECT rn, doc_id, w, unnest(range(1, len(w) - {WORDS - 2})) AS i FROM w)),

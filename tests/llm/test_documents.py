@@ -279,26 +279,60 @@ def test_rules_on_labelled_documents(spark):
 
 
 def test_license_scan(spark, docs):
-    mit = license_scan.TEMPLATES["MIT"][1]
-    changed = mit.replace("free of charge", "free of any charge")
-    d = docs.select("doc_id", "text").unionByName(
-        spark.createDataFrame([(900, "Hello.\nReleased under the MIT License.\nBye"), (901, "some words before " + mit + " and after"), (902, changed), (903, " ".join(mit.split()[::-1])), (904, "So is THIS WORK is licensed under the GNU General Public License, version 3. Bye")], "doc_id long, text string")
+    mit = license_scan.TEMPLATES["MIT"][2]
+    w = mit.split()
+    changed = " ".join("other" if i % 40 == 7 else x for i, x in enumerate(w))
+    worse = " ".join("other" if i % 12 == 7 else x for i, x in enumerate(w))
+    comment = "\n".join(" * " + line for line in license_scan.TEMPLATES["BSD-3-Clause"][0].lower().split(". "))
+    notes = [
+        "Hello.\nReleased under the MIT License\nBye",
+        "some words before " + mit + " and after",
+        changed,
+        worse,
+        " ".join(w[::-1]),
+        "So is THIS WORK is licensed under the GNU General Public License, version 3, and so on",
+        "/*\n" + comment + "\n*/",
+        "Licensed under the Apache License, Version 2.0; or else",
+        "the word " * 5_000 + license_scan.TEMPLATES["Zlib"][0],
+        license_scan.TEMPLATES["GPL-3.0"][0] + license_scan.TEMPLATES["Unlicense"][0],
+    ]
+    d = docs.select("doc_id", "text", F.lit(1).alias("template"), F.lit("x").alias("license_id")).unionByName(
+        spark.createDataFrame([(900 + i, t, 1, "x") for i, t in enumerate(notes)], "doc_id long, text string, template int, license_id string")
     )
-    got = {(r.doc_id, r.license_id, r.n_matched, r.n_shingles, r.first_word) for r in license_scan.scan(spark, d).collect()}
+    got = {(r.doc_id, r.license_id, r.template, r.n_matched, r.n_shingles, r.first_word) for r in license_scan.scan(spark, d).collect()}
+    numbered = [(n, set(s)) for n, all_ in sorted(license_scan.TEMPLATES.items()) for s in map(license_scan.shingles, all_) if s]
     want = set()
     for r in d.collect():
-        own = license_scan.shingles(lower(r.text or ""))
-        for name, all_ in license_scan.TEMPLATES.items():
-            for t in all_:
-                s = set(license_scan.shingles(t))
-                both = s & set(own)
-                if len(both) >= 0.8 * len(s):
-                    want.add((r.doc_id, name, len(both), len(s), min(own.index(x) for x in both)))
-    assert got == want and {d for d, *_ in got} >= {900, 901, 902, 904}
+        own = license_scan.shingles(r.text or "")
+        for k, (name, s) in enumerate(numbered):
+            both = s & set(own)
+            if len(both) >= 0.8 * len(s):
+                want.add((r.doc_id, name, k, len(both), len(s), min(own.index(x) for x in both)))
+    assert got == want
+    names = {i: {n for d, n, *_ in got if d == 900 + i} for i in range(10)}
+    assert names[0] == names[1] == names[2] == {"MIT"} and not names[3] and not names[4] and "GPL-3.0" in names[5]
+    assert {"BSD-3-Clause"} <= names[6] and names[7] == {"Apache-2.0"} and names[8] == {"Zlib"} and {"GPL-3.0", "Unlicense"} <= names[9]
     assert license_scan.scan(spark, empty(spark)).count() == 0
     assert license_scan.scan(spark, d, {}).count() == 0
 
 
+def test_every_license_is_found_with_words_changed(spark):
+    import random
+
+    rng = random.Random(8)
+    texts_ = []
+    for name, all_ in sorted(license_scan.TEMPLATES.items()):
+        for t in all_:
+            w = t.split()
+            n = len(license_scan.shingles(t))
+            for i in rng.sample(range(len(w)), n // 25):  # each breaks five shingles at most
+                w[i] = "changed"
+            texts_.append((name, " ".join(w)))
+    d = spark.createDataFrame([(i, prose(rng, 30) + t) for i, (_, t) in enumerate(texts_)], "doc_id long, text string")
+    found = {(r.doc_id, r.license_id) for r in license_scan.scan(spark, d).collect()}
+    assert {(i, n) for i, (n, _) in enumerate(texts_)} <= found
+
+
 def pieces_of(m, text, size):
     chunks = [c for _, c in sentence_pieces.split(m, text, size)]
     states = [sentence_pieces.transfer(m, c) for c in chunks]
