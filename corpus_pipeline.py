@@ -1,21 +1,28 @@
-"""The corpus pipeline: language, quality, near duplicates, packing."""
+"""The corpus pipeline: language, quality, near duplicates, packing.
+
+Every stage takes all rows that the one before it kept, and returns the columns of
+documents; the last returns pieces. Null, empty and letterless texts go at the first
+stage, having no language. Repeated rows are near duplicates of one another, of which
+one stays; a row with a null doc_id stays only where no linked row has an id. An
+empty table gives empty tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sightline.llm import language_id, ngram_join, packing, quality_rules
-from sightline.llm.common import materialize
+from sightline.llm import common, language_id, ngram_join, packing, quality_rules
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known stay."""
+    """Documents stay that are in a learned language with a score that the stage's
+    operator takes for sure (language_id.MIN_SCORE)."""
     return language_id.keep_known(spark, docs)
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules and the n-gram ratio keep stay."""
-    return quality_rules.keep_good(docs)
+    """Documents that the rules and the n-gram ratio keep stay; those that labels
+    call good are the trusted target."""
+    return quality_rules.keep_good(docs, quality_rules.trusted_ids(spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,10 +44,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over documents, each written and read again."""
+    """The stages in order over documents, each written and read again; what a stage
+    has written besides is deleted with its end."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(spark, stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before = common.made()
+        docs = common.materialize(spark, stage(spark, docs, sf_dir), f"pipeline-{name}")
+        common.release(spark, before, keep=common.last())
     return docs
 
 
