@@ -1,6 +1,7 @@
 """Operators over documents against brute force, edge cases included."""
 
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -376,29 +377,59 @@ def test_feistel():
     assert (training_order.feistel(np.arange(999), 999, 1) != training_order.feistel(np.arange(999), 999, 2)).any()
 
 
+def shards(folder):
+    return {f: zlib.crc32(open(f"{folder}/{f}", "rb").read()) for f in sorted(os.listdir(folder)) if f.startswith("shard")}
+
+
 def test_training_order(spark, docs, rows, library, tmp_path):
-    d = docs.select("text")
-    at = str(tmp_path / "out")
+    source, at = str(tmp_path / "documents.parquet"), str(tmp_path / "out")
+    docs.repartition(3).write.parquet(source)
+    d = spark.read.parquet(source)
     index = sorted(training_order.write_shards(spark, d, at, length=64, shard_bytes=20_000).collect(), key=lambda r: r.slot)
-    assert [r.slot for r in index] == list(range(len(index))) and len({r.shard for r in index}) > 2
-    stored = list(training_order.read_from(spark, at, length=64))
-    assert [zlib.crc32(s.tobytes()) for s in stored] == [r.ids_crc32 for r in index]
-    assert all((a == b).all() for a, b in zip(training_order.read_from(spark, at, 70, 64), stored[70:], strict=True))
-    parts = d.rdd.getNumPartitions()
-    index_of = np.concatenate([np.arange(5000) + p * training_order.PARTITION_SPACE for p in range(parts)])
-    back = dict(zip(training_order.feistel(index_of, parts * training_order.PARTITION_SPACE, 0).tolist(), index_of.tolist(), strict=True))
-    order = sorted((back[r.permuted], s) for r, s in zip(index, stored, strict=True))
-    streams = [[] for _ in range(parts)]
-    for i, s in order:
-        streams[i // training_order.PARTITION_SPACE] += s.tolist()
-    docs_back = Counter()
-    for s in streams:
-        own = []
-        for t in s:
-            if t == training_order.END_ID:
-                docs_back[tuple(own)] += 1
-                own = []
-            else:
-                own.append(t)
-    assert docs_back == Counter(tuple(library.encode(r.text or "", add_special_tokens=False).ids) for r in rows)
+    n = len(index)
+    assert [r.slot for r in index] == list(range(n)) and len({r.shard for r in index}) > 2
+    # The slot is the keyed permutation of the sequence's number in the stream.
+    assert training_order.feistel(np.array([r.sequence for r in index]), n, 0).tolist() == list(range(n))
+    k = training_order.shard_records(64, 20_000)
+    assert all((r.shard, r.byte_offset) == (r.slot // k, r.slot % k * (4 + 2 * 64)) for r in index)
+    stored = list(training_order.read_from(at, length=64, shard_bytes=20_000))
+    assert [(zlib.crc32(s.tobytes()), len(s)) for s in stored] == [(r.ids_crc32, r.n_tokens) for r in index]
+    for slot in (1, 70, k, 3 * k - 1, n - 1, n, n + 99):  # without an index
+        part = list(training_order.read_from(at, slot, 64, 20_000))
+        assert len(part) == max(0, n - slot) and all((a == b).all() for a, b in zip(part, stored[slot:]))
+    # All but the last sequence are full, and the stream is the files' rows in order.
+    by_sequence = [s for _, s in sorted(zip((r.sequence for r in index), stored, strict=True), key=lambda x: x[0])]
+    assert all(len(s) == 64 for s in by_sequence[:-1])
+    want = []
+    for f in sorted(f for f in os.listdir(source) if f.endswith(".parquet")):
+        for r in spark.read.parquet(f"{source}/{f}").coalesce(1).collect():
+            want += [*library.encode(r.text or "", add_special_tokens=False).ids, training_order.END_ID]
+    assert np.concatenate(by_sequence).tolist() == want
     assert training_order.write_shards(spark, empty(spark), str(tmp_path / "none")).count() == 0
+
+
+def test_training_order_does_not_depend_on_partitions(spark, docs, tmp_path):
+    source = str(tmp_path / "documents.parquet")
+    docs.coalesce(1).sortWithinPartitions("doc_id").write.option("parquet.block.size", 20_000).option("parquet.page.size", 1024).option("parquet.block.size.row.check.min", 1).parquet(source)
+    found = []
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("1g", "30k", "4k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        d = spark.read.parquet(source)
+        found.append((d.rdd.getNumPartitions(), training_order.write_shards(spark, d, str(tmp_path / size), length=50, shard_bytes=9_000).count(), shards(tmp_path / size)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len({n for n, *_ in found}) == 3 and found[0][1:] == found[1][1:] == found[2][1:] and len(found[0][2]) > 3
+    # Tables of another origin are ordered by columns first.
+    found = []
+    for parts in (1, 3, 17):
+        at = str(tmp_path / f"p{parts}")
+        training_order.write_shards(spark, docs.repartition(parts), at, length=50, shard_bytes=9_000, order_by=("doc_id", "text"))
+        found.append(shards(at))
+    assert found[0] == found[1] == found[2]
+
+
+def test_training_order_wide_ids_and_columns_that_clash(spark, tmp_path):
+    d = spark.createDataFrame([("a b c", 1, 2), (None, 3, 4)], "text string, slot int, sequence int")
+    at = str(tmp_path / "out")
+    assert training_order.write_shards(spark, d, at, length=3, wide=True, key=5).count() == 2
+    assert sorted(map(len, training_order.read_from(at, length=3, wide=True))) == [2, 3]
