@@ -9,12 +9,13 @@ follow each other and minus infinity elsewhere: max-plus algebra.
 
 A giant document is split into chunks. The state at a border is the piece that
 reaches or crosses it. Each chunk yields a transfer matrix from the states at its
-start to those at its end; products of the matrices, which are associative, give
-every border its state; then each chunk is traced back on its own. Inside a
+start to those at its end; the matrices are combined in a tree, whose products are
+associative, and the tree's way down gives every border its state; then each chunk
+is traced back on its own. Inside a
 chunk, borders that no piece can span (a letter before a space, mostly) cut the
 lattice; what lies between the first and the last of them depends on no border
 state and is encoded by the library. Other documents are one chunk, which is
-that case without borders.
+that case without borders. A giant text that many rows share is worked on once.
 
 Null and empty texts have no pieces. Repeated rows each get a row, a null
 ``doc_id`` is passed through, and an empty table gives an empty result. Columns
@@ -31,10 +32,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from .common import join_counted, materialize
+
 SPACE = "▁"
 CHUNK = 1 << 15
 #: Rows whose ids are Python integers at a time.
 DIGEST_ROWS = 128
+#: Rows with one giant text that are joined with one copy of its ids.
+SHARE = 1000
 PRIME = (1 << 31) - 1
 BASE = 1_000_003
 Span = tuple[int, int]
@@ -106,14 +111,14 @@ class Pieces:
         library puts there itself."""
         return self.library.encode(s[1:].replace(SPACE, " ")) if len(s) > 1 else [i for p in self.merged(s) for i in self.ids_of(p)]
 
-    def decode(self, ids) -> str:
+    def decode(self, ids, first: bool = True) -> str:
         """Text of ids, from pieces and runs of bytes; the first space, which
-        encoding put there, is dropped."""
+        encoding put there, is dropped from a document's ``first`` ids."""
         out = bytearray()
         for i in ids:
             out += self.text[i].encode() if i in self.text else bytes([self.byte_of[i]])
         text = out.decode(errors="replace").replace(SPACE, " ")
-        return text[1:] if text.startswith(" ") else text
+        return text[1:] if first and text.startswith(" ") else text
 
 
 @functools.lru_cache(maxsize=2)
@@ -266,54 +271,65 @@ def _powers() -> np.ndarray:
 
 
 def _scan(states: list[tuple[list[Span], list[Span], np.ndarray]]) -> list[tuple[int, int]]:
-    """Entry and exit state of every chunk: products of the matrices from the
-    left, halves first, and a walk back through them."""
-    forward = [states[0][2]]
-    for _, _, matrix in states[1:]:
-        forward.append(times(forward[-1], matrix))
-    j = int(forward[-1].max(axis=0).argmax())
-    out = []
-    for k in range(len(states) - 1, -1, -1):
-        ahead = forward[k - 1].max(axis=0) if k else np.zeros(states[0][2].shape[0])
-        i = int((ahead + states[k][2][:, j]).argmax())
-        out.append((i, j))
-        j = i
-    return out[::-1]
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``_key`` tells rows with one id and different texts apart; identical rows
-    share it and are worked on once."""
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_key", F.xxhash64("doc_id", "text"))
+    """Entry and exit state of every chunk. Up a tree, neighbours' matrices are
+    multiplied; down it, the two ends of a product's best path give the state at its
+    middle."""
+    levels = [[matrix for _, _, matrix in states]]
+    while len(levels[-1]) > 1:
+        below = levels[-1]
+        levels.append([times(*below[k : k + 2]) if k + 1 < len(below) else below[k] for k in range(0, len(below), 2)])
+    ends = [tuple(int(x) for x in np.unravel_index(levels[-1][0].argmax(), levels[-1][0].shape))]
+    for below in levels[-2::-1]:
+        down = []
+        for k, (i, j) in enumerate(ends):
+            if 2 * k + 1 < len(below):
+                middle = int((below[2 * k][i] + below[2 * k + 1][:, j]).argmax())
+                down += [(i, middle), (middle, j)]
+            else:
+                down.append((i, j))
+        ends = down
+    return ends
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null is empty) and a number that tells rows apart."""
+    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _giant(docs: DataFrame, chunk: int) -> DataFrame:
+    """row, doc_id, text and its digest ``_key`` of the rows of a chunk or more."""
+    long_ = _numbered(docs).where(F.length("text") >= chunk)
+    return long_.select((-1 - F.col("row")).alias("row"), "doc_id", "text", F.unhex(F.sha2("text", 256)).alias("_key"))
 
 
 def encode_short(docs: DataFrame, model_path: str, chunk: int) -> DataFrame:
-    """doc_id and ids of every row whose text is shorter than a chunk."""
+    """row, doc_id and ids of every row whose text is shorter than a chunk."""
 
     def whole(batches):
         m = load(model_path)
         for b in batches:
             for at in range(0, len(b), DIGEST_ROWS):
                 part = b.slice(at, DIGEST_ROWS)
-                ids = m.library.encode(part.column(1).to_pylist(), num_threads=1)
-                ids = [x if t.as_py() else [] for x, t in zip(ids, part.column(1), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+                ids = m.library.encode(part.column(2).to_pylist(), num_threads=1)
+                ids = [x if t.as_py() else [] for x, t in zip(ids, part.column(2), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["row", "doc_id", "ids"])
 
-    short = _keyed(docs).where(F.length("text") < chunk).select("doc_id", "text")
-    return short.mapInArrow(whole, short.select("doc_id").schema.add("ids", ArrayType(IntegerType())))
+    short = _numbered(docs).where(F.length("text") < chunk)
+    return short.mapInArrow(whole, short.select("row", "doc_id").schema.add("ids", ArrayType(IntegerType())))
 
 
-def encode_giant(docs: DataFrame, path: str, chunk: int) -> DataFrame:
-    """_key, chunk and ids of every chunk of the distinct longer texts."""
+def encode_giant(spark: SparkSession, texts: DataFrame, path: str, chunk: int) -> DataFrame:
+    """_key, chunk and ids of every chunk of ``texts`` (_key, text)."""
 
     def chunks(batches):
         m = load(path)
         for b in batches:
-            for text, key in zip(b.column(0), b.column(1), strict=True):
+            for key, text in zip(b.column(0), b.column(1), strict=True):
                 for k, c in split(m, text.as_py(), chunk):
-                    yield pa.RecordBatch.from_arrays([pa.array([key.as_py()]), pa.array([k], pa.int32()), pa.array([c.s]), pa.array([c.lo], pa.int32()), pa.array([c.hi], pa.int32()), pa.array([c.first]), pa.array([c.last])], names=["_key", "chunk", "s", "lo", "hi", "first", "last"])
+                    yield pa.RecordBatch.from_arrays([pa.array([key.as_py()], pa.binary()), pa.array([k], pa.int32()), pa.array([c.s]), pa.array([c.lo], pa.int32()), pa.array([c.hi], pa.int32()), pa.array([c.first]), pa.array([c.last])], names=["_key", "chunk", "s", "lo", "hi", "first", "last"])
 
-    parts = _keyed(docs).where(F.length("text") >= chunk).select("text", "_key").mapInArrow(chunks, "_key long, chunk int, s string, lo int, hi int, first boolean, last boolean")
+    parts = texts.select("_key", "text").mapInArrow(chunks, "_key binary, chunk int, s string, lo int, hi int, first boolean, last boolean")
+    parts = materialize(spark, parts, "chunks")
 
     def of(row: dict) -> Chunk:
         return Chunk(row["s"], row["lo"], row["hi"], row["first"], row["last"])
@@ -326,21 +342,20 @@ def encode_giant(docs: DataFrame, path: str, chunk: int) -> DataFrame:
                 entry, exit_, matrix = transfer(m, c)
                 # A border's states are written relative to it, as either side sees them.
                 rel = [[[a - c.lo, z - c.lo] for a, z in entry], [[a - c.hi, z - c.hi] for a, z in exit_]]
-                yield pa.RecordBatch.from_arrays([pa.array([row["_key"]]), pa.array([row["chunk"]], pa.int32()), *[pa.array([x], pa.list_(pa.list_(pa.int32()))) for x in rel], pa.array([matrix.tobytes()], pa.binary())], names=["_key", "chunk", "entry", "exit", "matrix"])
+                yield pa.RecordBatch.from_arrays([pa.array([row["_key"]], pa.binary()), pa.array([row["chunk"]], pa.int32()), *[pa.array([x], pa.list_(pa.list_(pa.int32()))) for x in rel], pa.array([matrix.tobytes()], pa.binary())], names=["_key", "chunk", "entry", "exit", "matrix"])
 
-    matrices = parts.mapInArrow(transfers, "_key long, chunk int, entry array<array<int>>, exit array<array<int>>, matrix binary")
+    matrices = parts.mapInArrow(transfers, "_key binary, chunk int, entry array<array<int>>, exit array<array<int>>, matrix binary")
 
     def scan(table: pa.Table) -> pa.Table:
         # A text is under 2 GB, so a document has at most 2^16 chunks of the default size, of some hundred bytes each here.
-        rows = {r["chunk"]: r for r in table.to_pylist()}
-        rows = [rows[k] for k in sorted(rows)]
+        rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
         states = [(r["entry"], r["exit"], np.frombuffer(r["matrix"]).reshape(len(r["entry"]), len(r["exit"]))) for r in rows]
         found = [(r["_key"], r["chunk"], r["entry"][i], r["exit"][j]) for r, (i, j) in zip(rows, _scan(states), strict=True)]
         key, number, entry, exit_ = zip(*found, strict=True)
         spans = pa.list_(pa.int32())
-        return pa.table({"_key": pa.array(key, pa.int64()), "chunk": pa.array(number, pa.int32()), "entry": pa.array(entry, spans), "exit": pa.array(exit_, spans)})
+        return pa.table({"_key": pa.array(key, pa.binary()), "chunk": pa.array(number, pa.int32()), "entry": pa.array(entry, spans), "exit": pa.array(exit_, spans)})
 
-    chosen = matrices.groupBy("_key").applyInArrow(scan, "_key long, chunk int, entry array<int>, exit array<int>")
+    chosen = matrices.groupBy("_key").applyInArrow(scan, "_key binary, chunk int, entry array<int>, exit array<int>")
 
     def traces(batches):
         m = load(path)
@@ -349,17 +364,48 @@ def encode_giant(docs: DataFrame, path: str, chunk: int) -> DataFrame:
                 c = of(row)
                 entry, exit_ = ((x[0] + at, x[1] + at) for x, at in ((row["entry"], c.lo), (row["exit"], c.hi)))
                 ids = trace(m, c, entry, exit_)
-                yield pa.RecordBatch.from_arrays([pa.array([row["_key"]]), pa.array([row["chunk"]], pa.int32()), pa.array([ids], pa.list_(pa.int32()))], names=["_key", "chunk", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array([row["_key"]], pa.binary()), pa.array([row["chunk"]], pa.int32()), pa.array([ids], pa.list_(pa.int32()))], names=["_key", "chunk", "ids"])
+
+    return parts.join(chosen, ["_key", "chunk"]).mapInArrow(traces, "_key binary, chunk int, ids array<int>")
+
 
-    distinct = parts.dropDuplicates(["_key", "chunk"])
-    return distinct.join(chosen, ["_key", "chunk"]).mapInArrow(traces, "_key long, chunk int, ids array<int>")
+def _distinct(giant: DataFrame) -> DataFrame:
+    """_key, text and n (rows that have it) of the distinct texts; first() combines
+    before the shuffle."""
+    return giant.groupBy("_key").agg(F.first("text").alias("text"), F.count("*").alias("n"))
 
 
-def encode_ids(docs: DataFrame, model_path: str | None = None, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, chunk (from 0) and ids of every chunk of every row of ``docs``."""
+def encode_ids(spark: SparkSession, docs: DataFrame, model_path: str | None = None, chunk: int = CHUNK) -> DataFrame:
+    """row (a number that tells rows apart), doc_id, chunk (from 0) and ids of every
+    chunk of every row of ``docs``."""
+    path, giant = model_path or default_path(), _giant(docs, chunk)
+    texts = materialize(spark, _distinct(giant), "texts")
+    encoded = materialize(spark, encode_giant(spark, texts, path, chunk), "giant-ids")
+    # Rows of one text are dealt over as many copies of its chunks as SHARE rows each make.
+    n = texts.select("_key", F.ceil(F.col("n") / SHARE).alias("_n"))
+    copies = encoded.join(n, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).drop("_n")
+    rows = giant.select("row", "doc_id", "_key").join(n, "_key").withColumn("_copy", 1 + F.pmod(F.xxhash64("row"), F.col("_n"))).drop("_n")
+    whole = encode_short(docs, path, chunk).select("row", "doc_id", F.lit(0).alias("chunk"), "ids")
+    return whole.unionByName(rows.join(copies, ["_key", "_copy"]).select("row", "doc_id", "chunk", "ids"))
+
+
+def decode_ids(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
+    """row, doc_id and text of what encode_ids() made: chunks are decoded one by one,
+    and a row's are put together."""
     path = model_path or default_path()
-    giant = _keyed(docs).where(F.length("text") >= chunk).select("doc_id", "_key").join(encode_giant(docs, path, chunk), "_key")
-    return encode_short(docs, path, chunk).select("doc_id", F.lit(0).alias("chunk"), "ids").unionByName(giant.select("doc_id", "chunk", "ids"))
+
+    def kernel(batches):
+        m = load(path)
+        for whole in batches:
+            for start in range(0, len(whole), DIGEST_ROWS):
+                b = whole.slice(start, DIGEST_ROWS)
+                text = [m.decode(ids.as_py(), first=k == 0) for k, ids in zip(b.column(2).to_pylist(), b.column(3), strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(text, pa.string())], names=["row", "doc_id", "chunk", "text"])
+
+    parts = encoded.select("row", "doc_id", "chunk", "ids")
+    parts = parts.mapInArrow(kernel, encoded.select("row", "doc_id", "chunk").schema.add("text", "string"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "text"))), lambda x: x["text"]), "")
+    return parts.groupBy("row", "doc_id").agg(joined.alias("text"))
 
 
 def digest(encoded: DataFrame, model_path: str, key: str) -> DataFrame:
@@ -390,8 +436,11 @@ def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     length in bytes of the text that the ids decode to."""
     docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), default_path()
     short = digest(encode_short(docs, path, CHUNK).withColumn("chunk", F.lit(0)), path, "doc_id")
-    parts = digest(encode_giant(docs, path, CHUNK), path, "_key").groupBy("_key")
+    giant = _giant(docs, CHUNK)
+    texts = materialize(spark, _distinct(giant), "texts")
+    parts = digest(encode_giant(spark, texts, path, CHUNK), path, "_key").groupBy("_key")
     hashed = F.aggregate(F.array_sort(F.collect_list(F.struct("chunk", "h", "p"))), F.lit(0).cast("long"), lambda a, x: (a * x["p"] + x["h"]) % PRIME)
-    giant = parts.agg(F.sum("n").alias("n_pieces"), hashed.alias("ids_hash"), F.sum("n_bytes").alias("decoded_bytes"))
-    giant = _keyed(docs).where(F.length("text") >= CHUNK).select("doc_id", "_key").join(giant, "_key").drop("_key")
+    found = parts.agg(F.sum("n").alias("n_pieces"), hashed.alias("ids_hash"), F.sum("n_bytes").alias("decoded_bytes"))
+    found = materialize(spark, found.join(texts.select("_key", F.col("n").alias("_rows")), "_key"), "giants")
+    giant = join_counted(giant.select("doc_id", "_key"), found, ["_key"], "_rows", found.agg(F.sum("_rows")).collect()[0][0] or 0).drop("_key", "_rows")
     return short.select("doc_id", F.col("n").alias("n_pieces"), F.col("h").alias("ids_hash"), F.col("n_bytes").alias("decoded_bytes")).unionByName(giant)

@@ -358,17 +358,47 @@ def test_products_are_associative():
     assert (sentence_pieces.times(sentence_pieces.times(a, b), c) == sentence_pieces.times(a, sentence_pieces.times(b, c))).all()
 
 
-def test_sentence_pieces(spark, docs, rows):
+def test_scan_goes_through_a_tree():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 3, 7, 16, 21):
+        sizes = rng.integers(1, 5, n + 1)
+        states = [(None, None, np.where(rng.random((a, z)) < 0.3, -9.0, rng.integers(0, 9, (a, z)).astype(float))) for a, z in zip(sizes, sizes[1:])]
+        path = sentence_pieces._scan(states)
+        assert all(a[1] == b[0] for a, b in zip(path, path[1:]))
+        whole = states[0][2]
+        for _, _, matrix in states[1:]:  # the best path's weight, product by product
+            whole = sentence_pieces.times(whole, matrix)
+        assert sum(m[i, j] for (_, _, m), (i, j) in zip(states, path, strict=True)) == whole.max()
+
+
+def test_sentence_pieces(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(sentence_pieces, "SHARE", 2)
     m = sentence_pieces.load(sentence_pieces.default_path())
-    got = sentence_pieces.encode_ids(docs, chunk=1000).collect()
+    giant = [r for r in rows if r.text and len(r.text) >= 1000][0]
+    d = docs.select("doc_id", "text", F.lit(0).alias("chunk"), F.lit("x").alias("row")).unionByName(spark.createDataFrame([(5000 + i, giant.text, 1, "y") for i in range(9)], "doc_id long, text string, chunk int, row string"))
+    encoded = sentence_pieces.encode_ids(spark, d, chunk=1000)
     whole = defaultdict(list)
-    for r in sorted(got, key=lambda r: r.chunk):
-        whole[r.doc_id].append(r)
+    for r in sorted(encoded.collect(), key=lambda r: r.chunk):
+        whole[r.row, r.doc_id].extend(r.ids)
+    want = Counter((r.doc_id, tuple(m.encode(r.text))) for r in d.collect())
+    assert Counter((d, tuple(ids)) for (_, d), ids in whole.items()) == want
+    back = sentence_pieces.decode_ids(encoded).collect()
+    assert Counter((r.doc_id, r.text) for r in back) == Counter((r.doc_id, (r.text or "").replace("▁", " ")) for r in d.collect())
+    assert sentence_pieces.encode_ids(spark, empty(spark)).count() == 0
+
+
+def test_sentence_pieces_query(spark, docs, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(sentence_pieces, "CHUNK", 1000)
+    m = sentence_pieces.load(sentence_pieces.default_path())
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    want = Counter()
     for r in rows:
-        if r.doc_id is not None and r.doc_id != 39:
-            assert [i for x in whole[r.doc_id] for i in x.ids] == m.encode(r.text)
-    assert len(whole[39]) == 2  # the repeated row
-    assert sentence_pieces.encode_ids(empty(spark)).count() == 0
+        h = 0
+        for i in m.encode(r.text):
+            h = (h * sentence_pieces.BASE + i + 1) % sentence_pieces.PRIME
+        want[r.doc_id, len(m.encode(r.text)), h, len((r.text or "").replace("▁", " ").encode())] += 1
+    got = sentence_pieces.op7_sentence_pieces(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.n_pieces, r.ids_hash, r.decoded_bytes) for r in got) == want
 
 
 def test_feistel():
