@@ -22,24 +22,29 @@ of it can hold a link.
    Where only components are asked for, pairs of blocks whose shared lists hold one
    component are left out: links inside a component do not change components.
 
-Shingles and classes are told apart by 64-bit hashes (classes by 128).
+Shingles are told apart by 64-bit hashes, rows' sets by 128 bits. A class goes by the
+first 64 of them, whatever the ids of its rows; among 10 ** 9 classes one pair in 40
+such tables would have that in common.
 
 Null texts and texts without a word have an empty set and are linked with
 nothing; fewer than five words are one shingle. Repeated rows each get a row and
-are linked. A row with a null id has its set's class; its own id counts for
-nothing. An empty table gives an empty result. Columns other than doc_id and text
-are not read."""
+are linked; rows that repeat an id with other texts are told apart by their texts. A
+row with a null id is linked like others, but gives no component its name, which is
+null where no row has an id. An empty table gives an empty result. Columns other than
+doc_id and text are not read."""
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from .common import materialize, mix, row_groups, text_buffers, trimmed, word_hashes, word_spans
+from .common import join_counted, key_filter, materialize, maybe_in, mix, row_groups, text_buffers, trimmed, word_hashes, word_spans
 from .components import components
 
 WORDS = 5
@@ -49,8 +54,9 @@ TASK_POSTINGS = 2_000_000
 GROUP_BYTES, HELD_POSTINGS = 1 << 21, 800_000
 #: Classes in a block, and shingles in a slice of the product.
 BLOCK, BLOCK_SHINGLES, COLUMNS = 256, 1_000_000, 8192
-#: Buckets of the table of shingle counts, and of a part of it.
-SKETCH, SKETCH_PART = 1 << 22, 1 << 16
+#: Buckets of the table of shingle counts, and of a part of it; tasks whose parts are
+#: added up together.
+SKETCH, SKETCH_PART, SKETCH_TASKS = 1 << 22, 1 << 16, 256
 _FACTORS = np.array([0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
 
@@ -225,57 +231,70 @@ def _whole_counts(sets: DataFrame, n_tasks: int) -> DataFrame:
                 yield from _emit(np.concatenate(parts[at:upto]), np.repeat(c[at:upto], [len(p) for p in parts[at:upto]]), n_tasks)
                 at = upto
 
-    return _shared_counts(sets.select("c", "hashes"), kernel, n_tasks)
+    return _shared_counts(sets.select(F.col("id").alias("c"), "hashes"), kernel, n_tasks)
+
+
+def _id_key(id_: str) -> Column:
+    """A 64-bit key of an id, null included."""
+    return F.xxhash64(F.col(id_), F.col(id_).isNull())
 
 
 def _sets(spark: SparkSession, docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """id, c, n and sorted hashes of the rows chosen (id, c, d). A table of fixed
-    size tells most ids that are not chosen, so few sets go to the join and no text
-    does; where the table is full, more sets go and the result is the same."""
-    # The hash as eight bytes, most significant first.
-    shared = spark.sparkContext.broadcast(_sketch(chosen.select(F.unhex(F.lpad(F.hex(F.xxhash64("id")), 16, "0")))))
+    """id (of the class), n, m and sorted hashes of the chosen classes (c, d, id, m),
+    each from a row that has the class and the class's least doc_id. A bit table tells
+    most rows that are not chosen, so few sets go to the join and no text does."""
+    shared = spark.sparkContext.broadcast(key_filter(chosen.select(_id_key("id")), chosen.count()))
 
     def kernel(batches):
+        seen: set[int] = set()  # equal rows of a task
         for b in batches:
-            bucket = b.column(2).to_numpy().view(np.uint64).byteswap() & np.uint64(SKETCH - 1)
-            b = b.filter(pa.array(shared.value[bucket.astype(np.int64)] > 0))
+            b = b.filter(pa.array(maybe_in(shared.value, b.column(2).to_numpy())))
             for lo, n, h, c, d in _batches_of_sets(b, 1):
                 at = np.cumsum(n) - n
-                good = np.flatnonzero(n > 0)
+                good = [i for i in np.flatnonzero(n > 0) if (k := (b.column(0)[lo + i].as_py(), int(c[i]))) not in seen and not seen.add(k)]
                 blobs = [h[at[i] : at[i] + n[i]].tobytes() for i in good]
-                columns = [b.column(0).slice(lo, len(n)).take(pa.array(good)), pa.array(c[good]), pa.array(d[good]), pa.array(n[good]), pa.array(blobs, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "c", "d", "n", "hashes"])
+                own = b.column(0).slice(lo, len(n)).take(pa.array(good, pa.int64()))
+                columns = [own, pa.array(c[good]), pa.array(d[good]), pa.array(n[good]), pa.array(blobs, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc", "c", "d", "n", "hashes"])
 
-    text = docs.select(F.col("doc_id").cast("long").alias("id"), "text").withColumn("k", F.xxhash64("id"))
-    rows = text.mapInArrow(trimmed(kernel), "id long, c long, d long, n long, hashes binary")
-    # An id may have several texts; only the one of its class counts.
-    return rows.join(chosen.select("id", "c", "d", "m"), ["id", "c", "d"]).select("id", "c", "n", "m", "hashes").dropDuplicates(["id"])
+    text = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").withColumn("k", _id_key("doc"))
+    rows = text.mapInArrow(trimmed(kernel), "doc long, c long, d long, n long, hashes binary")
+    picked = chosen.select(F.col("id").alias("_doc"), F.col("c").alias("_c"), F.col("d").alias("_d"), "m")
+    same = (F.col("c") == F.col("_c")) & (F.col("d") == F.col("_d")) & F.col("doc").eqNullSafe(F.col("_doc"))
+    return rows.join(picked, same).select(F.col("c").alias("id"), "n", "m", "hashes").dropDuplicates(["id"])
 
 
 def _sketch(keys: DataFrame) -> np.ndarray:
-    """How many 64-bit keys (a column of binary rows of them) fall into each of
-    SKETCH buckets, at most 255: a table of fixed size, whatever their number."""
+    """The binary logarithm of how many 64-bit keys (a column of binary rows of them)
+    fall into each of SKETCH buckets: a table of fixed size, whatever their number.
+    Tasks' tables are added up in two steps, so no task holds those of all."""
     parts = SKETCH // SKETCH_PART
 
     def count(batches):
-        total = np.zeros(SKETCH, dtype=np.uint8)
+        total = np.zeros(SKETCH, dtype=np.int64)
         for b in batches:
             for at in range(0, len(b), 256):
                 h = np.concatenate([np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in b.column(0).slice(at, 256)])
                 bucket, n = np.unique((h & np.uint64(SKETCH - 1)).astype(np.int64), return_counts=True)
-                total[bucket] = np.minimum(total[bucket] + n, 255)
-        yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([total[k * SKETCH_PART : (k + 1) * SKETCH_PART].tobytes() for k in range(parts)])], names=["part", "counts"])
+                total[bucket] += n
+        if total.any():
+            blobs = [zlib.compress(total[k * SKETCH_PART : (k + 1) * SKETCH_PART].tobytes(), 1) for k in range(parts)]
+            several = [TaskContext.get().partitionId() // SKETCH_TASKS] * parts
+            yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array(several, pa.int32()), pa.array(blobs)], names=["part", "several", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(SKETCH_PART, dtype=np.int64)
         for x in table.column("counts"):
-            total += np.frombuffer(x.as_buffer(), dtype=np.uint8)
-        return pa.table({"part": table.column("part").slice(0, 1).combine_chunks(), "counts": pa.array([np.minimum(total, 255).astype(np.uint8).tobytes()])})
+            total += np.frombuffer(zlib.decompress(x.as_buffer()), dtype=np.int64)
+        first = table.slice(0, 1)
+        return pa.table({"part": first.column("part"), "several": first.column("several"), "counts": pa.array([zlib.compress(total.tobytes(), 1)])})
 
-    rows = keys.mapInArrow(trimmed(count), "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
+    kind = "part int, several int, counts binary"
+    some = keys.mapInArrow(trimmed(count), kind).groupBy("part", "several").applyInArrow(add, kind)
     out = np.zeros(SKETCH, dtype=np.uint8)
-    for r in rows:
-        out[r["part"] * SKETCH_PART : (r["part"] + 1) * SKETCH_PART] = np.frombuffer(r["counts"], dtype=np.uint8)
+    for r in some.groupBy("part").applyInArrow(add, kind).collect():
+        n = np.frombuffer(zlib.decompress(r["counts"]), dtype=np.int64)
+        out[r["part"] * SKETCH_PART : (r["part"] + 1) * SKETCH_PART] = np.ceil(np.log2(n + 1))
     return out
 
 
@@ -360,7 +379,7 @@ def block_links(pairs: DataFrame, members: DataFrame, count: bool) -> DataFrame:
                 component = np.concatenate([p.field(1).to_numpy(zero_copy_only=False) for p in parts])
                 sets = [np.frombuffer(h.as_buffer(), dtype=np.uint64) for p in parts for h in p.field(3)]
                 size = np.array([len(v) for v in sets])
-                both = overlaps(np.concatenate(sets), np.repeat(np.arange(len(sets)), size), len(sets))
+                both = overlaps(np.concatenate(sets), np.repeat(np.arange(len(sets)), size), len(sets)).astype(np.int64)
                 # Below the bound from the sizes a pair is no link, whatever the two have in common.
                 linked = 100 * both >= 80 * (size[:, None] + size[None, :] - both)
                 if count:
@@ -383,6 +402,18 @@ def _star(blocks: DataFrame) -> DataFrame:
     return each.select(F.col("group").alias("g1"), F.col("part").alias("p1"), F.col("group").alias("g2"), F.explode(F.array_distinct(F.array("part", F.lit(0).cast("long")))).alias("p2"))
 
 
+def _pairs(met: DataFrame) -> DataFrame:
+    """Pairs of blocks that lie in one of the sorted sets ``s`` of blocks (group, part,
+    lo, hi), but those of _star(). Most lists of a group meet the same blocks, so sets
+    are made distinct before they are paired."""
+    pair = F.explode(F.expr("flatten(transform(s, (x, i) -> transform(slice(s, i + 2, size(s)), y -> struct(x, y))))"))
+    pairs = met.select("s").distinct().select(pair.alias("p"))
+    done = (F.col("p.x.group") == F.col("p.y.group")) & ((F.col("p.x.part") == F.col("p.y.part")) | (F.col("p.x.part") == 0) | (F.col("p.y.part") == 0))
+    one = (F.col("p.x.lo") == F.col("p.x.hi")) & (F.col("p.x.lo") == F.col("p.y.lo")) & (F.col("p.x.lo") == F.col("p.y.hi"))
+    pairs = pairs.where(~done & ~F.coalesce(one, F.lit(False)))
+    return pairs.select(F.col("p.x.group").alias("g1"), F.col("p.x.part").alias("p1"), F.col("p.y.group").alias("g2"), F.col("p.y.part").alias("p2")).distinct()
+
+
 def _mixed(lists: DataFrame, labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs of blocks that share a posting list with two components, and the ids
     in such lists."""
@@ -390,45 +421,35 @@ def _mixed(lists: DataFrame, labelled: DataFrame) -> tuple[DataFrame, DataFrame]
     lists_ = rows.groupBy("h").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select("h")
     rows = rows.join(lists_, "h")
     per_list = rows.groupBy("h", "group", "part").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    one = per_list.select("h", *[F.col(c).alias(f"{c}_1") for c in ("group", "part", "lo", "hi")])
-    two = per_list.select("h", *[F.col(c).alias(f"{c}_2") for c in ("group", "part", "lo", "hi")])
-    first, second = F.struct("group_1", "part_1"), F.struct("group_2", "part_2")
-    # _star() has multiplied a block with itself and with its group's first one.
-    done = (F.col("group_1") == F.col("group_2")) & ((F.col("part_1") == F.col("part_2")) | (F.col("part_1") == 0) | (F.col("part_2") == 0))
-    differ = F.least("lo_1", "lo_2") != F.greatest("hi_1", "hi_2")
-    pairs = one.join(two, "h").where((first < second) & differ & ~done)
-    pairs = pairs.select(F.col("group_1").alias("g1"), F.col("part_1").alias("p1"), F.col("group_2").alias("g2"), F.col("part_2").alias("p2")).distinct()
-    return pairs, rows.select("id").distinct()
+    met = per_list.groupBy("h").agg(F.array_sort(F.collect_set(F.struct("group", "part", "lo", "hi"))).alias("s"))
+    return _pairs(met), rows.select("id").distinct()
 
 
 def _touching(lists: DataFrame, labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs of blocks that share a posting list, but those of _star(), and the ids
     in lists of more than one block."""
     rows = lists.select("h", "id").join(labelled.select("id", "group", "part"), "id")
-    met = rows.groupBy("h").agg(F.array_sort(F.collect_set(F.struct("group", "part"))).alias("s")).where("size(s) > 1")
-    # Most lists of a group meet the same blocks.
-    pair = F.explode(F.expr("flatten(transform(s, (x, i) -> transform(slice(s, i + 2, size(s)), y -> struct(x, y))))"))
-    pairs = met.select("s").distinct().select(pair.alias("p")).select(F.col("p.x.group").alias("g1"), F.col("p.x.part").alias("p1"), F.col("p.y.group").alias("g2"), F.col("p.y.part").alias("p2"))
-    done = (F.col("g1") == F.col("g2")) & ((F.col("p1") == 0) | (F.col("p2") == 0))
-    return pairs.where(~done).distinct(), rows.join(met.select("h"), "h").select("id").distinct()
+    none = F.lit(None).cast("long")
+    met = rows.groupBy("h").agg(F.array_sort(F.collect_set(F.struct("group", "part", none.alias("lo"), none.alias("hi")))).alias("s")).where("size(s) > 1")
+    return _pairs(met), rows.join(met.select("h"), "h").select("id").distinct()
 
 
-def link_components(spark: SparkSession, docs: DataFrame, count: bool = False) -> DataFrame:
-    """doc_id, n_shingles, component_id and class_id (the smallest id with the same
-    set) of every row of ``docs`` (doc_id, text); with ``count`` also n_links, the
-    number of other rows that the row is linked with."""
+def _linked(spark: SparkSession, docs: DataFrame, count: bool = False) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n_shingles, c, d, group (a number of its component), component_id,
+    class_id and, with ``count``, n_links of every row with a shingle; doc_id of the
+    others."""
     prints = materialize(spark, fingerprints(docs), "fingerprints")
     filled = prints.where("n_shingles > 0")
-    reps = filled.groupBy("c", "d").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n"), F.count("*").alias("m"))
-    total = reps.agg(F.sum("n")).collect()[0][0] or 0
-    n_tasks = max(8, total * 2 // 5 // TASK_POSTINGS + 1)
+    reps = materialize(spark, filled.groupBy("c", "d").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n"), F.count("*").alias("m")), "classes")
+    sizes = reps.agg(F.sum("n"), F.sum("m"), F.count("*")).collect()[0]
+    n_tasks = max(8, (sizes[0] or 0) * 2 // 5 // TASK_POSTINGS + 1)
     n = F.col("n")
     need = F.floor((4 * n + 4) / 5)
     near = materialize(spark, reps.join(_window_counts(docs, n_tasks), "c").where(F.col("n_shared") >= F.floor(need / 5)), "near")
     sets = materialize(spark, _sets(spark, docs, near), "sets")
     n_tasks = max(8, (sets.agg(F.sum("n")).collect()[0][0] or 0) // TASK_POSTINGS + 1)
-    whole = _whole_counts(sets, n_tasks).where("n_shared > 0")
-    sets = materialize(spark, sets.join(whole, "c").where(F.col("n_shared") >= need).select("id", "n", "m", "hashes"), "sets")
+    whole = _whole_counts(sets, n_tasks).where("n_shared > 0").withColumnRenamed("c", "id")
+    sets = materialize(spark, sets.join(whole, "id").where(F.col("n_shared") >= need).select("id", "n", "m", "hashes"), "sets")
     lists = materialize(spark, _lists(spark, sets), "lists")
     blocks = materialize(spark, _blocks(lists), "blocks")
     alone = sets.join(blocks, "id").withColumn("component", F.col("id"))
@@ -440,37 +461,60 @@ def link_components(spark: SparkSession, docs: DataFrame, count: bool = False) -
     more = materialize(spark, block_links(pairs, members, count), "links")
     if more.where("b IS NOT NULL").head(1):
         labels = components(spark, links.unionByName(more).where("b IS NOT NULL").select("a", "b"))
-    classes = reps.join(labels, "id", "left").select("c", "d", "m", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component"))
-    columns, none = ["doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id")], []
+    classes = reps.join(labels.withColumnRenamed("id", "c"), "c", "left").select("c", "d", "m", F.col("id").alias("class_id"), F.coalesce("component", "c").alias("group"))
     if count:
-        counts = links.unionByName(more).where("n IS NOT NULL").groupBy(F.col("a").alias("class_id")).agg(F.sum("n").alias("others"))
-        classes = classes.join(counts, "class_id", "left")
-        columns, none = [*columns, (F.col("m") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")], [F.lit(0).cast("long").alias("n_links")]
-    out = filled.join(classes, ["c", "d"], "left").select(*columns)
-    return out.unionByName(prints.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), *none))
+        counts = links.unionByName(more).where("n IS NOT NULL").groupBy(F.col("a").alias("c")).agg(F.sum("n").alias("others"))
+        classes = classes.join(counts, "c", "left").withColumn("n_links", F.col("m") - 1 + F.coalesce("others", F.lit(0))).drop("others")
+    classes = materialize(spark, classes, "classes")
+    names = materialize(spark, classes.groupBy("group").agg(F.min("class_id").alias("component_id"), F.count("*").alias("_classes")), "components")
+    classes = materialize(spark, join_counted(classes, names, ["group"], "_classes", sizes[2] or 0).drop("_classes"), "classes")
+    return join_counted(filled, classes, ["c", "d"], "m", sizes[1] or 0).drop("m"), prints.where("n_shingles = 0").select("doc_id")
+
+
+def link_components(spark: SparkSession, docs: DataFrame, count: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id and class_id (the smallest id with the same
+    set) of every row of ``docs`` (doc_id, text); with ``count`` also n_links, the
+    number of other rows that the row is linked with."""
+    rows, others = _linked(spark, docs, count)
+    columns = ["doc_id", "n_shingles", "component_id", "class_id", *["n_links"] * count]
+    none = [F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), *[F.lit(0).cast("long").alias("n_links")] * count]
+    return rows.select(*columns).unionByName(others.select("doc_id", *none))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """One row of each group of linked documents, that with the smallest id, with
-    the columns of ``docs``. Of rows that repeat an id the first of its texts in
-    the order of texts stays; rows with a null id stay, having no name to choose by.
-
-    Only rows whose id may be dropped or repeated are shuffled: a table of fixed
-    size tells the others."""
-    by_id = link_components(spark, docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("keep"), F.count("*").alias("n"))
-    special = materialize(spark, by_id.where("NOT keep OR n > 1"), "special")
-    shared = spark.sparkContext.broadcast(_sketch(special.select(F.unhex(F.lpad(F.hex(F.xxhash64("doc_id")), 16, "0")))))
-
-    @F.pandas_udf(BooleanType())
-    def maybe(k: pd.Series) -> pd.Series:
-        bucket = k.to_numpy().view(np.uint64).byteswap() & np.uint64(SKETCH - 1)
-        return pd.Series(shared.value[bucket.astype(np.int64)] > 0)
-
-    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["doc_id"].cast("long").alias("_id"), docs["text"].alias("_text"))
-    row = row.withColumn("_maybe", F.col("_id").isNotNull() & maybe(F.xxhash64("_id")))
-    told = row.where("_maybe").join(special.where("NOT keep").select(F.col("doc_id").alias("_id")), "_id", "left_anti")
-    one = told.groupBy("_id").agg(F.min_by("_row", F.coalesce("_text", F.lit(""))).alias("_row"))
-    return row.where("NOT _maybe").select("_row.*").unionByName(one.select("_row.*"))
+    """One row of each group of linked documents, that with the smallest id (a row
+    without one only where no other has one), with the columns of ``docs``. Of rows
+    that repeat the id that with the smallest class stays, and of equal texts the first
+    in the order of texts. Documents without a word are linked with nothing and stay.
+
+    Only rows whose id may be dropped or repeated are shuffled: a bit table tells the
+    others."""
+    rows, _ = _linked(spark, docs)
+    each = materialize(spark, rows.groupBy("group", "doc_id", "c", "d").agg(F.count("*").alias("n")), "each")
+    rank = F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "c", "d")
+    first = materialize(spark, each.groupBy("group").agg(F.min(rank).alias("first"), F.sum("n").alias("n_rows"), F.count("*").alias("kinds")).where("n_rows > 1"), "first")
+    several = join_counted(each, first, ["group"], "kinds", first.agg(F.sum("kinds")).collect()[0][0] or 0)
+    special = several.withColumn("keep", rank == F.col("first")).select(F.col("doc_id").alias("_id"), F.col("c").alias("_c"), F.col("d").alias("_d"), "keep", "n")
+    special = materialize(spark, special.where("NOT keep OR n > 1"), "special")
+    shared = spark.sparkContext.broadcast(key_filter(special.select(_id_key("_id")), special.count()))
+
+    @F.arrow_udf(BooleanType())
+    def maybe(k: pa.Array) -> pa.Array:
+        return pa.array(maybe_in(shared.value, k.to_numpy()))
+
+    @F.arrow_udf(StructType([StructField(x, LongType()) for x in "ncd"]))
+    def digests(texts: pa.Array) -> pa.Array:
+        found = [(n, c, d) for _, n, _, c, d in _batches_of_sets(pa.RecordBatch.from_arrays([texts], names=["text"]), 0)]
+        return pa.StructArray.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in zip(*found, strict=True)] or [pa.array([], pa.int64())] * 3, names=list("ncd"))
+
+    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["doc_id"].cast("long").alias("_id"), docs["text"].cast("string").alias("_text"))
+    row = row.withColumn("_maybe", maybe(_id_key("_id")))
+    told = row.where("_maybe").withColumn("_f", digests(F.coalesce("_text", F.lit(""))))
+    # Equal rows are combined before they are shuffled, and then looked for among those that go.
+    one = told.where("_f.n > 0").groupBy("_id", F.col("_f.c").alias("_c"), F.col("_f.d").alias("_d")).agg(F.min_by("_row", "_text").alias("_row"))
+    goes = special.where("NOT keep").select(F.col("_id").alias("i"), F.col("_c").alias("c"), F.col("_d").alias("d"))
+    one = one.join(goes, F.col("_id").eqNullSafe(F.col("i")) & (F.col("_c") == F.col("c")) & (F.col("_d") == F.col("d")), "left_anti")
+    return row.where("NOT _maybe").select("_row.*").unionByName(told.where("_f.n = 0").select("_row.*")).unionByName(one.select("_row.*"))
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,6 +190,65 @@ def test_keep_one(spark, docs, rows):
     assert Counter(r.doc_id for r in kept.collect() if r.doc_id is not None) == Counter(x for x in want if x is not None)
 
 
+def test_rows_that_repeat_an_id(spark):
+    import random
+
+    rng = random.Random(21)
+    a, b, c = (prose(rng, 90) for _ in range(3))
+    near = lambda t: " ".join([*t.split()[:-1], "changed"])
+    rows = [(1, a), (1, b), (5, near(a)), (6, near(b)), (6, near(b)), (None, c), (None, near(c)), (None, near(c)), (9, "alone one"), (9, "alone one"), (8, ""), (8, ""), (8, None), (None, None)]
+    d = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, _row int").repartition(3)
+    got = ngram_join.link_components(spark, d, count=True).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(d.collect())
+    kept = Counter((r.doc_id, r.text) for r in ngram_join.keep_one(spark, d).collect())
+    least = kept.pop((None, c), 0) + kept.pop((None, near(c)), 0)
+    assert least == 1 and kept == Counter({(1, a): 1, (1, b): 1, (9, "alone one"): 1, (8, ""): 2, (8, None): 1, (None, None): 1})
+
+
+def test_one_content_in_a_third_of_all_rows(spark):
+    import random
+
+    rng = random.Random(22)
+    base = prose(rng, 60)
+    d = spark.createDataFrame([(i, base if i % 3 == 0 else prose(rng, 20)) for i in range(900)], "doc_id long, text string").repartition(8)
+    got = ngram_join.link_components(spark, d)
+    assert got.where("component_id = 0").count() == 300 and got.count() == 900
+    # Rows of a frequent class get their component by broadcast, the others by a shuffle.
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and plan.count("LeftAnti") >= 1
+    assert ngram_join.keep_one(spark, d).count() == 601
+
+
+def test_sketch_adds_up_in_steps(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SKETCH_TASKS", 2)
+    keys = np.arange(1, 5001, dtype=np.uint64) % np.uint64(97)
+    d = spark.createDataFrame([(keys[k::9].tobytes(),) for k in range(9)], "hashes binary").repartition(9)
+    n = np.bincount(keys.astype(np.int64), minlength=ngram_join.SKETCH)
+    assert (ngram_join._sketch(d) == np.ceil(np.log2(n + 1))).all()
+
+
+def test_key_filter(spark):
+    from sightline.llm.common import key_filter, maybe_in
+
+    rng = np.random.default_rng(2)
+    keys = rng.integers(-(2**63), 2**63 - 1, 5000)
+    table = key_filter(spark.createDataFrame([(int(k),) for k in keys], "k long"), 5000)
+    assert maybe_in(table, keys).all() and maybe_in(table, rng.integers(-(2**63), 2**63 - 1, 20_000)).mean() < 0.1
+    assert not maybe_in(key_filter(spark.createDataFrame([], "k long"), 0), keys).any()
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace
+
+    from sightline.llm.common import shared_root
+
+    session = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="spark://x:7077"))
+    with pytest.raises(ValueError):
+        shared_root(session)
+    session.conf["spark.checkpoint.dir"] = "/shared/"
+    assert shared_root(session) == "/shared/sightline"
+
+
 def test_quality_rules(spark, docs, rows):
     got = quality_rules.rules(docs).select("_row.doc_id", "_row.score", *quality_rules.COUNTS, "base_failed", "kept", "llr").collect()
     want = Counter()
