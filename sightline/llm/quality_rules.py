@@ -31,7 +31,7 @@ PRIOR = 20.0
 MIN_LLR = -0.06
 MIN_WORDS = 50
 #: Trusted ids that a fit takes, unless its argument says otherwise; they are broadcast.
-MAX_TRUSTED = 200_000
+MAX_TRUSTED = 50_000
 
 _SPACE = r"[\x20\x09-\x0D]+"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
