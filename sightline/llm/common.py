@@ -115,18 +115,22 @@ def maybe_in(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (table[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system; workers stay for later tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def trimmed(kernel):
-    """``kernel`` over batches, after which the worker, which stays for later tasks,
-    gives freed memory back to the system."""
+    """``kernel`` over batches, after which the worker gives memory back."""
 
     def run(batches):
         yield from kernel(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):  # another C library
-            pass
+        give_back()
 
     return run
 

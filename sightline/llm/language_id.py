@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import LOWER, row_groups, text_buffers
+from .common import LOWER, give_back, row_groups, text_buffers, trimmed
 
 DIMS = 1 << 14
 NGRAMS = 3
@@ -129,7 +129,7 @@ def fit(docs: DataFrame, learn: Column, per_lang: int = PER_LANG) -> Model | Non
                 packed = np.packbits(presence(data, offsets[row : row + 2]), axis=1)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(row, 1).cast(pa.string()), b.column(2).slice(row, 1).cast(pa.string()), pa.array([packed.tobytes()])], names=["doc_id", "lang", "flags"])
 
-    rows = sample.mapInArrow(kernel, "doc_id string, lang string, flags binary").collect()  # bounded by the sample
+    rows = sample.mapInArrow(trimmed(kernel), "doc_id string, lang string, flags binary").collect()  # bounded by the sample
     if not rows:
         return None
     rows.sort(key=lambda r: (r["lang"], r["doc_id"], r["flags"]))
@@ -158,6 +158,7 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model | None) -> DataFr
                 s = model.scores(presence(data, offsets[at : upto + 1]))[np.array(known) - at].astype(float)
                 for i, best, q in zip(known, s.argmax(axis=1), sureness(s), strict=True):
                     lang[i], score[i] = model.langs[best], q
+        give_back()
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score)], names=["lang_pred", "score"])
 
     row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), classify(docs["text"].cast("string")).alias("_found"))

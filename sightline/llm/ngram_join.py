@@ -50,8 +50,9 @@ from .components import components
 WORDS = 5
 #: Postings that one task of a shuffle by shingle handles.
 TASK_POSTINGS = 2_000_000
-#: Bytes of text and postings that a kernel holds at a time.
-GROUP_BYTES, HELD_POSTINGS = 1 << 21, 800_000
+#: Bytes of text that a kernel works on at a time, postings that it holds, and postings
+#: that it sorts at a time.
+GROUP_BYTES, HELD_POSTINGS, RANGE_POSTINGS = 1 << 20, 400_000, 200_000
 #: Classes in a block, and shingles in a slice of the product.
 BLOCK, BLOCK_SHINGLES, COLUMNS = 256, 1_000_000, 8192
 #: Buckets of the table of shingle counts, and of a part of it; tasks whose parts are
@@ -146,33 +147,38 @@ def _shared_counts(rows: DataFrame, kernel, n_tasks: int) -> DataFrame:
     """(c, n_shared) from a kernel of (bucket, kind, blob) rows: blobs of kind 0
     hold postings (shingle, class), those of kind 1 classes counted already."""
 
+    def tally(h: np.ndarray, who: np.ndarray) -> np.ndarray:
+        """Classes once for each of their shingles here that another class has."""
+        order = np.lexsort((who, h))
+        h, who = h[order], who[order]
+        first = np.append(True, h[1:] != h[:-1])
+        keep = first | np.append(True, who[1:] != who[:-1])
+        at = np.flatnonzero(first)
+        # A marker, or two classes, or a marker and a class: shared.
+        shared = (np.add.reduceat(keep.astype(np.int32), at) > 1) | np.logical_or.reduceat(who == 0, at)
+        return who[keep & np.repeat(shared, np.diff(np.append(at, len(h)))) & (who != 0)]
+
     def reduce(batches):
-        postings, counted = [], []
+        postings, low, high = [], np.uint64(2**64 - 1), np.uint64(0)
         for b in batches:
             for kind, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                (counted if kind else postings).append(np.frombuffer(blob.as_buffer(), dtype=np.int64))
-        found = [x[0::2] for x in counted], [x[1::2] for x in counted]
-        c, n = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
-        if postings:
-            flat = np.concatenate(postings)
-            h, who = flat[0::2], flat[1::2]
-            order = np.lexsort((who, h))
-            h, who = h[order], who[order]
-            keep = np.ones(len(h), dtype=bool)
-            keep[1:] = (h[1:] != h[:-1]) | (who[1:] != who[:-1])
-            first = np.ones(len(h), dtype=bool)
-            first[1:] = h[1:] != h[:-1]
-            group = np.cumsum(first) - 1
-            # A marker, or two classes, or a marker and a class: shared.
-            marked = np.bincount(group, weights=who == 0) > 0
-            kinds = np.bincount(group, weights=keep)
-            mine = who[keep & (marked | (kinds > 1))[group] & (who != 0)]
-            c, n = np.concatenate([c, mine]), np.concatenate([n, np.ones(len(mine), np.int64)])
-        if len(c):
-            order = np.argsort(c, kind="stable")
-            c, n = c[order], n[order]
-            at = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(c[at]), pa.array(np.add.reduceat(n, at))], names=["c", "n_shared"])
+                x = np.frombuffer(blob.as_buffer(), dtype=np.int64).reshape(-1, 2)
+                if kind:
+                    yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["c", "n_shared"])
+                else:
+                    postings.append(x)
+                    low, high = min(low, x[0, 0].view(np.uint64)), max(high, x[-1, 0].view(np.uint64))
+        if not postings:
+            return
+        # The blobs are sorted; so many ranges of shingles are worked on one after another.
+        parts = max(1, sum(map(len, postings)) // RANGE_POSTINGS)
+        edges = np.array([int(low) + (int(high) - int(low)) * k // parts for k in range(1, parts)], dtype=np.uint64)
+        cuts = [[0, *np.searchsorted(x[:, 0].view(np.uint64), edges).tolist(), len(x)] for x in postings]
+        for k in range(parts):
+            some = np.concatenate([x[c[k] : c[k + 1]] for x, c in zip(postings, cuts, strict=True)])
+            if len(some):
+                c, n = np.unique(tally(some[:, 0], some[:, 1]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(n)], names=["c", "n_shared"])
 
     blobs = rows.mapInArrow(trimmed(kernel), "bucket int, kind int, blob binary")
     counts = blobs.repartitionById(n_tasks, F.col("bucket")).select("kind", "blob").mapInArrow(trimmed(reduce), "c long, n_shared long")

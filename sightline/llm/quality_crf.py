@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, text_buffers, word_hashes, word_spans
+from .common import mix, text_buffers, trimmed, word_hashes, word_spans
 
 #: Labelled documents of a fit, unless its argument says otherwise.
 MAX_DOCS = 3000
@@ -218,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, max_docs: int =
                     )
 
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "q")  # at most max_docs ids
-    rows = chosen.mapInArrow(kernel, "doc_id string, q int, size binary, x binary").collect()
+    rows = chosen.mapInArrow(trimmed(kernel), "doc_id string, q int, size binary, x binary").collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r["doc_id"], r["x"]))
@@ -241,7 +241,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Model | None) -> DataFram
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found)], names=["doc_id", "score"])
 
     one = docs.select("doc_id", "text")
-    return one.mapInArrow(kernel, one.select("doc_id").schema.add("score", "double"))
+    return one.mapInArrow(trimmed(kernel), one.select("doc_id").schema.add("score", "double"))
 
 
 def label_lines(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
@@ -256,7 +256,7 @@ def label_lines(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(np.arange(len(row)) - first), pa.array(p), pa.array(p >= 0.5)], names=["doc_id", "line", "p_good", "good"])
 
     one = docs.select("doc_id", "text")
-    return one.mapInArrow(kernel, one.select("doc_id").schema.add("line", "long").add("p_good", "double").add("good", "boolean"))
+    return one.mapInArrow(trimmed(kernel), one.select("doc_id").schema.add("line", "long").add("p_good", "double").add("good", "boolean"))
 
 
 def held_out() -> Column:
