@@ -169,10 +169,6 @@ def detect(frames: DataFrame, detector, schema: str) -> DataFrame:
     return frames.mapInPandas(each, schema)
 
 
-def vehicle_type(aspect: Column, area_share: Column) -> Column:
-    return F.when(area_share >= 0.30, "truck").when(aspect >= 1.9, "car").when(aspect < 0.8, "motorcycle").otherwise("unknown")
-
-
 def unreadable(rows: DataFrame) -> DataFrame:
     """Tracks long enough to be called unreadable: three readings, five if one was
     plausible, over 0.8 s."""
