@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes hashed at once; bounds the kernels' memory whatever a text's length.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -169,7 +169,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _hash_slice(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of data[start:end] for sorted, disjoint spans of one slice."""
-    n = 1 << max(20, int(len(data)).bit_length())
+    n = 1 << max(18, int(len(data)).bit_length())
     up, down = _powers(n)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])

@@ -54,7 +54,9 @@ TASK_POSTINGS = 2_000_000
 #: that it sorts at a time.
 GROUP_BYTES, HELD_POSTINGS, RANGE_POSTINGS = 1 << 20, 400_000, 200_000
 #: Classes in a block, and shingles in a slice of the product.
-BLOCK, BLOCK_SHINGLES, COLUMNS = 256, 1_000_000, 8192
+BLOCK, BLOCK_SHINGLES, COLUMNS = 256, 500_000, 8192
+#: Pairs of blocks that meet one copy of a block.
+SHARE = 16
 #: Buckets of the table of shingle counts, and of a part of it; tasks whose parts are
 #: added up together.
 SKETCH, SKETCH_PART, SKETCH_TASKS = 1 << 22, 1 << 16, 256
@@ -174,11 +176,14 @@ def _shared_counts(rows: DataFrame, kernel, n_tasks: int) -> DataFrame:
         parts = max(1, sum(map(len, postings)) // RANGE_POSTINGS)
         edges = np.array([int(low) + (int(high) - int(low)) * k // parts for k in range(1, parts)], dtype=np.uint64)
         cuts = [[0, *np.searchsorted(x[:, 0].view(np.uint64), edges).tolist(), len(x)] for x in postings]
+        c, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for k in range(parts):
-            some = np.concatenate([x[c[k] : c[k + 1]] for x, c in zip(postings, cuts, strict=True)])
+            some = np.concatenate([x[e[k] : e[k + 1]] for x, e in zip(postings, cuts, strict=True)])
             if len(some):
-                c, n = np.unique(tally(some[:, 0], some[:, 1]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(n)], names=["c", "n_shared"])
+                own, times = np.unique(tally(some[:, 0], some[:, 1]), return_counts=True)
+                c, back = np.unique(np.concatenate([c, own]), return_inverse=True)
+                n = np.bincount(back, weights=np.concatenate([n, times]), minlength=len(c)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(n)], names=["c", "n_shared"])
 
     blobs = rows.mapInArrow(trimmed(kernel), "bucket int, kind int, blob binary")
     counts = blobs.repartitionById(n_tasks, F.col("bucket")).select("kind", "blob").mapInArrow(trimmed(reduce), "c long, n_shared long")
@@ -365,17 +370,28 @@ def overlaps(hashes: np.ndarray, row: np.ndarray, n_rows: int) -> np.ndarray:
     return out
 
 
-def block_links(pairs: DataFrame, members: DataFrame, count: bool) -> DataFrame:
+def _dealt(spark: SparkSession, pairs: DataFrame, held: DataFrame, side: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs and blocks keyed by a block of one side and a copy of it, of which there is
+    one for each SHARE pairs that the block is in, so no task has all of one block's."""
+    key = [f"g{side}", f"p{side}"]
+    n = materialize(spark, pairs.groupBy(*key).agg(F.count("*").alias("n")), "pair-counts")
+    copies = F.ceil(F.col("n") / SHARE)
+    dealt = join_counted(pairs, n, key, "n", pairs.count()).withColumn(f"s{side}", F.pmod(F.xxhash64("g1", "p1", "g2", "p2"), copies)).drop("n")
+    blocks = held.select(F.col("group").alias(key[0]), F.col("part").alias(key[1]), F.col("rows").alias("x" if side == "1" else "y"))
+    return dealt, blocks.join(n, key).withColumn(f"s{side}", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))).drop("n")
+
+
+def block_links(spark: SparkSession, pairs: DataFrame, members: DataFrame, count: bool) -> DataFrame:
     """Links (a, b) between different components in pairs of blocks (g1, p1, g2,
     p2), enough to join all that the pair's links join. With ``count`` also (a, null,
     n): with how many rows the class ``a`` is linked in the other block, or in its own
     where the pair is one block twice. ``members``: id, group, part, component, m,
     hashes."""
     held = members.groupBy("group", "part").agg(F.collect_list(F.struct("id", "component", "m", "hashes")).alias("rows"))
-    left = held.select(F.col("group").alias("g1"), F.col("part").alias("p1"), F.col("rows").alias("x"))
-    right = held.select(F.col("group").alias("g2"), F.col("part").alias("p2"), F.col("rows").alias("y"))
+    pairs, left = _dealt(spark, materialize(spark, pairs, "pairs"), held, "1")
+    pairs, right = _dealt(spark, materialize(spark, pairs, "pairs"), held, "2")
     same = (F.col("g1") == F.col("g2")) & (F.col("p1") == F.col("p2"))
-    rows = pairs.join(left, ["g1", "p1"]).join(right, ["g2", "p2"]).select("x", F.when(~same, F.col("y")).alias("y"))
+    rows = pairs.join(left, ["g1", "p1", "s1"]).join(right, ["g2", "p2", "s2"]).select("x", F.when(~same, F.col("y")).alias("y"))
 
     def kernel(batches):
         for batch in batches:
@@ -459,12 +475,12 @@ def _linked(spark: SparkSession, docs: DataFrame, count: bool = False) -> tuple[
     lists = materialize(spark, _lists(spark, sets), "lists")
     blocks = materialize(spark, _blocks(lists), "blocks")
     alone = sets.join(blocks, "id").withColumn("component", F.col("id"))
-    links = materialize(spark, block_links(_star(blocks), alone, count), "links")
+    links = materialize(spark, block_links(spark, _star(blocks), alone, count), "links")
     labels = components(spark, links.where("b IS NOT NULL").select("a", "b"))
     labelled = materialize(spark, blocks.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")), "labelled")
     pairs, ids = _touching(lists, labelled) if count else _mixed(lists, labelled)
     members = sets.join(labelled, "id").join(ids, "id", "left_semi")
-    more = materialize(spark, block_links(pairs, members, count), "links")
+    more = materialize(spark, block_links(spark, pairs, members, count), "links")
     if more.where("b IS NOT NULL").head(1):
         labels = components(spark, links.unionByName(more).where("b IS NOT NULL").select("a", "b"))
     classes = reps.join(labels.withColumnRenamed("id", "c"), "c", "left").select("c", "d", "m", F.col("id").alias("class_id"), F.coalesce("component", "c").alias("group"))

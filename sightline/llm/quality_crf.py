@@ -31,7 +31,7 @@ MAX_DOCS = 3000
 ROUNDS = 120
 L2 = 1e-4
 THRESHOLD = 0.7
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 
 def _kind(chars: bytes) -> np.ndarray:
