@@ -5,15 +5,16 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from ..functions import plates
 from ..plans import views as v
 from ..plans.registry import query
-from ..streaming import kernels
+from ..streaming import association, kernels
 from .joins import eligible, expected_events, predicted_events
 
 
@@ -64,20 +65,73 @@ def diverse_frames(frames: DataFrame, by: str, capacity: int = 5, gap: int = 1)
     return frames.groupBy(by).applyInPandas(one, frames.select(by, "seq").schema)
 
 
+def _frames(g: pd.DataFrame, order: str):
+    """Bounds of the stretches of equal ``order`` in a sorted group."""
+    cuts = np.flatnonzero(np.diff(g[order].to_numpy())) + 1
+    return zip([0, *cuts.tolist()], [*cuts.tolist(), len(g)])
+
+
 def track(detections: DataFrame, by: str) -> DataFrame:
     """track of every detection (by, seq, id, x1, y1, x2, y2)."""
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
-        tracker, out = kernels.Tracker(), []
-        for seq, frame in g.sort_values(["seq", "id"]).groupby("seq"):
-            ids = tracker.update(int(seq), list(frame[["x1", "y1", "x2", "y2"]].itertuples(index=False, name=None)))
-            out.append(frame.assign(track=ids))
-        return pd.concat(out)[[by, "seq", "id", "track"]]
+        g = g.sort_values(["seq", "id"], ignore_index=True)
+        tracker, seq, boxes = kernels.Tracker(), g.seq.to_numpy(), [tuple(b) for b in g[["x1", "y1", "x2", "y2"]].to_numpy().tolist()]
+        ids = [i for a, z in _frames(g, "seq") for i in tracker.update(int(seq[a]), boxes[a:z])]
+        return g[[by, "seq", "id"]].assign(track=ids)
 
     s = detections.select(by, "seq", "id").schema
     return detections.groupBy(by).applyInPandas(one, s.add("track", "long"))
 
 
+def associate(detections: DataFrame, by: str) -> DataFrame:
+    """track of every detection (by, ts, id, x1, y1, x2, y2, score, identity) by two
+    passes over surely and less surely detected boxes."""
+
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["ts", "id"], ignore_index=True)
+        boxes = g[["x1", "y1", "x2", "y2"]].to_numpy().tolist()
+        rows = [association.Detection(tuple(b), s, i) for b, s, i in zip(boxes, g.score, g.identity, strict=True)]
+        tracker, ts = association.TwoPass(), g.ts.to_numpy()
+        ids = [i for a, z in _frames(g, "ts") for i in tracker.observe(float(ts[a]), rows[a:z])]
+        return g[[by, "id"]].assign(track=ids)
+
+    return detections.groupBy(by).applyInPandas(one, detections.select(by, "id").schema.add("track", "long"))
+
+
+def static_regions(readings: DataFrame, by: str) -> DataFrame:
+    """shown of every reading (by, ts, id, region, motion, strong)."""
+
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["ts", "id"], ignore_index=True)
+        regions, ts, rows = association.StaticRegions(), g.ts.to_numpy(), list(zip(g.region, g.motion, g.strong, strict=True))
+        return g[[by, "id"]].assign(shown=[x for a, z in _frames(g, "ts") for x in regions.observe(float(ts[a]), rows[a:z])])
+
+    return readings.groupBy(by).applyInPandas(one, readings.select(by, "id").schema.add("shown", "boolean"))
+
+
+def merge_assisted(rows: DataFrame, by: str) -> DataFrame:
+    """The rows that are shown of each frame (by, engine ``primary`` or ``shadow``, id,
+    x1, y1, x2, y2, strict)."""
+
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("id")
+        p, s = (g[g.engine == e].reset_index(drop=True) for e in ("primary", "shadow"))
+        box = lambda x: [tuple(b) for b in x[["x1", "y1", "x2", "y2"]].to_numpy().tolist()]
+        kept = association.assisted(list(zip(box(p), p.strict, strict=True)), box(s))
+        out = pd.DataFrame([(e, (p if e == "primary" else s).id[k]) for e, k in kept], columns=["engine", "id"])
+        return out.assign(**{by: g[by].iloc[0]})[[by, "engine", "id"]]
+
+    return rows.groupBy(by).applyInPandas(one, rows.select(by, "engine", "id").schema)
+
+
+@F.pandas_udf(ArrayType(StructType().add("plate", "string").add("penalty", "double")))
+def alignments(keys: pd.Series) -> pd.Series:
+    """Plates that a noisy key may stand for, best first."""
+    letters = plates.LETTERS + plates.LATIN_LETTERS
+    return keys.map(lambda t: [{"plate": p, "penalty": c} for p, c in association.template_alignments(t or "", letters)])
+
+
 def visits(observations: DataFrame, by: str, **settings) -> DataFrame:
     """visit of every plate of (by, ts, plates); observations without plates count
     as absences."""
@@ -97,9 +151,30 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf(StringType())
-def ctc_text(rows: pd.Series) -> pd.Series:
-    return rows.map(lambda r: kernels.ctc_greedy([list(x) for x in r], plates.ASCII_DIGITS + plates.LETTERS))
+def ctc(rows: DataFrame, alphabet: str, slots: list[str], width: int = 16) -> DataFrame:
+    """id, the greedy text of ``steps`` (arrays of probabilities, blank first), the best
+    text of a beam search over the layout ``slots`` and its probability, and the best
+    alignment of the greedy text with the layout."""
+    kinds = "greedy string, best string, p double, placed string"
+
+    @F.pandas_udf(f"struct<{', '.join(k.replace(' ', ': ') for k in kinds.split(', '))}>")
+    def read(steps: pd.Series) -> pd.DataFrame:
+        out = []
+        for s in steps:
+            s = [list(x) for x in s]
+            greedy, found = kernels.ctc_greedy(s, alphabet), kernels.ctc_beam(s, alphabet, slots, width)
+            out.append((greedy, *(found[0] if found else (None, 0.0)), "".join(c or "_" for c in kernels.align_slots(greedy, tuple(slots))[1])))
+        return pd.DataFrame(out, columns=["greedy", "best", "p", "placed"])
+
+    return rows.select("id", read("steps").alias("r")).select("id", "r.*")
+
+
+def _steps(spark: SparkSession, d: str) -> DataFrame:
+    """id and six steps of four probabilities each."""
+    n = lambda k, c: (F.col("event_id") * (k + 3) * (c + 5) % 17 + 1).cast("double")
+    total = lambda k: sum((n(k, c) for c in range(4)), F.lit(0.0))
+    steps = F.array(*[F.array(*[n(k, c) / total(k) for c in range(4)]) for k in range(6)])
+    return v.table(spark, d, "events").select(F.col("event_id").alias("id"), steps.alias("steps"))
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -150,3 +225,40 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 def _(spark: SparkSession, d: str) -> DataFrame:
     f = v.feedback(spark, d)
     return f.select("id", similarity("observed_norm", "corrected_norm").alias("ratio"))
+
+
+@query("two_pass_tracks")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Frames of a camera hold several boxes; their times are shared."""
+    s = v.sightings(spark, d)
+    lane = F.col("id") % 3 * 200
+    x = (F.floor(F.col("id") / 30) % 40 * 12 + lane).cast("double")
+    ts = F.floor(F.col("id") / 30) * 0.2
+    return associate(s.select("camera_id", ts.alias("ts"), "id", x.alias("x1"), (F.col("k") / 10).alias("y1"), (x + 60).alias("x2"), (F.col("k") / 10 + 20).alias("y2"), F.col("confidence").alias("score"), F.when(F.col("id") % 2 == 0, F.col("plate")).otherwise("").alias("identity")), "camera_id")
+
+
+@query("static_regions")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("id")
+    s = v.sightings(spark, d)
+    return static_regions(s.select("camera_id", F.floor(k / 20).cast("double").alias("ts"), "id", F.concat(F.lit("r"), F.col("k") % 3).alias("region"), (k % 40 / 1000).alias("motion"), (k % 17 == 0).alias("strong")), "camera_id")
+
+
+@query("merge_assisted")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    li = v.table(spark, d, "lineitem")
+    x, y = (F.col("l_partkey") % 50).cast("double"), (F.col("l_suppkey") % 10).cast("double")
+    return merge_assisted(li.select(F.col("l_orderkey").alias("frame"), F.when(F.col("l_linenumber") % 2 == 0, "primary").otherwise("shadow").alias("engine"), (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("id"), x.alias("x1"), y.alias("y1"), (x + 20).alias("x2"), (y + 10).alias("y2"), (F.col("l_partkey") % 3 == 0).alias("strict")), "frame")
+
+
+@query("template_alignments")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("id")
+    noisy = F.when(k % 4 == 0, F.concat(F.lit("I"), "plate")).when(k % 4 == 1, F.concat(F.substring("plate", 1, 3), F.lit("x"), F.substring("plate", 4, 3), F.lit("SO"))).when(k % 4 == 2, F.concat("plate", F.lit("12"))).otherwise(F.substring("plate", 1, 6))
+    return v.sightings(spark, d).select("id", F.posexplode(alignments(noisy)).alias("rank", "a")).select("id", "rank", "a.plate", F.round("a.penalty", 6).alias("penalty"))
+
+
+@query("ctc_readings")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Greedy and layout-bound readings of rows of probabilities over blank, 1, 2 and a."""
+    return ctc(_steps(spark, d), "12a", ["12", "a", "12"])

@@ -24,20 +24,27 @@ def centre(b: Box) -> tuple[float, float]:
 
 def max_matching(options: list[list[int]]) -> dict[int, int]:
     """Left index to right index, as many as possible: those with fewest options
-    first, each trying its options in order and moving others out of the way."""
+    first, each trying its options in order and moving others out of the way. The
+    chain of those that move is kept in a list, however long it gets."""
     owner: dict[int, int] = {}
-
-    def place(left: int, tried: set[int]) -> bool:
-        for right in options[left]:
-            if right not in tried:
-                tried.add(right)
-                if right not in owner or place(owner[right], tried):
-                    owner[right] = left
-                    return True
-        return False
-
-    for left in sorted(range(len(options)), key=lambda i: (len(options[i]), i)):
-        place(left, set())
+    for start in sorted(range(len(options)), key=lambda i: (len(options[i]), i)):
+        tried: set[int] = set()
+        chain = [(start, iter(options[start]))]
+        wanted: list[int] = []  # the right that each of the chain waits for
+        while chain:
+            right = next((r for r in chain[-1][1] if r not in tried), None)
+            if right is None:
+                chain.pop()
+                if wanted:
+                    wanted.pop()
+                continue
+            tried.add(right)
+            wanted.append(right)
+            if right not in owner:
+                for (left, _), to in zip(chain, wanted, strict=True):
+                    owner[to] = left
+                break
+            chain.append((owner[right], iter(options[owner[right]])))
     return {left: right for right, left in owner.items()}
 
 
@@ -103,55 +110,64 @@ def diverse(frames: list[tuple[int, float]], capacity: int = 5, gap: int = 1) ->
 
 @dataclass
 class Tracker:
-    """Greedy one-to-one association of detections with tracks, constant velocity."""
+    """Boxes of one camera's frames as tracks of constant velocity. A track expects its
+    box to move on by its velocity, for four steps at most and in whole pixels; the
+    closest pairs of tracks and boxes are made first. A track takes up a smoothed box,
+    and goes when missed more than ``max_missed`` times."""
 
     min_iou: float = 0.10
     max_distance: float = 1.25
     smoothing: float = 0.75
     velocity_share: float = 0.5
     max_missed: int = 4
+    most_steps: int = 4
     next_id: int = 1
     tracks: dict[int, dict] = field(default_factory=dict)
     last_seq: int | None = None
 
-    def _predicted(self, t: dict, seq: int) -> Box:
-        return tuple(x + v * (seq - t["seq"]) for x, v in zip(t["box"], t["velocity"], strict=True))
-
-    def _score(self, p: Box, d: Box) -> float | None:
-        (px, py), (dx, dy) = centre(p), centre(d)
-        distance = math.hypot(dx - px, dy - py) / math.hypot(max(1.0, p[2] - p[0]), max(1.0, p[3] - p[1]))
-        overlap = iou(p, d)
-        if overlap < self.min_iou and distance > self.max_distance:
-            return None
-        return 2 * overlap + max(0.0, 1 - distance / self.max_distance)
+    def expected(self, track: dict, seq: int) -> Box:
+        steps = max(0, min(self.most_steps, seq - track["seq"]))
+        box = tuple(round(x + v * steps) for x, v in zip(track["box"], track["velocity"], strict=True)) if steps else track["box"]
+        return box if box[2] > box[0] and box[3] > box[1] else track["box"]
+
+    def closeness(self, expected: Box, box: Box) -> float | None:
+        """Twice the overlap and the nearness of the centres; null if neither will do."""
+        (ax, ay), (bx, by) = centre(expected), centre(box)
+        away = math.hypot(bx - ax, by - ay) / math.hypot(max(1.0, expected[2] - expected[0]), max(1.0, expected[3] - expected[1]))
+        overlap = iou(expected, box)
+        return None if overlap < self.min_iou and away > self.max_distance else 2 * overlap + max(0.0, 1 - away / self.max_distance)
+
+    def _take(self, track: dict, expected: Box, box: Box, seq: int) -> None:
+        mixed = tuple(round(self.smoothing * new + (1 - self.smoothing) * old) for new, old in zip(box, expected, strict=True))
+        mixed = mixed if mixed[2] > mixed[0] and mixed[3] > mixed[1] else box
+        since, share = max(1, seq - track["seq"]), self.velocity_share
+        track["velocity"] = tuple(share * (new - old) / since + (1 - share) * v for new, old, v in zip(mixed, track["box"], track["velocity"], strict=True))
+        track |= {"box": mixed, "seq": seq, "missed": 0}
 
     def update(self, seq: int, boxes: list[Box]) -> list[int]:
         """Track ids of the boxes; an old or repeated ``seq`` is dropped (empty)."""
         if self.last_seq is not None and seq <= self.last_seq:
             return []
         self.last_seq = seq
-        predicted = {i: self._predicted(t, seq) for i, t in self.tracks.items()}
-        pairs = [(s, i, k) for i, p in predicted.items() for k, d in enumerate(boxes) if (s := self._score(p, d)) is not None]
-        owner: dict[int, int] = {}
+        out = [0] * len(boxes)
+        expected = {i: self.expected(t, seq) for i, t in self.tracks.items()}
+        pairs = [(c, i, k) for i, e in expected.items() for k, box in enumerate(boxes) if (c := self.closeness(e, box)) is not None]
+        waiting = dict.fromkeys(self.tracks)
         for _, i, k in sorted(pairs, reverse=True):
-            if k not in owner and i not in owner.values():
-                owner[k] = i
-        for k, i in owner.items():
-            t = self.tracks[i]
-            new = tuple(float(round(self.smoothing * o + (1 - self.smoothing) * e)) for e, o in zip(predicted[i], boxes[k], strict=True))
-            moved = [(a - b) / max(1, seq - t["seq"]) for a, b in zip(new, t["box"], strict=True)]
-            t["velocity"] = tuple(self.velocity_share * a + (1 - self.velocity_share) * b for a, b in zip(moved, t["velocity"], strict=True))
-            t |= {"box": new, "seq": seq, "missed": 0}
-        for i in [i for i in self.tracks if i not in owner.values()]:
+            if i in waiting and not out[k]:
+                del waiting[i]
+                out[k] = i
+                self._take(self.tracks[i], expected[i], boxes[k], seq)
+        for i in waiting:
             self.tracks[i]["missed"] += 1
             if self.tracks[i]["missed"] > self.max_missed:
                 del self.tracks[i]
         for k, box in enumerate(boxes):
-            if k not in owner:
-                owner[k] = self.next_id
-                self.tracks[self.next_id] = {"box": box, "seq": seq, "missed": 0, "velocity": (0.0,) * 4}
+            if not out[k]:
+                out[k] = self.next_id
+                self.tracks[self.next_id] = {"box": tuple(box), "seq": seq, "missed": 0, "velocity": (0.0,) * 4}
                 self.next_id += 1
-        return [owner[k] for k in range(len(boxes))]
+        return out
 
 
 @dataclass
