@@ -3,6 +3,7 @@ writing, and numpy kernels over Arrow text columns."""
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import gc
@@ -25,6 +26,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+#: Bytes of an Arrow batch between the JVM and a worker.
+BATCH_BYTES = 4 << 20
 #: Keys that hold at least one in so many rows are joined by broadcast (see join_counted).
 HOT_KEYS = 4096
 #: Bits of a key filter, at least and at most (8 MB).
@@ -57,11 +60,25 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """While it lasts, Arrow batches hold BATCH_BYTES and a row more at most, whatever
+    the rows' size; then the session's own bound holds again."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again, so that
     lineage ends there and a lost executor costs no recomputation."""
     path = shared_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

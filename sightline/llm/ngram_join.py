@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from .common import join_counted, key_filter, materialize, maybe_in, mix, row_groups, text_buffers, trimmed, word_hashes, word_spans
+from .common import join_counted, key_filter, materialize, maybe_in, mix, row_groups, small_batches, text_buffers, trimmed, word_hashes, word_spans
 from .components import components
 
 WORDS = 5
@@ -303,7 +303,9 @@ def _sketch(keys: DataFrame) -> np.ndarray:
     kind = "part int, several int, counts binary"
     some = keys.mapInArrow(trimmed(count), kind).groupBy("part", "several").applyInArrow(add, kind)
     out = np.zeros(SKETCH, dtype=np.uint8)
-    for r in some.groupBy("part").applyInArrow(add, kind).collect():
+    with small_batches(keys.sparkSession):
+        rows = some.groupBy("part").applyInArrow(add, kind).collect()
+    for r in rows:
         n = np.frombuffer(zlib.decompress(r["counts"]), dtype=np.int64)
         out[r["part"] * SKETCH_PART : (r["part"] + 1) * SKETCH_PART] = np.ceil(np.log2(n + 1))
     return out

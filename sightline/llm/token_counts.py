@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe
-from .common import join_counted, key_filter, materialize, maybe_in, shared_root, trimmed
+from .common import join_counted, key_filter, materialize, maybe_in, shared_root, small_batches, trimmed
 
 TOKEN_LIMIT = 512
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
@@ -96,7 +96,8 @@ def count_tokens(spark: SparkSession, docs: DataFrame, cache_path: str, tokenize
     if size[2]:
         unsure, missing = key_filter(unsure, size[1]), key_filter(misses.select(F.xxhash64("digest").alias("k")), size[2])
         made = _encode_in_place(keyed, unsure, tokenizer_path, tokenizer).unionByName(_encode_shuffled(keyed, unsure, missing, misses, tokenizer_path, tokenizer))
-        made.write.mode("append").parquet(cache_path)
+        with small_batches(spark):
+            made.write.mode("append").parquet(cache_path)
     counted = materialize(spark, kinds.select("digest", "n").join(read_cache(spark, cache_path, tokenizer), "digest"), "counted")
     return join_counted(keyed.select("doc_id", "n_bytes", "digest"), counted, ["digest"], "n", size[0] or 0).select("doc_id", "n_bytes", "n_tokens")
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe
-from .common import materialize, mix, shared_path, trimmed
+from .common import materialize, mix, shared_path, small_batches, trimmed
 
 LENGTH = 1024
 END_ID = 50256
@@ -179,7 +179,8 @@ def write_shards(spark: SparkSession, docs: DataFrame, folder: str, length: int
     file systems and Spark both reach); the index, a row a slot."""
     path = tokenizer_path or byte_bpe.default_path()
     docs = located(spark, docs, order_by)
-    starts, total = _starts(token_runs(docs, path))
+    with small_batches(spark):
+        starts, total = _starts(token_runs(docs, path))
     stride, k = 4 + length * (4 if wide else 2), shard_records(length, shard_bytes, wide)
     made = pieces(docs, starts, total, length, end_id, key, path, wide)
     n_shards = max(1, -(-total // length // k))
@@ -233,7 +234,8 @@ def write_shards(spark: SparkSession, docs: DataFrame, folder: str, length: int
         close()
         yield rows()
 
-    dealt.mapInArrow(trimmed(writer), INDEX_SCHEMA).write.mode("overwrite").parquet(f"{folder}/index")
+    with small_batches(spark):
+        dealt.mapInArrow(trimmed(writer), INDEX_SCHEMA).write.mode("overwrite").parquet(f"{folder}/index")
     return spark.read.schema(INDEX_SCHEMA).parquet(f"{folder}/index")
 
 
