@@ -24,12 +24,13 @@ def suppress_repeats(events: DataFrame, same: float = 20.0, cross: float = 1.5)
     """``decision`` of every event in time order. Every event refreshes what was
     seen last, so each is compared with the one before: of its camera and plate,
     then of its plate at another camera. Empty plates are never repeats."""
+    some = events.where("plate <> ''")  # the empty ones, however many, go into no window
     w = Window.partitionBy("camera_id", "plate").orderBy("t", "id")
     g = Window.partitionBy("plate").orderBy("t", "id")
     near = F.col("t") - F.lag("t").over(w) <= same
     far = (F.col("t") - F.lag("t").over(g) <= cross) & (F.lag("camera_id").over(g) != F.col("camera_id"))
-    decision = F.when(F.col("plate") == "", "empty").when(F.lit(same > 0) & near, "same_camera_window").when(F.lit(cross > 0) & far, "overlapping_camera_window").otherwise("new")
-    return events.withColumn("decision", decision)
+    decision = F.when(F.lit(same > 0) & near, "same_camera_window").when(F.lit(cross > 0) & far, "overlapping_camera_window").otherwise("new")
+    return some.withColumn("decision", decision).unionByName(events.where("plate = ''").withColumn("decision", F.lit("empty")))
 
 
 def split_dedup(rows: DataFrame, splits: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -139,9 +140,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return samples(spark, d).select("id", numbers.is_validation(F.col("digest"), 0.2).alias("validation"))
 
 
-@query("conflicting_labels", "WITH x AS (SELECT sha256(text) AS digest, quality FROM documents JOIN labels USING (doc_id)) SELECT digest, count(DISTINCT quality) AS labels FROM x GROUP BY 1 HAVING count(DISTINCT quality) > 1")
+@query("conflicting_labels", "WITH x AS (SELECT sha256(lang || (n_chars % 40)) AS digest, quality FROM documents JOIN labels USING (doc_id)) SELECT digest, count(DISTINCT quality) AS labels FROM x GROUP BY 1 HAVING count(DISTINCT quality) > 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    x = v.table(spark, d, "documents").join(v.table(spark, d, "labels"), "doc_id").select(F.sha2("text", 256).alias("digest"), "quality")
+    x = v.table(spark, d, "documents").join(v.table(spark, d, "labels"), "doc_id").select(F.sha2(F.concat("lang", (F.col("n_chars") % 40).cast("string")), 256).alias("digest"), "quality")
     return conflicting(x, "digest", "quality")
 
 
@@ -195,3 +196,55 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("alphabet_quarantine", v.sql(f"SELECT id FROM sightings WHERE NOT regexp_matches(plate_norm, '{plates.PLATE}')", "sightings"))
 def _(spark: SparkSession, d: str) -> DataFrame:
     return v.sightings(spark, d).where(~plates.plausible(F.col("plate_norm"))).select("id")
+
+
+def group_violations(samples: DataFrame) -> DataFrame:
+    """rule and key of everything that makes a dataset (path, digest, plate, group_id,
+    split, license) inconsistent."""
+
+    def several(rule: str, key: str, of: str) -> DataFrame:
+        return samples.groupBy(F.col(key).alias("key")).agg(F.countDistinct(of).alias("n")).where("n > 1").select(F.lit(rule).alias("rule"), "key")
+
+    def repeated(rule: str, key: str) -> DataFrame:
+        return samples.groupBy(F.col(key).alias("key")).count().where("count > 1").select(F.lit(rule).alias("rule"), "key")
+
+    licences = samples.agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("key"), F.countDistinct("license").alias("n")).where("n > 1").select(F.lit("several-licenses").alias("rule"), "key")
+    out = several("group-of-several-plates", "group_id", "plate").unionByName(several("plate-in-several-splits", "plate", "split"))
+    return out.unionByName(repeated("path-repeated", "path")).unionByName(repeated("digest-repeated", "digest")).unionByName(licences)
+
+
+def normalised_export(images: DataFrame, annotations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(images, annotations) with dense ids: images (id, split, digest) are numbered
+    within their split by digest, annotations (id, image) by their image's number, which
+    they carry. A digest in two splits, or an annotation without an image, is an error."""
+    if overlap(images, "digest").head(1):
+        raise ValueError("a digest lies in two splits")
+    if annotations.join(images, annotations["image"] == images["id"], "left_anti").head(1):
+        raise ValueError("an annotation has no image")
+    numbered = dense_ids(images.withColumn("_o", F.struct("digest", "id")), "split", "_o").drop("_o")
+    own = annotations.join(numbered.select(F.col("id").alias("image"), "split", F.col("dense_id").alias("image_id")), "image")
+    return numbered, dense_ids(own.withColumn("_o", F.struct("image_id", "id")), "split", "_o").drop("_o")
+
+
+_DATASET = "s AS (SELECT event_id AS id, 'p' || (event_id % 997) AS path, sha256(CAST(event_id % 1993 AS VARCHAR)) AS digest, 'k' || (event_id % 211 // 2) AS plate, 'g' || (event_id % 211 // 2 % 90 + CASE WHEN event_id % 211 > 200 THEN 1 ELSE 0 END) AS group_id, CASE WHEN event_id % 211 < 20 AND event_id % 3 = 0 THEN 'test' ELSE 'train' END AS split, CASE WHEN event_id % 400 = 7 THEN 'other' ELSE 'MIT' END AS license FROM events)"
+
+
+@query("group_violations", f"""WITH {_DATASET} SELECT 'group-of-several-plates' AS rule, group_id AS key FROM s GROUP BY 2 HAVING count(DISTINCT plate) > 1 UNION ALL SELECT 'plate-in-several-splits', plate FROM s GROUP BY 2 HAVING count(DISTINCT split) > 1
+    UNION ALL SELECT 'path-repeated', path FROM s GROUP BY 2 HAVING count(*) > 1 UNION ALL SELECT 'digest-repeated', digest FROM s GROUP BY 2 HAVING count(*) > 1 UNION ALL SELECT 'several-licenses', string_agg(DISTINCT license, ',' ORDER BY license) FROM s HAVING count(DISTINCT license) > 1""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id")
+    pair = F.floor(k % 211 / 2)
+    s = v.table(spark, d, "events").select(
+        k.alias("id"), F.concat(F.lit("p"), k % 997).alias("path"), F.sha2((k % 1993).cast("string"), 256).alias("digest"), F.concat(F.lit("k"), pair).alias("plate"), F.concat(F.lit("g"), pair % 90 + F.when(k % 211 > 200, 1).otherwise(0)).alias("group_id"),
+        F.when((k % 211 < 20) & (k % 3 == 0), "test").otherwise("train").alias("split"), F.when(k % 400 == 7, "other").otherwise("MIT").alias("license"),
+    )
+    return group_violations(s)
+
+
+@query("export_annotations", """WITH i AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'val' ELSE 'train' END AS split, sha256(CAST(o_orderkey AS VARCHAR)) AS digest FROM orders), n AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY digest, id) AS image_id FROM i),
+    a AS (SELECT l_orderkey * 100000 + l_linenumber * 10000 + l_partkey AS id, l_orderkey AS image FROM lineitem GROUP BY ALL) SELECT a.id, image_id, split, row_number() OVER (PARTITION BY split ORDER BY image_id, a.id) AS dense_id FROM a JOIN n ON n.id = a.image""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    images = v.table(spark, d, "orders").select(k.alias("id"), F.when(k % 5 == 0, "val").otherwise("train").alias("split"), F.sha2(k.cast("string"), 256).alias("digest"))
+    found = v.table(spark, d, "lineitem").select((F.col("l_orderkey") * 100000 + F.col("l_linenumber") * 10000 + F.col("l_partkey")).alias("id"), F.col("l_orderkey").alias("image")).distinct()
+    return normalised_export(images, found.join(images.select(F.col("id").alias("image")), "image", "left_semi"))[1].select("id", F.col("image_id").cast("long").alias("image_id"), "split", F.col("dense_id").cast("long").alias("dense_id"))

@@ -252,3 +252,14 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 def _(spark: SparkSession, d: str) -> DataFrame:
     s = v.sightings(spark, d)
     return collect_trigger(s.select(F.col("camera_id").alias("track_id"), F.col("id").alias("seq"), F.col("confidence").alias("quality"), (F.col("k") * 10).alias("skew_ms")))
+
+
+@query("detected_boxes", "WITH n AS (SELECT event_id AS id, unnest(range(0, event_id % 3)) AS n FROM events) SELECT id, CAST(n AS INTEGER) AS n, (id % 50 + 10 * n)::DOUBLE AS x1, 0.9 - 0.1 * n AS score FROM n")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """A stand-in for a detector: none to two boxes a frame."""
+
+    def detector(frames: pd.DataFrame) -> pd.DataFrame:
+        rows = [(i, n, float(i % 50 + 10 * n), 0.9 - 0.1 * n) for i in frames.id for n in range(i % 3)]
+        return pd.DataFrame(rows, columns=["id", "n", "x1", "score"]).astype({"id": "int64", "n": "int32", "x1": "float64", "score": "float64"})
+
+    return detect(v.table(spark, d, "events").select(F.col("event_id").alias("id")), detector, "id long, n int, x1 double, score double")

@@ -92,7 +92,7 @@ def expected_events(spark: SparkSession, d: str) -> DataFrame:
     day = F.floor(v.micros(F.col("o_orderdate")) / 86_400_000_000)
     k = F.col("o_orderkey")
     return o.select(
-        (k % 200).alias("sample"),
+        F.floor(k / 64).alias("sample"),
         k.alias("e"),
         F.when(k % 3 == 0, F.col("o_custkey") % 7).alias("track_id"),
         F.when(k % 5 != 0, day).alias("start_ms"),
@@ -103,12 +103,12 @@ def expected_events(spark: SparkSession, d: str) -> DataFrame:
 def predicted_events(spark: SparkSession, d: str) -> DataFrame:
     li = v.table(spark, d, "lineitem")
     day = F.floor(v.micros(F.col("l_shipdate")) / 86_400_000_000)
-    return li.where("l_linenumber = 1 and l_orderkey % 4 = 0").select((F.col("l_orderkey") % 200).alias("sample"), F.col("l_orderkey").alias("p"), F.when(F.col("l_partkey") % 4 != 0, F.col("l_suppkey") % 7).alias("track_id"), day.alias("ts_ms"))
+    return li.where("l_linenumber = 1 and l_orderkey % 4 = 0").select(F.floor(F.col("l_orderkey") / 64).alias("sample"), F.col("l_orderkey").alias("p"), F.when(F.col("l_partkey") % 4 != 0, F.col("l_suppkey") % 7).alias("track_id"), day.alias("ts_ms"))
 
 
-EVENTS_SQL = """ex AS (SELECT o_orderkey % 200 AS sample, o_orderkey AS e, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey % 7 END AS track_id, CASE WHEN o_orderkey % 5 <> 0 THEN epoch_us(o_orderdate) // 86400000000 END AS start_ms,
+EVENTS_SQL = """ex AS (SELECT o_orderkey // 64 AS sample, o_orderkey AS e, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey % 7 END AS track_id, CASE WHEN o_orderkey % 5 <> 0 THEN epoch_us(o_orderdate) // 86400000000 END AS start_ms,
     CASE WHEN o_orderkey % 5 <> 0 THEN epoch_us(o_orderdate) // 86400000000 + 40 END AS end_ms FROM orders),
-    pr AS (SELECT l_orderkey % 200 AS sample, l_orderkey AS p, CASE WHEN l_partkey % 4 <> 0 THEN l_suppkey % 7 END AS track_id, epoch_us(l_shipdate) // 86400000000 AS ts_ms FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 4 = 0),
+    pr AS (SELECT l_orderkey // 64 AS sample, l_orderkey AS p, CASE WHEN l_partkey % 4 <> 0 THEN l_suppkey % 7 END AS track_id, epoch_us(l_shipdate) // 86400000000 AS ts_ms FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 4 = 0),
     el AS (SELECT sample, e, p FROM ex JOIN pr USING (sample) WHERE (ex.track_id IS NULL OR coalesce(pr.track_id = ex.track_id, false)) AND ((start_ms IS NULL AND end_ms IS NULL) OR (ts_ms >= start_ms AND ts_ms <= end_ms)))"""
 
 

@@ -52,7 +52,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return v.table(spark, d, "orders").select("o_orderkey", p["year"].cast("long").alias("year"), p["month"].cast("long").alias("month"))
 
 
-@query("combined_confidence")
+@query("combined_confidence", v.sql("b AS (SELECT id, 0.34 * confidence + 0.56 * (k / 100) + 0.10 * 0.5 AS base FROM sightings); SELECT id, round_even(greatest(0, least(1, CASE WHEN id % 3 = 0 THEN base + 0.08 ELSE base * 0.62 END)), 4) AS c FROM b", "sightings"))
 def _(spark: SparkSession, d: str) -> DataFrame:
     c = numbers.combined_confidence(F.col("confidence"), F.col("k") / 100, F.lit(0.5), F.col("id") % 3 == 0)
     return v.sightings(spark, d).select("id", c.alias("c"))
@@ -86,3 +86,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     one = box((F.col("l_partkey") % 50).cast("double"), (F.col("l_suppkey") % 10).cast("double"))
     two = box(F.lit(25.0), F.lit(5.0))
     return v.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(geometry.iou(one, two), 6).alias("iou"), geometry.continuous(one, two).alias("near"))
+
+
+@query("compatibility_forms", v.sql("SELECT id, plate AS normalized, CASE WHEN substr(plate, 1, 2) = '00' OR substr(plate, 4, 3) = '000' THEN 'zero_serial' WHEN substr(plate, 7, 2) < '10' THEN 'invalid_province' ELSE 'ok' END AS reason FROM sightings", "sightings"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Full-width digits and marks that only compatibility normalisation takes out."""
+    wide = F.concat(F.translate("plate", plates.ASCII_DIGITS, "０１２３４５６７８９"), F.lit("　"))
+    return v.sightings(spark, d).select("id", plates.validate_v2(wide).alias("r")).select("id", "r.normalized", "r.reason")

@@ -147,7 +147,40 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return ema(li, "track", "n", "q", 0.2).select("track", F.round("ema", 6).alias("ema"))
 
 
-@query("load_levels")
+def _severity_sql(x: str, elevated: float, high: float, critical: float) -> str:
+    return f"CASE WHEN {x} >= {critical} THEN 2.7 + ({x} - {critical}) / {critical} WHEN {x} >= {high} THEN 1.75 + 0.95 * ({x} - {high}) / {critical - high} WHEN {x} >= {elevated} THEN 1 + 0.75 * ({x} - {elevated}) / {high - elevated} ELSE greatest(0, {x} / {elevated}) END"
+
+
+_LEVEL = "CASE WHEN {0} >= 2.7 THEN 3 WHEN {0} >= 1.75 THEN 2 WHEN {0} >= 1.0 THEN 1 ELSE 0 END"
+_LEVELS_SQL = f"""WITH RECURSIVE {v.sql("SELECT 1", "sightings")[len("WITH ") : -len(" SELECT 1")]}, m AS (SELECT camera_id, id, {_severity_sql("confidence_pct::DOUBLE", 65.0, 80.0, 92.0)} AS cpu, {_severity_sql("(k * 3.0::DOUBLE)", 90.0, 157.5, 247.5)} AS det, {_severity_sql("(k * 2.0::DOUBLE)", 120.0, 210.0, 330.0)} AS ocr, {_severity_sql("(confidence * 0.5)", 0.25, 0.55, 0.82)} AS q, {_severity_sql("((id % 20)::DOUBLE)", 8.0, 16.0, 32.0)} AS act FROM sightings),
+    p AS (SELECT camera_id, row_number() OVER (PARTITION BY camera_id ORDER BY id) AS i, greatest(cpu, det, ocr, q, 0.5 * act, 0.30 * cpu + 0.22 * det + 0.18 * ocr + 0.15 * q + 0.15 * act) AS pressure FROM m),
+    f AS (SELECT camera_id, 0::BIGINT AS i, 0::DOUBLE AS ema, 0 AS level, 0 AS calm FROM p WHERE i = 1
+    UNION ALL SELECT camera_id, i, e, CASE WHEN want > level THEN want WHEN c >= 3 THEN level - 1 ELSE level END, CASE WHEN c >= 3 THEN 0 ELSE c END FROM (SELECT *, CASE WHEN want < level THEN calm + 1 ELSE 0 END AS c FROM (SELECT *, greatest({_LEVEL.format("pressure")}, {_LEVEL.format("e")}) AS want FROM (SELECT p.camera_id, p.i, p.pressure, f.level, f.calm, 0.28 * p.pressure + 0.72 * f.ema AS e FROM f JOIN p ON p.camera_id = f.camera_id AND p.i = f.i + 1))))
+    SELECT camera_id, round(arg_max(ema, i), 6) AS ema, arg_max(level, i) AS level FROM f GROUP BY 1"""
+
+
+def snapshot(tracks: DataFrame, readings: DataFrame, alpha: float = 0.2) -> DataFrame:
+    """One row a camera: readings, their mean and exponential mean in milliseconds,
+    tracks in each phase and attempts, whether it is active. ``tracks``: camera_id,
+    phase, attempts; ``readings``: camera_id, at, seconds."""
+    phase = lambda p: F.count_if(F.col("phase") == p)
+    t = tracks.groupBy("camera_id").agg(F.count("*").alias("tracks"), phase("provisional").alias("provisional"), phase("soft_locked").alias("locked"), phase("finalized").alias("finalized"), F.sum("attempts").alias("attempts"), F.bool_or(~F.col("phase").isin("idle", "done")).alias("active"))
+    r = readings.groupBy("camera_id").agg(F.count("*").alias("readings"), (F.avg("seconds") * 1000).alias("mean_ms"))
+    e = ema(readings, "camera_id", "at", "seconds", alpha).select("camera_id", (F.col("ema") * 1000).alias("ema_ms"))
+    return r.join(e, "camera_id", "full").join(t, "camera_id", "full").fillna(0).withColumn("active", F.coalesce("active", F.lit(False)))
+
+
+@query("telemetry_snapshot", v.sql("""t AS (SELECT camera_id, count(*) AS tracks, count(*) FILTER (id % 5 = 1) AS provisional, count(*) FILTER (id % 5 = 2) AS locked, count(*) FILTER (id % 5 = 3) AS finalized, sum(id % 4)::BIGINT AS attempts, bool_or(id % 5 IN (1, 2, 3)) AS active FROM sightings WHERE id % 3 = 0 GROUP BY 1),
+    n AS (SELECT camera_id, k / 1000 AS s, row_number() OVER w AS i, count(*) OVER (PARTITION BY camera_id) AS n FROM sightings WINDOW w AS (PARTITION BY camera_id ORDER BY id)), r AS (SELECT camera_id, count(*) AS readings, avg(s) * 1000 AS mean_ms, sum(0.2 * pow(0.8, n - i) * s) * 1000 AS ema_ms FROM n GROUP BY 1);
+    SELECT camera_id, readings, round(mean_ms, 6) AS mean_ms, round(ema_ms, 6) AS ema_ms, coalesce(tracks, 0) AS tracks, coalesce(provisional, 0) AS provisional, coalesce(locked, 0) AS locked, coalesce(finalized, 0) AS finalized, coalesce(attempts, 0) AS attempts, coalesce(active, false) AS active FROM r LEFT JOIN t USING (camera_id)""", "sightings"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s, k = v.sightings(spark, d), F.col("id")
+    phase = F.element_at(F.array(*map(F.lit, ("idle", "provisional", "soft_locked", "finalized", "done"))), (k % 5 + 1).cast("int"))
+    out = snapshot(s.where(k % 3 == 0).select("camera_id", phase.alias("phase"), (k % 4).alias("attempts")), s.select("camera_id", k.alias("at"), (F.col("k") / 1000).alias("seconds")))
+    return out.withColumn("mean_ms", F.round("mean_ms", 6)).withColumn("ema_ms", F.round("ema_ms", 6))
+
+
+@query("load_levels", _LEVELS_SQL)
 def _(spark: SparkSession, d: str) -> DataFrame:
     e = v.sightings(spark, d)
     r = e.select("camera_id", "id", F.col("confidence_pct").cast("double").alias("cpu"), (F.col("k") * 3.0).alias("detector_ms"), (F.col("k") * 2.0).alias("ocr_ms"), (F.col("confidence") * 0.5).alias("queue_ratio"), (F.col("id") % 20).alias("active"), F.lit(0.0).alias("stale_rate"))

@@ -9,6 +9,9 @@ from pyspark.sql.types import StructType
 from ..plans import views as v
 from ..plans.registry import query
 
+#: Fixed value: bytes of an entry's payload at most.
+MAX_PAYLOAD = 1 << 20
+
 
 def align(df: DataFrame, schema: StructType, defaults: dict | None = None) -> DataFrame:
     """The columns of ``schema``, in order and type: missing ones from ``defaults``
@@ -49,11 +52,17 @@ def due(queue: DataFrame, now: float, after: int, batch: int = 64) -> DataFrame:
 
 
 def verify_entries(queue: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid, quarantined with reason): digest of the payload, bounds of fields."""
+    """(valid, quarantined with reason): digest of the payload, bounds and types of the
+    fields. Columns payload, payload_sha256, status, attempts, next_attempt, retry_id,
+    processing_ms."""
+    finite = lambda c: F.coalesce((F.abs(F.col(c)) < float("inf")) & (F.col(c) >= 0), F.lit(False))
     reason = (
-        F.when(F.sha2("payload", 256) != F.lower("payload_sha256"), "payload-digest-mismatch")
-        .when(~F.col("status").isin("pending", "failed"), "invalid-status")
+        F.when(~F.coalesce(F.sha2("payload", 256) == F.lower("payload_sha256"), F.lit(False)), "payload-digest-mismatch")
+        .when(~F.coalesce(F.col("status").isin("pending", "failed"), F.lit(False)), "invalid-status")
         .when((F.col("attempts") < 0) | F.col("attempts").isNull(), "invalid-attempts")
+        .when(~F.coalesce(F.length(F.trim("retry_id")).between(1, 128), F.lit(False)), "invalid-retry-id")
+        .when(~finite("next_attempt") | ~finite("processing_ms"), "invalid-number")
+        .when(F.octet_length("payload") > MAX_PAYLOAD, "payload-too-large")
     )
     judged = queue.withColumn("reason", reason)
     return judged.where("reason IS NULL").drop("reason"), judged.where("reason IS NOT NULL")
@@ -128,7 +137,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 def _queue(spark: SparkSession, d: str) -> DataFrame:
     o = v.table(spark, d, "orders")
     digest = F.when(F.col("o_orderkey") % 40 == 0, F.lit("0" * 64)).otherwise(F.sha2(F.col("o_orderpriority"), 256))
-    return o.select(F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderstatus") == "O", "pending").otherwise("failed").alias("status"), (F.col("o_custkey") % 100).cast("double").alias("next_attempt"), (F.col("o_custkey") % 5 - F.when(F.col("o_orderkey") % 50 == 1, 9).otherwise(0)).alias("attempts"), F.col("o_orderpriority").alias("payload"), digest.alias("payload_sha256"))
+    return o.select(F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderstatus") == "O", "pending").otherwise("failed").alias("status"), (F.col("o_custkey") % 100).cast("double").alias("next_attempt"), (F.col("o_custkey") % 5 - F.when(F.col("o_orderkey") % 50 == 1, 9).otherwise(0)).alias("attempts"), F.col("o_orderpriority").alias("payload"), digest.alias("payload_sha256"), F.when(F.col("o_orderkey") % 35 == 2, " ").otherwise(F.concat(F.lit("r"), "o_orderkey")).alias("retry_id"), F.when(F.col("o_orderkey") % 33 == 3, float("nan")).otherwise(1.0).alias("processing_ms"))
 
 
 @query("due_queue", "SELECT o_orderkey AS seq, (o_custkey % 100)::DOUBLE AS next_attempt FROM orders WHERE o_orderstatus = 'O' AND o_orderkey > 100 AND o_custkey % 100 <= 50 ORDER BY 1 LIMIT 64")
@@ -136,7 +145,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return due(_queue(spark, d), 50.0, 100).select("seq", "next_attempt")
 
 
-@query("quarantine", "SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 40 = 0 THEN 'payload-digest-mismatch' ELSE 'invalid-attempts' END AS reason FROM orders WHERE o_orderkey % 40 = 0 OR o_orderkey % 50 = 1")
+@query("quarantine", "WITH x AS (SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 40 = 0 THEN 'payload-digest-mismatch' WHEN o_orderkey % 50 = 1 THEN 'invalid-attempts' WHEN o_orderkey % 35 = 2 THEN 'invalid-retry-id' WHEN o_orderkey % 33 = 3 THEN 'invalid-number' END AS reason FROM orders) SELECT seq, reason FROM x WHERE reason IS NOT NULL")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return verify_entries(_queue(spark, d))[1].select("seq", "reason")
 
@@ -148,7 +157,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return fold_failures(f)
 
 
-@query("fold_events")
+@query("fold_events", "WITH RECURSIVE " + v.sql("SELECT 1", "observations")[len("WITH ") : -len(" SELECT 1")] + """, x AS (SELECT track_id AS key, (seq - part % 3)::DOUBLE AS ts, CASE WHEN part % 7 <> 0 THEN text END AS plate, CASE WHEN part % 23 = 0 THEN 'confirmed' ELSE 'suggested' END AS status, row_number() OVER (PARTITION BY track_id ORDER BY seq, part, seq - part % 3, text) AS i FROM observations),
+    f AS (SELECT key, 0::BIGINT AS i, NULL::DOUBLE AS ts, NULL::VARCHAR AS plate, 'new' AS status, false AS conflict FROM x WHERE i = 1
+    UNION ALL SELECT key, i, CASE WHEN skip THEN ats ELSE ts END, CASE WHEN skip THEN aplate ELSE coalesce(plate, aplate) END, CASE WHEN skip THEN astatus ELSE status END, CASE WHEN skip THEN aconflict ELSE aconflict OR coalesce(aplate <> plate AND status <> 'confirmed', false) END
+      FROM (SELECT x.*, f.ts AS ats, f.plate AS aplate, f.status AS astatus, f.conflict AS aconflict, coalesce(f.status = 'confirmed' AND x.status <> 'confirmed', false) OR coalesce(x.ts < f.ts, false) OR (x.plate IS NULL AND f.plate IS NOT NULL) AS skip FROM f JOIN x ON x.key = f.key AND x.i = f.i + 1))
+    SELECT key, arg_max(ts, i) AS ts, last(plate ORDER BY i) AS plate, arg_max(status, i) AS status, arg_max(conflict, i) AS conflict FROM f GROUP BY 1""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     o = v.observations(spark, d)
     plate = F.when(F.col("part") % 7 != 0, F.col("text"))

@@ -13,6 +13,13 @@ def test_matching_moves_others_away():
     assert k.max_matching([[0], [0]]) == {0: 0}
 
 
+def test_matching_follows_long_chains():
+    n = 3000
+    options = [[0], *[[i - 1, i] for i in range(1, n)]]  # each new one moves all before it
+    assert len(k.max_matching([[i, i + 1] if i + 1 < n else [i] for i in range(n)] + [[0]])) == n
+    assert len(k.max_matching(options)) == n
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 4), unique=True, max_size=4), max_size=5))
 def test_matching_is_maximal(options):
@@ -53,6 +60,24 @@ def test_tracker():
     assert t.update(5, [(2, 0, 12, 10)]) == [3]
 
 
+def test_tracker_expects_four_steps_at_most():
+    t = k.Tracker()
+    t.update(1, [(0, 0, 10, 10)])
+    t.update(2, [(8, 0, 18, 10)])  # smoothed to 6, velocity 3
+    assert t.tracks[1]["box"] == (6, 0, 16, 10) and t.tracks[1]["velocity"][0] == 3
+    assert t.expected(t.tracks[1], 3)[0] == 9 and t.expected(t.tracks[1], 6)[0] == t.expected(t.tracks[1], 500)[0] == 18
+    assert t.update(500, [(18, 0, 28, 10)]) == [1]  # a gap does not carry the track away
+    shrinking = {"box": (0, 0, 10, 10), "seq": 1, "velocity": (4.0, 0.0, -4.0, 0.0)}
+    assert t.expected(shrinking, 4) == (0, 0, 10, 10)  # no box is left, so it stays
+
+
+def test_tracker_rounds_and_keeps_boxes():
+    t = k.Tracker(smoothing=0.5)
+    t.update(1, [(0.0, 0.0, 9.0, 9.0)])
+    t.update(2, [(1.0, 0.0, 12.0, 9.0)])
+    assert all(float(v).is_integer() for v in t.tracks[1]["box"])
+
+
 def test_visits():
     v = k.Visits(cooldown=10)
     assert v.observe(0, ["a"]) == [1] and v.observe(0.2, ["a"]) == [1]

@@ -39,4 +39,7 @@ def test_query_matches_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_other_query_runs(spark, name):
-    assert QUERIES[name](spark, SF).columns
+    """Their rows are compared in test_brute.py and test_streams.py."""
+    df = QUERIES[name](spark, SF)
+    rows = df.collect()
+    assert rows and len(rows[0]) == len(df.columns)
