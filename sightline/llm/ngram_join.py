@@ -54,9 +54,9 @@ TASK_POSTINGS = 2_000_000
 #: that it sorts at a time.
 GROUP_BYTES, HELD_POSTINGS, RANGE_POSTINGS = 1 << 20, 400_000, 200_000
 #: Classes in a block, and shingles in a slice of the product.
-BLOCK, BLOCK_SHINGLES, COLUMNS = 256, 500_000, 8192
+BLOCK, BLOCK_SHINGLES, COLUMNS = 256, 1_000_000, 8192
 #: Pairs of blocks that meet one copy of a block.
-SHARE = 16
+SHARE = 64
 #: Buckets of the table of shingle counts, and of a part of it; tasks whose parts are
 #: added up together.
 SKETCH, SKETCH_PART, SKETCH_TASKS = 1 << 22, 1 << 16, 256
