@@ -77,9 +77,10 @@ def normalize_v2(c: Column, nfkc: bool = True) -> Column:
     return F.trim(F.translate(v, "ds", "DS"))
 
 
-def validate_v2(c: Column, nfkc: bool = True, min_province: int = 10, max_province: int = 99) -> Column:
-    """struct(normalized, valid, reason, pattern, province)."""
-    v = normalize_v2(c, nfkc)
+def validate_key(v: Column, min_province: int = 10, max_province: int = 99) -> Column:
+    """struct(normalized, valid, reason, pattern, province) of a key in the temporal
+    engine's form. The key is used many times: a computed one should be a column that
+    the optimiser does not merge in."""
     part = lambda i: F.regexp_extract(v, PLATE, i)
     province = part(4).try_cast("int")
     reason = (
@@ -93,6 +94,11 @@ def validate_v2(c: Column, nfkc: bool = True, min_province: int = 10, max_provin
     return F.struct(v.alias("normalized"), (reason == "ok").alias("valid"), reason.alias("reason"), pattern.alias("pattern"), F.nullif(part(4), F.lit("")).alias("province"))
 
 
+def validate_v2(c: Column, nfkc: bool = True, min_province: int = 10, max_province: int = 99) -> Column:
+    """validate_key() of the text's key."""
+    return validate_key(normalize_v2(c, nfkc), min_province, max_province)
+
+
 def edit_distance(a: Column, b: Column) -> Column:
     return F.levenshtein(a, b)
 

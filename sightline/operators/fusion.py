@@ -254,7 +254,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return collect_trigger(s.select(F.col("camera_id").alias("track_id"), F.col("id").alias("seq"), F.col("confidence").alias("quality"), (F.col("k") * 10).alias("skew_ms")))
 
 
-@query("detected_boxes", "WITH n AS (SELECT event_id AS id, unnest(range(0, event_id % 3)) AS n FROM events) SELECT id, CAST(n AS INTEGER) AS n, (id % 50 + 10 * n)::DOUBLE AS x1, 0.9 - 0.1 * n AS score FROM n")
+@query("detected_boxes", "WITH n AS (SELECT event_id AS id, unnest(range(0, event_id % 3)) AS n FROM events) SELECT id, CAST(n AS INTEGER) AS n, (id % 50 + 10 * n)::DOUBLE AS x1, 0.9::DOUBLE - 0.1::DOUBLE * n AS score FROM n")
 def _(spark: SparkSession, d: str) -> DataFrame:
     """A stand-in for a detector: none to two boxes a frame."""
 

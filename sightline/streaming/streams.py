@@ -213,4 +213,4 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 def _(spark: SparkSession, d: str) -> DataFrame:
     at = shared_folder(spark, "stream-append")
     append_batches(_named(events_stream(spark, d)).select("camera_id"), f"{at}/out", "camera_id", f"{at}/checkpoint")
-    return spark.read.parquet(f"{at}/out")
+    return spark.read.parquet(f"{at}/out").select("camera_id")

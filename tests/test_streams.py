@@ -40,12 +40,12 @@ def test_fusion_ends_when_a_track_goes(spark):
 
     at, schema = shared_folder(spark, "fusion-test"), "track_id long, ts timestamp, t double, text string, confidence double, quality double"
     row = lambda track, s, text: (track, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s), float(s), text, 0.9, 0.8)
-    for batch in ([row(1, s, "12ب34567") for s in range(3)], [row(2, 4000, "98س76511")], [row(2, 9000, "98س76511")], [row(2, 9001, "98س76511")]):
+    for batch in ([row(1, s, "12ب34567") for s in range(3)], [row(2, 4000, "98س76511")], [row(3, 9000, "98س76511")], [row(3, 9100, "98س76511")], [row(2, 9200, "98س76511")]):
         feed(spark, at, "in", batch, schema)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
     said = streams.run_once(spark, streams.fusion_stream(stream, fusion.LAYOUT, late="1 second", hold="1 hour"), "fusion-test").collect()
     assert [(r.frames, r.text) for r in said if r.track_id == 1 and r.phase == "final"] == [(3, "12ب34567")]
-    assert max(r.frames for r in said if r.track_id == 2) < 3  # its state had gone before it came again
+    assert [r.frames for r in said if r.track_id == 2] == [1, 1, 1] and sum(r.phase == "lost" for r in said if r.track_id == 2) == 1  # its state had gone before it came again
 
 
 def test_repeats_are_forgotten(spark):
@@ -67,9 +67,9 @@ def test_a_restarted_stream_goes_on(spark):
     import datetime as dt
 
     row = lambda i, epoch, seq: (1, i, dt.datetime(2024, 1, 1, 0, i), epoch, seq)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
 
     def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
         streams.in_order(stream).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
         return sorted((r.id, r.run) for r in spark.read.schema("id long, run int").parquet(f"{at}/out").collect())
 
