@@ -7,6 +7,7 @@ import difflib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
@@ -18,32 +19,49 @@ from ..streaming import association, kernels
 from .joins import eligible, expected_events, predicted_events
 
 
+def _matched(pairs: DataFrame, by: str, value: str, kernel) -> DataFrame:
+    """(by, e, p) that ``kernel`` makes of each group's list of (e, p, value). Groups are
+    samples, of which there are many small ones, so they go to Python as rows of a
+    batch."""
+    lists = pairs.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("e", "p", F.col(value).cast("double").alias("v")))).alias("l"))
+    schema = pairs.select(by, "e", "p").schema
+
+    def each(batches):
+        for b in batches:
+            out = [(key, e, p) for key, edges in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for e, p in kernel([(x["e"], x["p"], x["v"]) for x in edges])]
+            columns = list(zip(*out, strict=True)) or [()] * 3
+            kinds = (b.schema.field(0).type, b.schema.field(1).type.value_type.field("e").type, b.schema.field(1).type.value_type.field("p").type)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=schema.fieldNames())
+
+    return lists.mapInArrow(each, schema)
+
+
 def match_events(pairs: DataFrame, by: str) -> DataFrame:
     """One-to-one matches, as many as possible, from eligible pairs (e, p, distance)."""
 
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        es, ps = sorted(g.e.unique()), sorted(g.p.unique())
-        at = {p: k for k, p in enumerate(ps)}
-        options = [[at[p] for p in g[g.e == e].sort_values(["distance", "p"]).p] for e in es]
-        found = kernels.max_matching(options)
-        return pd.DataFrame({by: g[by].iloc[0], "e": [es[a] for a in found], "p": [ps[b] for b in found.values()]})
+    def one(edges):
+        es, ps = sorted({e for e, _, _ in edges}), sorted({p for _, p, _ in edges})
+        at, number = {p: k for k, p in enumerate(ps)}, {e: k for k, e in enumerate(es)}
+        options: list[list[int]] = [[] for _ in es]
+        for e, p, _ in sorted(edges, key=lambda x: (x[2], x[1])):
+            options[number[e]].append(at[p])
+        return [(es[a], ps[b]) for a, b in kernels.max_matching(options).items()]
 
-    kinds = pairs.schema
-    return pairs.groupBy(by).applyInPandas(one, f"{by} {kinds[by].dataType.simpleString()}, e {kinds['e'].dataType.simpleString()}, p {kinds['p'].dataType.simpleString()}")
+    return _matched(pairs, by, "distance", one)
 
 
 def assign(pairs: DataFrame, by: str, missing: float) -> DataFrame:
     """The assignment of least total cost from (e, p, cost); a pair that is not
     there is forbidden, an e left out costs ``missing``."""
 
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        es, ps = sorted(g.e.unique()), sorted(g.p.unique())
-        cost = g.pivot_table(index="e", columns="p", values="cost", aggfunc="min").reindex(index=es, columns=ps).fillna(float("inf")).values.tolist()
-        found = kernels.min_cost_pairs(cost, missing)
-        return pd.DataFrame({by: [g[by].iloc[0]] * len(found), "e": [es[a] for a, _ in found], "p": [ps[b] for _, b in found]}).astype({"e": g.e.dtype, "p": g.p.dtype})
+    def one(edges):
+        es, ps = sorted({e for e, _, _ in edges}), sorted({p for _, p, _ in edges})
+        at, cost = {p: k for k, p in enumerate(ps)}, {e: [float("inf")] * len(ps) for e in es}
+        for e, p, c in edges:
+            cost[e][at[p]] = min(cost[e][at[p]], c)
+        return [(es[a], ps[b]) for a, b in kernels.min_cost_pairs([cost[e] for e in es], missing)]
 
-    kinds = pairs.schema
-    return pairs.groupBy(by).applyInPandas(one, f"{by} {kinds[by].dataType.simpleString()}, e {kinds['e'].dataType.simpleString()}, p {kinds['p'].dataType.simpleString()}")
+    return _matched(pairs, by, "cost", one)
 
 
 def suppress(boxes: DataFrame, by: str, threshold: float = 0.38) -> DataFrame:
@@ -112,17 +130,24 @@ def static_regions(readings: DataFrame, by: str) -> DataFrame:
 
 def merge_assisted(rows: DataFrame, by: str) -> DataFrame:
     """The rows that are shown of each frame (by, engine ``primary`` or ``shadow``, id,
-    x1, y1, x2, y2, strict)."""
-
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("id")
-        p, s = (g[g.engine == e].reset_index(drop=True) for e in ("primary", "shadow"))
-        box = lambda x: [tuple(b) for b in x[["x1", "y1", "x2", "y2"]].to_numpy().tolist()]
-        kept = association.assisted(list(zip(box(p), p.strict, strict=True)), box(s))
-        out = pd.DataFrame([(e, (p if e == "primary" else s).id[k]) for e, k in kept], columns=["engine", "id"])
-        return out.assign(**{by: g[by].iloc[0]})[[by, "engine", "id"]]
-
-    return rows.groupBy(by).applyInPandas(one, rows.select(by, "engine", "id").schema)
+    x1, y1, x2, y2, strict). Frames are many and hold a few boxes, so they go to Python
+    as rows of a batch, not a group at a time."""
+    box = F.struct("id", "x1", "y1", "x2", "y2", "strict")
+    of = lambda e: F.array_sort(F.collect_list(F.when(F.col("engine") == e, box)))
+    frames = rows.groupBy(by).agg(of("primary").alias("p"), of("shadow").alias("s"))
+    schema = rows.select(by, "engine", "id").schema
+
+    def each(batches):
+        for b in batches:
+            out = []
+            for key, p, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                at = lambda r: (r["x1"], r["y1"], r["x2"], r["y2"])
+                shown = association.assisted([(at(r), r["strict"]) for r in p], [at(r) for r in s])
+                out += [(key, e, (p if e == "primary" else s)[k]["id"]) for e, k in shown]
+            columns = list(zip(*out, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (b.schema.field(0).type, pa.string(), pa.int64()), strict=True)], names=schema.fieldNames())
+
+    return frames.mapInArrow(each, schema)
 
 
 @F.pandas_udf(ArrayType(StructType().add("plate", "string").add("penalty", "double")))

@@ -74,7 +74,8 @@ def visit_stream(stream: DataFrame, **settings) -> DataFrame:
         for r in pd.concat(frames).sort_values("ts").itertuples(index=False):
             rows += [(r.camera_id, r.ts, p, n) for p, n in zip(r.plates, ledger.observe(r.ts, list(r.plates)), strict=True)]
         state.update((ledger.next_visit, json.dumps(ledger.open)))
-        yield pd.DataFrame(rows, columns=["camera_id", "ts", "plate", "visit"])
+        if rows:
+            yield pd.DataFrame(rows, columns=["camera_id", "ts", "plate", "visit"])
 
     return stream.groupBy("camera_id").applyInPandasWithState(one, "camera_id long, ts double, plate string, visit long", "next_visit long, opened string", "append", GroupStateTimeout.NoTimeout)
 
@@ -100,7 +101,8 @@ def in_order(stream: DataFrame, late: str = "1 hour", idle: str = "1 day") -> Da
                 kept.append((i, run))
         state.update((epoch, run, last))
         state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(g.ts.max().timestamp() * 1000)) + hold)
-        yield pd.DataFrame(kept, columns=["id", "run"])
+        if kept:
+            yield pd.DataFrame(kept, columns=["id", "run"])
 
     return stream.withWatermark("ts", late).groupBy("key").applyInPandasWithState(one, "id long, run int", "epoch string, run int, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
