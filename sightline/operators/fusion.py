@@ -117,6 +117,8 @@ def manifest_violations(samples: DataFrame, categories: list[str]) -> DataFrame:
     """Every broken rule of an accuracy manifest (sample_id, enabled, category, scope,
     plate, n_events, start_ms, end_ms), one row each: all of them, not the first."""
     s = samples.where("enabled")
+    whole = lambda c: F.coalesce(~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf")), F.lit(True))
+    finite = whole("start_ms") & whole("end_ms")
     bad = F.array_compact(
         F.array(
             F.when(~plates.is_identifier(F.col("sample_id")), "invalid-sample-id"),
@@ -124,7 +126,7 @@ def manifest_violations(samples: DataFrame, categories: list[str]) -> DataFrame:
             F.when(~F.col("scope").isin("exhaustive", "known_positives"), "unknown-scope"),
             F.when(F.col("plate").isNotNull() == (F.col("n_events") > 0), "one-of-label-or-events"),
             F.when((F.col("n_events") == 0) & F.col("plate").isNull() & (F.col("scope") != "exhaustive"), "negative-must-be-exhaustive"),
-            F.when(F.col("start_ms") > F.col("end_ms"), "window-reversed"),
+            F.when(~finite, "window-not-finite").when(F.col("start_ms") > F.col("end_ms"), "window-reversed"),
         )
     )
     rows = s.select("sample_id", F.explode(bad).alias("violation"))
@@ -133,6 +135,14 @@ def manifest_violations(samples: DataFrame, categories: list[str]) -> DataFrame:
     return rows.unionByName(twice).unionByName(absent.select(F.col("category").alias("sample_id"), F.lit("category-not-covered").alias("violation")))
 
 
+def strict_evidence(samples: DataFrame, media: DataFrame) -> DataFrame:
+    """violation of every enabled sample (sample_id, enabled, media_path, fingerprint)
+    whose medium (path, sha256) is not there or is not the one that was labelled."""
+    j = samples.where("enabled").join(media.select(F.col("path").alias("media_path"), F.lower("sha256").alias("_sha")), "media_path", "left")
+    violation = F.when(~F.coalesce(plates.is_digest(F.col("fingerprint")), F.lit(False)), "invalid-fingerprint").when(F.col("_sha").isNull(), "media-missing").when(F.col("_sha") != F.lower("fingerprint"), "fingerprint-mismatch")
+    return j.select("sample_id", violation.alias("violation")).where("violation IS NOT NULL")
+
+
 def ab_gate(a: DataFrame, b: DataFrame, metrics: list[str], key: str = "category") -> DataFrame:
     """Whether b is nowhere worse than a: null where a metric is missing on either
     side."""
@@ -213,7 +223,7 @@ _SAMPLES = "s AS (SELECT CASE WHEN o_orderkey % 97 = 0 THEN ' x' ELSE 's' || (o_
 
 
 @query("manifest_violations", f"""WITH {_SAMPLES}, r AS (SELECT sample_id, unnest([CASE WHEN sample_id = ' x' THEN 'invalid-sample-id' END, CASE WHEN category = 'c8' THEN 'unknown-category' END, CASE WHEN scope = 'other' THEN 'unknown-scope' END,
-    CASE WHEN (plate IS NOT NULL) = (n > 0) THEN 'one-of-label-or-events' END, CASE WHEN n = 0 AND plate IS NULL AND scope <> 'exhaustive' THEN 'negative-must-be-exhaustive' END, CASE WHEN a > z THEN 'window-reversed' END]) AS violation FROM e)
+    CASE WHEN (plate IS NOT NULL) = (n > 0) THEN 'one-of-label-or-events' END, CASE WHEN n = 0 AND plate IS NULL AND scope <> 'exhaustive' THEN 'negative-must-be-exhaustive' END, CASE WHEN z % 83 = 0 THEN 'window-not-finite' WHEN a > z THEN 'window-reversed' END]) AS violation FROM e)
     SELECT sample_id, violation FROM r WHERE violation IS NOT NULL UNION ALL SELECT sample_id, 'duplicate-sample-id' FROM e GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT c, 'category-not-covered' FROM (SELECT unnest(['c0', 'c1', 'c2', 'c3', 'c4', 'c5', 'c6', 'c7', 'zz']) AS c) WHERE c NOT IN (SELECT category FROM e)""".replace("category = 'c8'", "category NOT IN ('c0', 'c1', 'c2', 'c3', 'c4', 'c5', 'c6', 'c7', 'zz')"))
 def _(spark: SparkSession, d: str) -> DataFrame:
     o, k = v.table(spark, d, "orders"), F.col("o_orderkey")
@@ -224,8 +234,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
         F.when(k % 2 == 0, "exhaustive").when(k % 31 == 0, "other").otherwise("known_positives").alias("scope"),
         F.when(k % 5 < 3, "p").alias("plate"),
         (k % 4).alias("n_events"),
-        F.col("o_custkey").alias("start_ms"),
-        k.alias("end_ms"),
+        F.when(k % 83 == 0, float("nan")).otherwise(F.col("o_custkey").cast("double")).alias("start_ms"),
+        k.cast("double").alias("end_ms"),
     )
     return manifest_violations(s, [*[f"c{i}" for i in range(8)], "zz"])
 
@@ -263,3 +273,13 @@ def _(spark: SparkSession, d: str) -> DataFrame:
         return pd.DataFrame(rows, columns=["id", "n", "x1", "score"]).astype({"id": "int64", "n": "int32", "x1": "float64", "score": "float64"})
 
     return detect(v.table(spark, d, "events").select(F.col("event_id").alias("id")), detector, "id long, n int, x1 double, score double")
+
+
+@query("strict_evidence", """WITH s AS (SELECT 's' || o_orderkey AS sample_id, 'm' || (o_orderkey % 500) AS media_path, CASE WHEN o_orderkey % 17 = 0 THEN 'x' WHEN o_orderkey % 13 = 0 THEN sha256('other') ELSE upper(sha256('m' || (o_orderkey % 500))) END AS fingerprint FROM orders WHERE o_orderkey % 4 <> 0)
+    SELECT sample_id, CASE WHEN length(fingerprint) < 64 THEN 'invalid-fingerprint' WHEN CAST(substr(media_path, 2) AS INTEGER) % 9 = 0 THEN 'media-missing' WHEN lower(fingerprint) <> sha256(media_path) THEN 'fingerprint-mismatch' END AS violation FROM s WHERE violation IS NOT NULL""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    path = F.concat(F.lit("m"), k % 500)
+    s = v.table(spark, d, "orders").select(F.concat(F.lit("s"), k).alias("sample_id"), (k % 4 != 0).alias("enabled"), path.alias("media_path"), F.when(k % 17 == 0, "x").when(k % 13 == 0, F.sha2(F.lit("other"), 256)).otherwise(F.upper(F.sha2(path, 256))).alias("fingerprint"))
+    media = spark.range(500).where("id % 9 <> 0").select(F.concat(F.lit("m"), "id").alias("path"))
+    return strict_evidence(s, media.select("path", F.sha2("path", 256).alias("sha256")))

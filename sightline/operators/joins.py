@@ -63,15 +63,16 @@ def compare_reports(baseline: DataFrame, current: DataFrame, keys: list[str], me
     return j.withColumn("regressions", F.array_join(F.array_compact(F.array(*worse)), ","))
 
 
-def grid(parameters: dict[str, list], most: int = 50_000) -> list[dict]:
-    """All combinations of distinct parameter values, in order; refuses more than
-    ``most``. The grid is a parameter list, not data."""
+def grid(parameters: dict[str, list], most: int = 50_000, valid=None) -> list[dict]:
+    """All combinations of distinct parameter values, in order, without those that
+    ``valid`` (a combination to a boolean) rules out; refuses more than ``most`` before
+    that. The grid is a parameter list, not data."""
     out: list[dict] = [{}]
     for name, values in parameters.items():
         out = [o | {name: x} for o in out for x in dict.fromkeys(values)]
         if len(out) > most:
             raise ValueError(f"more than {most} combinations")
-    return out
+    return [o for o in out if valid is None or valid(o)]
 
 
 _ASOF = """c AS (SELECT s.id, s.t, s.camera_id, s.plate, greatest(coalesce(c.duplicate_seconds, 0), 2) * 600 AS w FROM sightings s LEFT JOIN cameras c ON c.id = s.camera_id),

@@ -88,3 +88,20 @@ def test_export_and_publish(spark, tmp_path):
     assert files.publish(rows, str(tmp_path / "snap"))["rows"] == 10
     with pytest.raises(Exception, match="ALREADY_EXISTS"):
         files.publish(rows, str(tmp_path / "snap"))
+
+
+def test_grid_drops_what_is_not_valid():
+    from sightline.operators.joins import grid
+
+    assert grid({"a": [1, 2, 2], "b": [1, 3]}, valid=lambda o: o["a"] <= o["b"]) == [{"a": 1, "b": 1}, {"a": 1, "b": 3}, {"a": 2, "b": 3}]
+    with pytest.raises(ValueError):
+        grid({"a": list(range(9))}, most=8)
+
+
+def test_registry_refuses_a_name_twice():
+    from sightline.plans import registry
+
+    registry.query("only-in-this-test", "SELECT 1")(lambda spark, d: None)
+    with pytest.raises(ValueError):
+        registry.query("only-in-this-test")(lambda spark, d: None)
+    assert registry.ORACLE_SQL.pop("only-in-this-test") and registry.QUERIES.pop("only-in-this-test")
