@@ -150,6 +150,22 @@ def merge_assisted(rows: DataFrame, by: str) -> DataFrame:
     return frames.mapInArrow(each, schema)
 
 
+def served(requests: DataFrame, by: str, capacity: int = 64, max_age: float = 1.0, every: int = 3) -> DataFrame:
+    """What a latest-only queue serves of requests (by, id, t, key, priority): each is
+    put in, and after every ``every`` of them one is taken. ``said`` is what became of the
+    request, ``taken`` the id of the one that is served then."""
+
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        g, queue, rows = g.sort_values("id"), kernels.LatestQueue(capacity, max_age), []
+        for n, r in enumerate(g.itertuples(index=False), 1):
+            said = queue.put(r.key, r.id, r.priority, r.t)
+            found = queue.take(r.t) if n % every == 0 else None
+            rows.append((getattr(r, by), r.id, said, None if found is None else found[1]))
+        return pd.DataFrame(rows, columns=[by, "id", "said", "taken"]).astype({"taken": "Int64"})
+
+    return requests.groupBy(by).applyInPandas(one, requests.select(by, "id").schema.add("said", "string").add("taken", "long"))
+
+
 @F.pandas_udf(ArrayType(StructType().add("plate", "string").add("penalty", "double")))
 def alignments(keys: pd.Series) -> pd.Series:
     """Plates that a noisy key may stand for, best first."""
@@ -287,3 +303,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 def _(spark: SparkSession, d: str) -> DataFrame:
     """Greedy and layout-bound readings of rows of probabilities over blank, 1, 2 and a."""
     return ctc(_steps(spark, d), "12a", ["12", "a", "12"])
+
+
+@query("latest_queue")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s = v.sightings(spark, d)
+    return served(s.select("camera_id", "id", "t", F.concat(F.lit("k"), F.col("k") % 9).alias("key"), (F.col("id") % 5).cast("double").alias("priority")), "camera_id", 4, 200_000.0)

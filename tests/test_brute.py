@@ -208,6 +208,33 @@ def test_assisted_rows(spark):
     assert Counter((r.frame, r.engine, r.id) for r in QUERIES["merge_assisted"](spark, SF).collect()) == want
 
 
+def test_latest_queue(spark):
+    by = defaultdict(list)
+    for r in v.sightings(spark, SF).orderBy("id").collect():
+        by[r.camera_id].append((r.id, r.t, f"k{r.k % 9}", float(r.id % 5)))
+    got = {r.id: (r.said, r.taken) for r in QUERIES["latest_queue"](spark, SF).collect()}
+    for rows in by.values():
+        waiting, served = [], Counter()  # (key, id, t, priority), one a key
+        for n, (i, t, key, priority) in enumerate(rows, 1):
+            said = "replaced" if key in [w[0] for w in waiting] else "added"
+            waiting = [w for w in waiting if w[0] != key] + [(key, i, t, priority)]
+            if len(waiting) > 4:
+                worst = sorted(waiting, key=lambda w: (w[3], -w[2], w[0]))[-1]
+                waiting.remove(worst)
+                said = "rejected" if worst[0] == key else "evicted"
+            taken = None
+            if n % 3 == 0:
+                waiting = [w for w in waiting if t - w[2] <= 200_000.0]
+                if waiting:
+                    least = min(served[w[0]] for w in waiting)
+                    best = min(waiting, key=lambda w: (w[3] + 8.0 * (served[w[0]] - least), w[2], w[0]))
+                    waiting.remove(best)
+                    served[best[0]] += 1
+                    taken = best[1]
+            assert got[i] == (said, taken)
+    assert {"added", "replaced", "evicted"} <= {s for s, _ in got.values()}
+
+
 def test_ctc_readings(spark):
     import itertools
 
