@@ -186,6 +186,24 @@ def visits(observations: DataFrame, by: str, **settings) -> DataFrame:
     return observations.groupBy(by).applyInPandas(one, observations.select(by, "ts").schema.add("plate", "string").add("visit", "long"))
 
 
+def tracked_visits(readings: DataFrame, by: str, **settings) -> DataFrame:
+    """visit of every reading (by, ts, id, track, plate, strict, x1, y1, x2, y2) whose
+    plate may be corrected while the visit lasts; a reading without a track is a frame
+    in which nothing was seen."""
+
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["ts", "id"], ignore_index=True)
+        ledger, ts, out = kernels.TrackedVisits(**settings), g.ts.to_numpy(), []
+        boxes = g[["x1", "y1", "x2", "y2"]].to_numpy().tolist()
+        rows = [None if pd.isna(t) else kernels.Sighting(int(t), p or "", bool(s), tuple(b)) for t, p, s, b in zip(g.track, g.plate, g.strict, boxes, strict=True)]
+        for a, z in _frames(g, "ts"):
+            found = iter(ledger.watch(float(ts[a]), [r for r in rows[a:z] if r]))
+            out += [next(found) if r else None for r in rows[a:z]]
+        return g[[by, "id"]].assign(visit=pd.array(out, dtype="Int64"))
+
+    return readings.groupBy(by).applyInPandas(one, readings.select(by, "id").schema.add("visit", "long"))
+
+
 @F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching blocks' share of two texts."""
@@ -309,3 +327,15 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 def _(spark: SparkSession, d: str) -> DataFrame:
     s = v.sightings(spark, d)
     return served(s.select("camera_id", "id", "t", F.concat(F.lit("k"), F.col("k") % 9).alias("key"), (F.col("id") % 5).cast("double").alias("priority")), "camera_id", 4, 200_000.0)
+
+
+@query("tracked_visits")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Every fifth reading is off by one place, every seventh unreadable, every eleventh
+    row a frame without a vehicle."""
+    s, k = v.sightings(spark, d), F.col("id")
+    true = v.plate_of((F.col("camera_id") + F.floor(k / 200)).cast("int") % 100)
+    plate = F.when(k % 7 == 0, "").when(k % 5 == 0, F.concat(F.substring(true, 1, 7), F.lit("0"))).otherwise(true)
+    x = (k % 40).cast("double")
+    rows = s.select("camera_id", F.floor(k / 2).cast("double").alias("ts"), "id", F.when(k % 11 > 0, F.floor(k / 60)).alias("track"), plate.alias("plate"), (k % 3 == 0).alias("strict"), x.alias("x1"), F.lit(0.0).alias("y1"), (x + 60).alias("x2"), F.lit(20.0).alias("y2"))
+    return tracked_visits(rows, "camera_id", absence_seconds=200.0, cooldown=100.0)

@@ -191,7 +191,12 @@ class Visits:
                 self.next_visit += 1
             v |= {"seen": max(ts, v["seen"]), "active": True, "missing": 0}
             out.append(v["visit"])
-        for plate in [p for p in self.open if p not in plates]:
+        self._absent(ts, plates)
+        return out
+
+    def _absent(self, ts: float, seen) -> None:
+        """One observation without the open visits that are not in ``seen``."""
+        for plate in [p for p in self.open if p not in seen]:
             v = self.open[plate]
             if v["active"]:
                 v["since"] = ts if v["missing"] == 0 else v["since"]
@@ -200,9 +205,92 @@ class Visits:
                     v["active"] = False
             if not v["active"] and ts - v["seen"] >= self.cooldown:
                 del self.open[plate]
+
+
+@dataclass
+class Sighting:
+    """A reading of one frame: its track, the plate (empty if unreadable), whether it is
+    read strictly, and its box."""
+
+    track: int
+    plate: str
+    strict: bool = False
+    box: Box | None = None
+
+
+@dataclass
+class TrackedVisits(Visits):
+    """Visits whose plate may still change. A visit that no strict reading has named yet
+    takes another name from its own track if that differs in one place or is strict, and
+    from another track if that is strict, differs in one place, comes soon after and
+    where the visit was, and is the only such one. An unreadable box belongs to the
+    only visit there is. A contradicting plate on a track begins another visit."""
+
+    bound: dict[int, str] = field(default_factory=dict)
+
+    def _rename(self, old: str, new: str) -> None:
+        self.open[new] = self.open.pop(old)
+        self.bound = {t: new if p == old else p for t, p in self.bound.items()}
+
+    def _kept(self, r: Sighting) -> str:
+        """The plate of the visit that the track goes on with, if any."""
+        old = self.bound.get(r.track, "")
+        if old not in self.open:
+            return ""
+        if not r.plate or r.plate == old:
+            return old
+        v = self.open[old]
+        if v["sure"] or not (_one_apart(old, r.plate) or (r.strict and v["owner"] == r.track)):
+            return ""
+        if r.strict and r.plate not in self.open:
+            self._rename(old, r.plate)
+            return r.plate
+        return old
+
+    def _continued(self, r: Sighting, ts: float) -> str:
+        """The plate of the one visit that a strict reading of another track goes on."""
+        if not (r.strict and r.plate and r.box):
+            return ""
+        soon = max(1.5, 2 * self.absence_seconds)
+        near = [p for p, v in self.open.items() if v["active"] and not v["sure"] and _one_apart(p, r.plate) and 0 <= ts - v["seen"] <= soon and v["box"] and iou(v["box"], r.box) > 0]
+        if len(near) != 1:
+            return ""
+        self._rename(near[0], r.plate)
+        return r.plate
+
+    def watch(self, ts: float, rows: list[Sighting]) -> list[int | None]:
+        """Visit numbers of the readings of one frame, which may be empty; null for an
+        unreadable one that belongs to none."""
+        self.bound = {t: p for t, p in self.bound.items() if t in {r.track for r in rows}}
+        out, seen = [], set()
+        for r in rows:
+            plate = self._kept(r)
+            if not plate and r.plate in self.open and (self.open[r.plate]["active"] or ts - self.open[r.plate]["seen"] < self.cooldown):
+                plate = r.plate
+            plate = plate or self._continued(r, ts)
+            active = [p for p, v in self.open.items() if v["active"]]
+            if not plate and not r.plate and len(active) == 1:
+                plate = active[0]
+            if not plate and r.plate:
+                plate = r.plate
+                self.open[plate] = {"visit": self.next_visit, "seen": ts, "since": ts, "owner": r.track, "sure": False, "box": None}
+                self.next_visit += 1
+            if not plate:
+                out.append(None)
+                continue
+            v = self.open[plate]
+            v |= {"seen": max(ts, v["seen"]), "active": True, "missing": 0, "sure": v["sure"] or (r.strict and r.plate == plate), "box": r.box or v["box"]}
+            self.bound[r.track] = plate
+            seen.add(plate)
+            out.append(v["visit"])
+        self._absent(ts, seen)
         return out
 
 
+def _one_apart(a: str, b: str) -> bool:
+    return len(a) == len(b) and sum(x != y for x, y in zip(a, b, strict=True)) <= 1
+
+
 @dataclass
 class Suppressor:
     """Windowed repeats of one plate in arrival order, which may run backwards:

@@ -208,6 +208,51 @@ def test_assisted_rows(spark):
     assert Counter((r.frame, r.engine, r.id) for r in QUERIES["merge_assisted"](spark, SF).collect()) == want
 
 
+def by_time(rows):
+    """Rows of one camera, a list for each time, in order."""
+    out = defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r["ts"], r["id"])):
+        out[r["ts"]].append(r)
+    return [out[t] for t in sorted(out)]
+
+
+def test_two_pass_tracks(spark):
+    got, by = {r.id: r.track for r in QUERIES["two_pass_tracks"](spark, SF).collect()}, defaultdict(list)
+    for r in v.sightings(spark, SF).collect():
+        x, y = float(r.id // 30 % 40 * 12 + r.id % 3 * 200), r.k / 10
+        by[r.camera_id].append({"ts": r.id // 30 * 0.2, "id": r.id, "d": association.Detection((x, y, x + 60, y + 20), r.confidence, r.plate if r.id % 2 == 0 else "")})
+    for rows in by.values():
+        tracker = association.TwoPass()
+        for frame in by_time(rows):
+            assert [got[r["id"]] for r in frame] == tracker.observe(frame[0]["ts"], [r["d"] for r in frame])
+    assert len(got) == 1000
+
+
+def test_static_regions(spark):
+    got, by = {r.id: r.shown for r in QUERIES["static_regions"](spark, SF).collect()}, defaultdict(list)
+    for r in v.sightings(spark, SF).collect():
+        by[r.camera_id].append({"ts": float(r.id // 20), "id": r.id, "r": (f"r{r.k % 3}", r.id % 40 / 1000, r.id % 17 == 0)})
+    for rows in by.values():
+        regions = association.StaticRegions()
+        for frame in by_time(rows):
+            assert [got[r["id"]] for r in frame] == regions.observe(frame[0]["ts"], [r["r"] for r in frame])
+    assert set(got.values()) == {True, False}
+
+
+def test_tracked_visits(spark):
+    got, by = {r.id: r.visit for r in QUERIES["tracked_visits"](spark, SF).collect()}, defaultdict(list)
+    for r in v.sightings(spark, SF).collect():
+        i, true = r.id, plate((r.camera_id + r.id // 200) % 100)
+        seen = kernels.Sighting(i // 60, "" if i % 7 == 0 else true[:7] + "0" if i % 5 == 0 else true, i % 3 == 0, (i % 40, 0.0, i % 40 + 60, 20.0))
+        by[r.camera_id].append({"ts": float(i // 2), "id": i, "s": seen if i % 11 else None})
+    for rows in by.values():
+        ledger = kernels.TrackedVisits(absence_seconds=200.0, cooldown=100.0)
+        for frame in by_time(rows):
+            found = iter(ledger.watch(frame[0]["ts"], [r["s"] for r in frame if r["s"]]))
+            assert [got[r["id"]] for r in frame] == [next(found) if r["s"] else None for r in frame]
+    assert len({v for v in got.values() if v}) > 1
+
+
 def test_latest_queue(spark):
     by = defaultdict(list)
     for r in v.sightings(spark, SF).orderBy("id").collect():

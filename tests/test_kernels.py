@@ -89,6 +89,52 @@ def test_visits():
     assert v.observe(21, ["a"]) == [2]
 
 
+def reading(track, plate, strict=False, x=0.0):
+    return k.Sighting(track, plate, strict, (x, 0.0, x + 60, 20.0))
+
+
+def test_a_visit_may_be_named_anew():
+    v = k.TrackedVisits()
+    assert v.watch(0, [reading(1, "12b34568")]) == [1]
+    assert v.watch(0.2, [reading(1, "12b34567")]) == [1] and list(v.open) == ["12b34568"]  # one place, not strict
+    assert v.watch(0.4, [reading(1, "12b34567", True)]) == [1] and list(v.open) == ["12b34567"]
+    assert v.watch(0.6, [reading(1, "")]) == [1]
+    assert v.watch(0.8, [reading(1, "99c11122", True)]) == [2]  # the visit was named strictly
+
+
+def test_a_strict_reading_corrects_its_own_track():
+    v = k.TrackedVisits()
+    assert v.watch(0, [reading(1, "77x00011")]) == [1]
+    assert v.watch(0.2, [reading(1, "12b34567", True)]) == [1]
+    assert v.watch(0.4, [reading(2, "12b34567")]) == [1]
+
+
+def test_a_visit_goes_on_in_another_track():
+    v = k.TrackedVisits()
+    assert v.watch(0, [reading(1, "12b34568", x=10)]) == [1]
+    assert v.watch(0.5, [reading(2, "12b34567", True, x=20)]) == [1]
+    v = k.TrackedVisits()
+    v.watch(0, [reading(1, "12b34568", x=10)])
+    assert v.watch(0.5, [reading(2, "12b34567", True, x=900)]) == [2]  # elsewhere
+    v = k.TrackedVisits()
+    assert v.watch(0, [reading(1, "12b34568", x=10), reading(2, "12b34569", x=12)]) == [1, 2]  # another track's is strict, or another visit
+    assert v.watch(0.5, [reading(3, "12b34567", True, x=20)]) == [3]  # two could go on
+    v = k.TrackedVisits()
+    assert v.watch(0, [reading(1, "12b34568", x=10), reading(2, "99c34569", x=12)]) == [1, 2]
+    assert v.watch(0.1, [reading(3, "")]) == [None]  # two visits: whose it is is not known
+
+
+def test_tracked_visits_end_like_others():
+    v = k.TrackedVisits(cooldown=10)
+    assert v.watch(0, [reading(1, "12b34567", True)]) == [1]
+    for ts in (1, 2, 3):
+        v.watch(ts, [])
+    assert v.watch(5, [reading(2, "12b34567")]) == [1]
+    for ts in (6, 7, 8, 20):
+        v.watch(ts, [])
+    assert v.open == {} and v.watch(21, [reading(3, "12b34567")]) == [2]
+
+
 def test_suppressor_chains_and_late_rows():
     s = k.Suppressor()
     assert [s.decide("a", t) for t in (0, 15, 30)] == ["new", "same_camera_window", "same_camera_window"]
