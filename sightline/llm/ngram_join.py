@@ -52,9 +52,9 @@ WORDS = 5
 TASK_POSTINGS = 2_000_000
 #: Bytes of text that a kernel works on at a time, postings that it holds, and postings
 #: that it sorts at a time.
-GROUP_BYTES, HELD_POSTINGS, RANGE_POSTINGS = 1 << 20, 400_000, 200_000
+GROUP_BYTES, HELD_POSTINGS, RANGE_POSTINGS = 1 << 20, 300_000, 100_000
 #: Classes in a block, and shingles in a slice of the product.
-BLOCK, BLOCK_SHINGLES, COLUMNS = 256, 1_000_000, 8192
+BLOCK, BLOCK_SHINGLES, COLUMNS = 256, 500_000, 4096
 #: Pairs of blocks that meet one copy of a block.
 SHARE = 64
 #: Buckets of the table of shingle counts, and of a part of it; tasks whose parts are
