@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 16
 #: A bucket's ratio is drawn to 1 as if so many more n-grams had been seen in it.
 PRIOR = 20.0
-#: Of 811 held-out documents that labels call good 810 reached it, of 129 bad ones none.
+#: In a trial with as many buckets (and another hash), of 811 held-out documents that
+#: labels call good 810 reached it, of 129 bad ones none.
 MIN_LLR = -0.06
 MIN_WORDS = 50
 #: Trusted ids that a fit takes, unless its argument says otherwise; they are broadcast.
