@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,13 +16,15 @@ from ..functions import plates
 from ..functions.numbers import rate, rate_or_null
 from ..plans import views as v
 from ..plans.registry import query
-from ..streaming.kernels import Agreement, Evidence
+from ..streaming.kernels import Agreement, Evidence, least_evidence
 from .joins import eligible, expected_events, grid, predicted_events
 from .matching import match_events
 
 D, L = plates.ASCII_DIGITS, plates.LETTERS + plates.LATIN_LETTERS
 LAYOUT = [D, D, L, D, D, D, D, D]
 GRID = {"gap_seconds": [0.08, 1.5], "min_confidence": [0.55, 0.70, 0.85], "min_margin": [0.1, 0.3], "min_support": [1, 2, 3]}
+#: Parameters of Evidence that it holds against the least of a track's places.
+THRESHOLDS = ("min_confidence", "min_margin", "min_support")
 #: The calibration gate.
 GATE_EXACT, GATE_PRECISION, GATE_FALSE = 0.99, 0.995, 0.001
 
@@ -50,42 +55,75 @@ def fuse_tracks(obs: DataFrame, **settings) -> DataFrame:
     return _sequences(obs).mapInArrow(each, "track_id long, text string, confidence double, phase string")
 
 
+def _whole_tracks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows, which come in order of their first column, in batches that no value of
+    it spans."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not len(b):
+            continue
+        tracks = b.column(0).to_numpy()
+        if held and held[-1].column(0)[0].as_py() == tracks[-1]:
+            held.append(b)
+            continue
+        cut = int(np.searchsorted(tracks, tracks[-1]))
+        if held or cut:
+            yield pa.concat_batches([*held, b.slice(0, cut)])
+        held = [b.slice(cut)]
+    if held:
+        yield pa.concat_batches(held)
+
+
 def replay(obs: DataFrame, expected: DataFrame, parameters: dict[str, list]) -> DataFrame:
-    """(ordinal, track_id, split, expected, predicted) of every configuration. The
-    grid goes to the tracks, which are read once."""
-    configs = grid(parameters)
+    """(ordinal, split, readable, taken, hit, tracks): how many tracks of every
+    configuration came out so. Configurations that differ in thresholds only read the
+    evidence once, which gives how many values of each threshold a track reaches; the
+    grid then goes to the counts of tracks that reach as many, not to the tracks."""
+    configs = [Evidence(LAYOUT, **c) for c in grid(parameters)]
+    worth = list(dict.fromkeys((c.gap_seconds, c.correlated) for c in configs))
+    steps = [sorted({getattr(c, t) for c in configs}) for t in THRESHOLDS]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            tracks, readings = b.column(0), b.column(1).to_pylist()
-            for k, c in enumerate(configs):
-                found = [_decide(r, **c) for r in readings]
-                locked = pa.array([t if phase == "locked" else "" for t, _, phase in found], pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(b), pa.int32()), tracks, locked], names=["ordinal", "track_id", "predicted"])
-
-    return _sequences(obs).mapInArrow(each, "ordinal int, track_id long, predicted string").join(expected, "track_id")
+        for b in _whole_tracks(batches):
+            tracks, ts, confidence, quality = (b.column(k).to_numpy() for k in (0, 1, 3, 4))
+            starts, text = np.flatnonzero(np.diff(tracks, prepend=tracks[0] - 1)), b.column(2).dictionary_encode()
+            for run, (said, *least) in enumerate(least_evidence(LAYOUT, starts, ts, text.dictionary.to_pylist(), text.indices.to_numpy(), confidence, quality, worth)):
+                reached = [(x[:, None] >= np.array(s)).sum(1) for x, s in zip(least, steps, strict=True)]
+                columns = [pa.array(tracks[starts]), pa.array(np.full(len(starts), run, np.int32)), pa.array(said, pa.string()), *[pa.array(r.astype(np.int32)) for r in reached]]
+                yield pa.RecordBatch.from_arrays(columns, names=["track_id", "run", "text", *THRESHOLDS])
+
+    # A reading without time comes first, and those without a track are nobody's.
+    rows = obs.where("track_id IS NOT NULL").select("track_id", F.coalesce("ts", F.lit(float("-inf"))).alias("ts"), "text", "confidence", "quality")
+    rows = rows.repartition("track_id").sortWithinPartitions("track_id", "ts", "text", "confidence", "quality")
+    found = rows.mapInArrow(each, f"track_id long, run int, text string, {', '.join(f'{t} int' for t in THRESHOLDS)}")
+    cells = found.join(expected, "track_id").groupBy("run", "split", (F.col("expected") != "").alias("readable"), (F.col("expected") == F.col("text")).alias("same"), *THRESHOLDS).agg(F.count("*").alias("tracks"))
+    needed = [(k, worth.index((c.gap_seconds, c.correlated)), *[s.index(getattr(c, t)) for t, s in zip(THRESHOLDS, steps, strict=True)]) for k, c in enumerate(configs)]
+    grid_rows = obs.sparkSession.createDataFrame(needed, f"ordinal int, run int, {', '.join(f'least_{t} int' for t in THRESHOLDS)}")
+    taken = functools.reduce(operator.and_, [F.col(t) > F.col(f"least_{t}") for t in THRESHOLDS])
+    return cells.join(F.broadcast(grid_rows), "run").select("ordinal", "split", "readable", taken.alias("taken"), (F.col("readable") & taken & F.col("same")).alias("hit"), "tracks")
 
 
 def config_metrics(rows: DataFrame) -> DataFrame:
     """Per configuration and split: accuracy over readable tracks, precision over
     what was taken, false accepts over the others."""
-    readable, taken = F.col("expected") != "", F.col("predicted") != ""
-    hit = readable & (F.col("expected") == F.col("predicted"))
+    n = lambda c: F.sum(F.when(c, F.col("tracks")).otherwise(0))
+    readable, taken, hit = F.col("readable"), F.col("taken"), F.col("hit")
     return rows.groupBy("ordinal", "split").agg(
-        F.count("*").alias("tracks"),
-        rate(F.count_if(hit), F.count_if(readable)).alias("accuracy"),
-        rate(F.count_if(taken), F.count("*")).alias("coverage"),
-        rate(F.count_if(hit), F.count_if(taken)).alias("precision"),
-        F.count_if(~readable & taken).alias("false_accepts"),
+        F.sum("tracks").alias("tracks"),
+        rate(n(hit), n(readable)).alias("accuracy"),
+        rate(n(taken), F.sum("tracks")).alias("coverage"),
+        rate(n(hit), n(taken)).alias("precision"),
+        n(~readable & taken).alias("false_accepts"),
     )
 
 
 def calibrate(metrics: DataFrame) -> DataFrame:
     """The best configuration on the training split, with its holdout figures and
-    the reasons against it."""
-    t = metrics.where("split = 'train'")
-    best = t.agg(F.max_by("ordinal", F.struct("accuracy", "precision", -F.col("false_accepts"), -F.col("ordinal"))).alias("ordinal"))
-    h = metrics.where("split = 'holdout'").join(F.broadcast(best), "ordinal")  # one row
+    the reasons against it. The metrics are taken once for both splits: used twice,
+    they would be replayed twice."""
+    of = lambda split, *cs: F.max(F.when(F.col("split") == split, F.struct(*cs))).alias(split)
+    both = metrics.groupBy("ordinal").agg(of("train", "accuracy", "precision", -F.col("false_accepts"), -F.col("ordinal")), of("holdout", "ordinal", "accuracy", "precision", "false_accepts", "tracks"))
+    h = both.where("train IS NOT NULL").agg(F.max_by("holdout", "train").alias("h")).where("h IS NOT NULL").select("h.*")
     reasons = F.array_compact(F.array(F.when(F.col("accuracy") < GATE_EXACT, "exact"), F.when(F.col("precision") < GATE_PRECISION, "precision"), F.when(rate(F.col("false_accepts"), F.col("tracks")) > GATE_FALSE, "false-accepts")))
     return h.select("ordinal", "accuracy", "precision", F.array_join(reasons, ",").alias("reasons"))
 

@@ -8,6 +8,8 @@ import heapq
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
+
 Box = tuple[float, float, float, float]
 
 
@@ -449,6 +451,76 @@ class Evidence:
         return text, min(1.0, worst), "locked" if sure else "reading"
 
 
+def _independent(starts: np.ndarray, lengths: np.ndarray, ts: np.ndarray, gap_seconds: float) -> np.ndarray:
+    """Which readings Evidence.add() counts in full: all tracks take a step at a time,
+    the longest first. A reading at minus infinity has no time and counts in full."""
+    fresh = np.zeros(len(ts), bool)
+    fresh[starts] = True
+    order = np.argsort(-lengths, kind="stable")
+    at, less = starts[order], -lengths[order]
+    last = ts[at]
+    for k in range(1, -less[0] if len(less) else 0):
+        n = np.searchsorted(less, -k)
+        new = ts[at[:n] + k]
+        ok = (new == -math.inf) | (new - last[:n] >= gap_seconds)
+        fresh[at[:n] + k] = ok
+        last[:n] = np.where(ok, new, last[:n])
+    return fresh
+
+
+def _ranked(w: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every row's second largest weight, 0 where there is none, and its total, summed
+    from the largest down with the compensation of sum(): equal to the last bit."""
+    left, rows = w.copy(), np.arange(len(w))
+    second, high, low = np.zeros(len(w)), np.zeros(len(w)), np.zeros(len(w))
+    for k in range(count.max(initial=0)):
+        live = rows[count > k]
+        at = left[live].argmax(1)
+        x, h = left[live, at], high[live]
+        left[live, at] = -math.inf
+        if k == 1:
+            second[live] = x
+        high[live] = t = h + x
+        low[live] += np.where(np.abs(h) >= np.abs(x), (h - t) + x, (x - t) + h)
+    return second, np.where(np.isfinite(low), high + low, high)
+
+
+def least_evidence(layout: list[str], starts: np.ndarray, ts: np.ndarray, texts: list[str], which: np.ndarray, confidence: np.ndarray, quality: np.ndarray, worth: list[tuple[float, float]]) -> list[tuple[np.ndarray, ...]]:
+    """Evidence of many tracks at once: for each (gap_seconds, correlated) of ``worth``
+    every track's text and the least confidence, margin and support of its places,
+    which are what decide() holds against its thresholds. A track with an empty place
+    has no confidence (NaN). A track's readings lie together and in order from
+    ``starts`` on; reading i is ``texts[which[i]]``."""
+    lengths = np.diff(starts, append=len(ts))
+    n, rows = len(starts), np.arange(len(starts))
+    owner = np.repeat(rows, lengths)
+    placed = [align_slots(t, tuple(layout))[1] for t in texts]
+    with np.errstate(all="ignore"):
+        base = confidence * confidence * (0.55 + 0.45 * quality)
+        runs = []
+        for gap_seconds, correlated in worth:
+            fresh = _independent(starts, lengths, ts, gap_seconds)
+            weight = base * np.where(fresh, 1.0, correlated)
+            runs.append((fresh, weight, weight * confidence, [], np.full((3, n), math.inf)))
+        for place, allowed in enumerate(layout):
+            chars = sorted(set(allowed), reverse=True)  # of equal weights the larger character is first
+            code, none = {c: k for k, c in enumerate(chars)}, len(chars)
+            cell = owner * (none + 1) + np.array([code.get(p[place], none) for p in placed], np.int64)[which]
+            summed = lambda x, cell=cell, none=none: np.bincount(cell, x, n * (none + 1)).reshape(n, none + 1)[:, :none]
+            there = summed(None) > 0
+            count = there.sum(1)
+            for fresh, weight, sure, found, least in runs:
+                w = np.where(there, summed(weight), -math.inf)
+                best = w.argmax(1)
+                top, support = w[rows, best], summed(fresh)[rows, best]
+                second, total = _ranked(w, count)
+                total = np.maximum(total, 1e-9)
+                c = summed(sure)[rows, best] / np.maximum(top, 1e-9) * (0.70 + 0.30 * top / total) + 0.04 * np.clip(support - 1, 0, 2)
+                np.minimum(least, [np.where(count > 0, c, math.nan), (top - second) / total, support], out=least)
+                found.append(np.array(chars)[best])
+    return [(np.stack(found, 1).view(f"<U{len(layout)}")[:, 0], *least) for *_, found, least in runs]
+
+
 @dataclass
 class Agreement:
     """Two engines' readings of one camera, each paired with the nearest one of the

@@ -155,6 +155,47 @@ def test_fused_tracks_and_calibration(spark):
     assert abs(chosen.accuracy - hit / max(1, readable)) < 1e-12 and abs(chosen.precision - hit / max(1, taken)) < 1e-12
 
 
+def test_replay_counts_tracks_of_every_configuration(spark):
+    """Batches of few rows, so that tracks span them; rows without a track or a time."""
+    order = lambda r: (r[1] is not None, r[1] or 0.0, *r[2:])
+    readings = [(n % 90 if n % 17 else None, None if n % 23 == 0 else float(n * 7 % 11) / 2, plate(n % 90 + (n % 5 == 0)) if n % 13 else "x1", 0.5 + n * 37 % 50 / 100, 0.6 + n % 7 / 20) for n in range(600)]
+    readings += [(91, float(n), plate(91), 0.9, 0.9) for n in range(40)]
+    expected = [(n, "holdout" if n % 4 == 0 else "train", "" if n % 10 == 0 else None if n % 19 == 0 else plate(n)) for n in range(2, 99)] + [(7, "train", plate(8))]
+    parameters = {"gap_seconds": [0.08, 1.5], "min_confidence": [0.55, 0.70, 0.85], "min_margin": [0.1, 0.3], "min_support": [1, 2, 3]}
+    by, want = defaultdict(list), defaultdict(Counter)
+    for r in readings:
+        by[r[0]].append(r)
+    for k, c in enumerate(joins.grid(parameters)):
+        for track, split, right in expected:
+            if track in by:
+                e = kernels.Evidence(fusion.LAYOUT, **c)
+                for r in sorted(by[track], key=order):
+                    e.add(*r[1:])
+                text, _, phase = e.decide()
+                said = text if phase == "locked" else ""
+                want[k, split].update(tracks=1, readable=bool(right), taken=said != "", hit=bool(right) and said == right, false=right == "" and said != "")
+    o = spark.createDataFrame(readings, "track_id long, ts double, text string, confidence double, quality double")
+    x = spark.createDataFrame(expected, "track_id long, split string, expected string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        rows = fusion.replay(o, x, parameters)
+        got = {(r.ordinal, r.split): r for r in fusion.config_metrics(rows).collect()}
+        twice = [t.unionByName(t.withColumn("track_id", F.col("track_id") + 1000)) for t in (o, x)]
+        assert fusion.replay(*twice, parameters).count() == rows.count()  # counts, not a row a track and configuration
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert set(got) == set(want)
+    for key, n in want.items():
+        figures = (n["tracks"], n["hit"] / max(1, n["readable"]), n["taken"] / n["tracks"], n["hit"] / max(1, n["taken"]), n["false"])
+        assert (got[key].tracks, got[key].accuracy, got[key].coverage, got[key].precision, got[key].false_accepts) == figures
+    assert len({n["hit"] for n in want.values()}) > 3
+
+
+def test_calibration_replays_once(spark, capsys):
+    QUERIES["calibration"](spark, SF).explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
+
+
 def plate(k):
     from sightline.functions.plates import LETTERS
 

@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -178,6 +179,32 @@ def test_evidence_locks_on_independent_readings():
     assert e.decide()[2] == "reading"  # the second place is split
 
 
+def test_least_evidence_is_what_decide_compares():
+    rng, layout, worth = random.Random(5), ["12", "abcd", "123"], [(0.08, 0.35), (1.5, 0.5)]
+    tracks = []
+    for _ in range(300):
+        rows = [(rng.choice([-float("inf"), float(rng.randrange(5)), rng.random() * 4]), rng.choice(["1a2", "1a3", "2b2", "1c1", "d2", "1", "", "1a?2"]), rng.choice([0.0, rng.random(), 0.9]), rng.random()) for _ in range(rng.choice([1, 2, 5, 20]))]
+        tracks.append(sorted(rows))
+    flat = [r for t in tracks for r in t]
+    texts = sorted({r[1] for r in flat})
+    ts, which, confidence, quality = np.array([r[0] for r in flat]), np.array([texts.index(r[1]) for r in flat]), np.array([r[2] for r in flat]), np.array([r[3] for r in flat])
+    starts = np.cumsum([0] + [len(t) for t in tracks[:-1]])
+    locked = 0
+    for (gap, correlated), (said, *least) in zip(worth, k.least_evidence(layout, starts, ts, texts, which, confidence, quality, worth), strict=True):
+        for i, rows in enumerate(tracks):
+            own = [float(x[i]) for x in least]
+            higher = [[np.nextafter(x, 9e9) if n == m else x for m, x in enumerate(own)] for n in range(3)]
+            for limits in ([0.5, 0.1, 1], [0.6, 0.2, 2], *([own, *higher] if own[0] == own[0] else [])):  # at what it reaches, and a bit above
+                e = k.Evidence(layout, gap, correlated, *limits)
+                for t, *r in rows:
+                    e.add(None if t == -float("inf") else t, *r)
+                text, _, phase = e.decide()
+                assert (phase == "locked") == all(x >= y for x, y in zip(own, limits, strict=True))
+                assert phase != "locked" or text == said[i]
+                locked += phase == "locked"
+    assert locked > 300
+
+
 def test_agreement():
     a = k.Agreement(1.0)
     assert a.add(0.0, "x", "p") == [] and a.add(0.1, "x", "p") == []  # the same text waits once
